@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import ascii_lower
-from shelfmark.operators.ordered import id_bucket, ranked
+from shelfmark.operators.ordered import id_bucket, ranked, running_sums
 from shelfmark.operators.rules import tracks_over_cap
 
 
@@ -85,21 +85,16 @@ def upsert_tracks(stored: DataFrame, new: DataFrame, now) -> DataFrame:
 
 
 def with_next_ids(fresh: DataFrame, stored: DataFrame, order: str) -> DataFrame:
-    """Give `fresh` the ids after the largest stored one, in the order of a unique text column.
+    """Give `fresh` the ids after the largest stored one, in the hash order of a unique text column.
 
-    Text order has no integer buckets, so rows are bucketed by a 13-bit slice of
-    the leading characters and ranked inside; the bucket totals give the offsets.
+    Hash order cuts into even slices whatever the text looks like, so the numbering
+    runs as 2**20 small windows plus one sum over the slice totals.
     """
-    from shelfmark.operators.ordered import running_sums
-
     first = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_first"))
-    numbered = running_sums(fresh.withColumn("_slice", text_bucket(order)), [], ["_slice", order], F.col("_slice"), {"_n": F.lit(1).cast("bigint")})
-    return numbered.crossJoin(F.broadcast(first)).withColumn("id", F.col("_first") + F.col("_n")).drop("_first", "_n", "_slice")
-
-
-def text_bucket(c: str):
-    """A stable hash slice: 65 536 even buckets whatever the text looks like."""
-    return F.pmod(F.xxhash64(c), F.lit(65536))
+    hashed = fresh.withColumn("_hash", F.sha2(order, 256))
+    slice_ = F.conv(F.left("_hash", F.lit(5)), 16, 10).cast("bigint")
+    numbered = running_sums(hashed, [], ["_hash"], slice_, {"_n": F.lit(1).cast("bigint")})
+    return numbered.crossJoin(F.broadcast(first)).withColumn("id", F.col("_first") + F.col("_n")).drop("_first", "_n", "_hash")
 
 
 def retarget_tracks(stored: DataFrame, moves: DataFrame, now) -> DataFrame:

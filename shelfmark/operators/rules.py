@@ -30,45 +30,44 @@ def field_name_ok(key="key") -> Column:
     return P.col(key).rlike(FIELD_GRAMMAR)
 
 
+_COUNTS = ("audio_offset", "audio_length", "backing_size", "backing_mtime_ns", "backing_ctime_ns")
+
+# Rules are callables, as columns need a running session.
 TRACK_RULES = {
-    "format": F.col("format").isin(*FORMATS),
-    "non_negative": (F.col("audio_offset") >= 0)
-    & (F.col("audio_length") >= 0)
-    & (F.col("backing_size") >= 0)
-    & (F.col("backing_mtime_ns") >= 0)
-    & (F.col("backing_ctime_ns") >= 0),
-    "version": (F.col("content_version") >= 0) & (F.col("updated_at") >= 0),
-    "bounds": V.bounds_ok("audio_offset", "audio_length", "backing_size"),
+    "format": lambda: F.col("format").isin(*FORMATS),
+    "non_negative": lambda: F.least(*[F.col(c) for c in _COUNTS]) >= 0,
+    "version": lambda: (F.col("content_version") >= 0) & (F.col("updated_at") >= 0),
+    "bounds": lambda: V.bounds_ok("audio_offset", "audio_length", "backing_size"),
 }
 
 TAG_RULES = {
-    "ordinal": F.col("ordinal") >= 0,
-    "blob_value": F.col("value_blob").isNull() | (F.col("value") == ""),
-    "key_length": F.length("key").between(1, MAX_KEY_CHARS),
-    "key_control": ~F.col("key").rlike(CONTROL),
-    "value_bytes": F.octet_length("value") <= MAX_VALUE_BYTES,
-    "blob_bytes": F.col("value_blob").isNull() | (F.octet_length("value_blob") <= MAX_BLOB_BYTES),
+    "ordinal": lambda: F.col("ordinal") >= 0,
+    "blob_value": lambda: F.col("value_blob").isNull() | (F.col("value") == ""),
+    "key_length": lambda: F.length("key").between(1, MAX_KEY_CHARS),
+    "key_control": lambda: ~F.col("key").rlike(CONTROL),
+    "value_bytes": lambda: F.octet_length("value") <= MAX_VALUE_BYTES,
+    "blob_bytes": lambda: F.col("value_blob").isNull() | (F.octet_length("value_blob") <= MAX_BLOB_BYTES),
 }
 
 ART_RULES = {
-    "byte_len": F.col("byte_len") == F.octet_length("data"),
-    "sha_length": F.length("sha256") == 64,
-    "dimensions": F.coalesce(F.col("width") >= 0, F.lit(True)) & F.coalesce(F.col("height") >= 0, F.lit(True)),
-    "mime": F.length("mime") <= MAX_MIME_CHARS,
-    "cap": F.col("byte_len") <= MAX_BLOB_BYTES,
-    "sha_content": F.sha2("data", 256) == F.col("sha256"),
+    "byte_len": lambda: F.col("byte_len") == F.octet_length("data"),
+    "sha_length": lambda: F.length("sha256") == 64,
+    "dimensions": lambda: F.coalesce(F.col("width") >= 0, F.lit(True)) & F.coalesce(F.col("height") >= 0, F.lit(True)),
+    "mime": lambda: F.length("mime") <= MAX_MIME_CHARS,
+    "cap": lambda: F.col("byte_len") <= MAX_BLOB_BYTES,
+    "sha_content": lambda: F.sha2("data", 256) == F.col("sha256"),
 }
 
 LINK_RULES = {
-    "picture_type": F.col("picture_type").between(0, MAX_PICTURE_TYPE),
-    "ordinal": F.col("ordinal") >= 0,
-    "description": F.length("description") <= MAX_DESCRIPTION_CHARS,
+    "picture_type": lambda: F.col("picture_type").between(0, MAX_PICTURE_TYPE),
+    "ordinal": lambda: F.col("ordinal") >= 0,
+    "description": lambda: F.length("description") <= MAX_DESCRIPTION_CHARS,
 }
 
 BLOCK_RULES = {
-    "kind": F.col("kind").isin(*BLOCK_KINDS),
-    "ordinal": F.col("ordinal") >= 0,
-    "body": F.octet_length("body") <= MAX_BLOCK_BYTES,
+    "kind": lambda: F.col("kind").isin(*BLOCK_KINDS),
+    "ordinal": lambda: F.col("ordinal") >= 0,
+    "body": lambda: F.octet_length("body") <= MAX_BLOCK_BYTES,
 }
 
 RULES = {
@@ -82,7 +81,7 @@ RULES = {
 
 def violations(rules: dict) -> Column:
     """Names of the broken rules; a rule that gives null counts as broken."""
-    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules.items()]))
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok(), F.lit(False)), F.lit(n)) for n, ok in rules.items()]))
 
 
 def with_violations(df: DataFrame, table: str, only=None) -> DataFrame:

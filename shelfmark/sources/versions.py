@@ -28,11 +28,11 @@ class VersionStore:
             row = None
         return row["c"] if row and row["c"] else Row(version=0, folders={}, facts={})
 
-    def commit(self, tables: dict, facts: dict = None, partition_by: dict = None) -> int:
+    def commit(self, tables: dict, facts: dict = None, partition_by: dict = None, drop=()) -> int:
         """Write `tables` as the next version. `facts` are numbers kept with it (such as last_seq)."""
         now = self.current()
         version = now["version"] + 1
-        folders = dict(now["folders"])
+        folders = {n: f for n, f in dict(now["folders"]).items() if n not in drop}
         for name, df in tables.items():
             folder = f"{self.root}/{name}/v={version:012d}"
             writer = df.write.mode("overwrite")
