@@ -1 +1,370 @@
-"""to come"""
+"""H: scalar functions and path templates."""
+
+from pyspark.sql import functions as F
+
+from shelfmark.checks.fixtures import Fixtures, query
+from shelfmark.functions import paths as P
+from shelfmark.functions import values as V
+from shelfmark.functions import vocab
+from shelfmark.operators import mapping as M
+from shelfmark.plans.view import render
+from shelfmark.sources import inventory
+
+SAN = lambda v: f"regexp_replace({v}, '[/\\x00-\\x1f]', '_', 'g')"
+PARTS = lambda v: f"list_filter(string_split({v}, '/'), lambda x: x NOT IN ('', '.', '..'))"
+
+
+def pages(spark, d):
+    return Fixtures(spark, d).table("pages")
+
+
+def docs(spark, d):
+    return Fixtures(spark, d).table("documents")
+
+
+def events(spark, d):
+    return Fixtures(spark, d).table("events")
+
+
+@query("h01_sanitize", f"SELECT page_id, {SAN('url')} AS v, {SAN('html')} AS w FROM pages")
+def h01(spark, d):
+    return pages(spark, d).select("page_id", P.sanitize("url").alias("v"), P.sanitize("html").alias("w"))
+
+
+@query("h02_sanitize_path", f"SELECT page_id, array_to_string(list_transform({PARTS('html')}[1:64], lambda x: {SAN('x')}), '/') AS v FROM pages")
+def h02(spark, d):
+    return pages(spark, d).select("page_id", P.sanitize_path("html").alias("v"))
+
+
+@query("h03_components", f"SELECT page_id, CAST(len({PARTS('u')}) AS INT) AS n, array_to_string({PARTS('u')}, '|') AS parts FROM (SELECT page_id, concat('/./../', url) AS u FROM pages) t")
+def h03(spark, d):
+    parts = P.components(F.concat(F.lit("/./../"), "url"))
+    return pages(spark, d).select("page_id", F.size(parts).alias("n"), F.array_join(parts, "|").alias("parts"))
+
+
+NAMES = """SELECT page_id, CASE page_id % 5 WHEN 0 THEN concat('.', page_id) WHEN 1 THEN concat('a', page_id, '.') WHEN 2 THEN concat('a.b', page_id, '.flac') WHEN 3 THEN concat('plain', page_id) ELSE concat('..x', page_id) END AS n FROM pages"""
+
+
+def _names(spark, d):
+    i, s = F.col("page_id"), F.col("page_id").cast("string")
+    n = F.when(i % 5 == 0, F.concat(F.lit("."), s)).when(i % 5 == 1, F.concat(F.lit("a"), s, F.lit("."))).when(i % 5 == 2, F.concat(F.lit("a.b"), s, F.lit(".flac"))).when(i % 5 == 3, F.concat(F.lit("plain"), s)).otherwise(F.concat(F.lit("..x"), s))
+    return pages(spark, d).select("page_id", n.alias("n"))
+
+
+@query(
+    "h04_stem_and_extension",
+    f"WITH n AS ({NAMES}) SELECT page_id, CASE page_id % 5 WHEN 1 THEN concat('a', page_id) WHEN 2 THEN concat('a.b', page_id) WHEN 4 THEN '.' ELSE n END AS stem, CASE page_id % 5 WHEN 1 THEN '.' WHEN 2 THEN '.flac' WHEN 4 THEN concat('.x', page_id) ELSE '' END AS ext FROM n",
+)
+def h04(spark, d):
+    return _names(spark, d).select("page_id", P.stem("n").alias("stem"), P.dotted_extension("n").alias("ext"))
+
+
+FIT = lambda v, n: f"left({v}, CAST(COALESCE(list_max(list_filter(range(0, {n} + 1), lambda k: strlen(left({v}, CAST(k AS BIGINT))) <= {n})), 0) AS BIGINT))"
+
+
+@query("h05_truncate_bytes", f"SELECT doc_id, {FIT('t', 255)} AS a, {FIT('t', 10)} AS b FROM (SELECT doc_id, left(text, 300) AS t FROM documents) x")
+def h05(spark, d):
+    t = docs(spark, d).select("doc_id", F.left("text", F.lit(300)).alias("t"))
+    return t.select("doc_id", P.truncate_bytes("t", 255).alias("a"), P.truncate_bytes("t", 10).alias("b"))
+
+
+FLAT = "replace(replace(left(text, 300), '.', ' '), chr(10), ' ')"
+
+
+def _flat(df):
+    return df.select("doc_id", F.replace(F.replace(F.left("text", F.lit(300)), F.lit("."), F.lit(" ")), F.lit("\n"), F.lit(" ")).alias("t"))
+
+
+@query("h06_truncate_leaf", f"SELECT doc_id, CASE WHEN strlen(t) <= 250 THEN concat(t, '.flac') ELSE concat({FIT('t', 250)}, '.flac') END AS leaf, {FIT('t', 255)} AS directory FROM (SELECT doc_id, {FLAT} AS t FROM documents) x")
+def h06(spark, d):
+    t = _flat(docs(spark, d))
+    return t.select("doc_id", P.truncate_leaf(F.concat("t", F.lit(".flac"))).alias("leaf"), P.truncate_directory("t").alias("directory"))
+
+
+@query("h07_suffix_candidate", f"SELECT doc_id, concat(CASE WHEN strlen(t) <= 244 THEN t ELSE {FIT('t', 244)} END, ' (123).flac') AS v FROM (SELECT doc_id, {FLAT} AS t FROM documents) x")
+def h07(spark, d):
+    return _flat(docs(spark, d)).select("doc_id", P.suffix_candidate(F.concat("t", F.lit(".flac")), F.lit(123)).alias("v"))
+
+
+@query(
+    "h08_suffix_shaped",
+    "SELECT event_id, CASE event_id % 8 WHEN 0 THEN event_id >= 2 WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN false WHEN 5 THEN true WHEN 6 THEN false ELSE false END AS v FROM events",
+)
+def h08(spark, d):
+    i, s = F.col("event_id"), F.col("event_id").cast("string")
+    name = (
+        F.when(i % 8 == 0, F.concat(F.lit("a ("), s, F.lit(").flac"))).when(i % 8 == 1, "a (1).flac").when(i % 8 == 2, "b (+2)").when(i % 8 == 3, "a (4294967296)")
+        .when(i % 8 == 4, F.concat(F.lit("a("), s, F.lit(")"))).when(i % 8 == 5, "a (x) (0003).m4a").when(i % 8 == 6, "a (2) b").otherwise("a (-3)")
+    )
+    return events(spark, d).select("event_id", P.is_suffix_shaped(name).alias("v"))
+
+
+@query("h09_join_path", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE concat(user_id, '/', event_type) END AS v FROM events")
+def h09(spark, d):
+    parent = F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("user_id").cast("string"))
+    return events(spark, d).select("event_id", P.join_path(parent, "event_type").alias("v"))
+
+
+@query("h10_fold", "SELECT doc_id, lower(text) AS v FROM documents")
+def h10(spark, d):
+    return docs(spark, d).select("doc_id", P.fold("text").alias("v"))
+
+
+@query("h11_ascii_lower", "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS v FROM documents")
+def h11(spark, d):
+    return docs(spark, d).select("doc_id", P.ascii_lower("text").alias("v"))
+
+
+@query("h12_split_list", "SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 2 WHEN event_id % 3 = 1 THEN 1 ELSE 0 END AS INT) AS n, CASE WHEN event_id % 3 = 0 THEN concat(event_type, '+', user_id) WHEN event_id % 3 = 1 THEN event_type ELSE '' END AS v FROM events")
+def h12(spark, d):
+    i = F.col("event_id")
+    raw = F.when(i % 3 == 0, F.concat("event_type", F.lit("||"), F.col("user_id").cast("string"))).when(i % 3 == 1, F.concat(F.lit("|"), "event_type", F.lit("|"))).otherwise("")
+    return events(spark, d).select("event_id", F.size(P.split_list(raw)).alias("n"), F.array_join(P.split_list(raw), "+").alias("v"))
+
+
+@query("h13_split_values", "SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN [event_type, CAST(user_id AS VARCHAR)] ELSE [event_type] END) AS v FROM events")
+def h13(spark, d):
+    raw = F.concat("event_type", F.lit("\x00\x00"), F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(""))
+    return events(spark, d).select("event_id", F.explode(P.split_values(raw)).alias("v"))
+
+
+@query("h14_parse_field", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'artist' WHEN 3 THEN 'MOOD' ELSE 'title' END AS key, CASE event_id % 5 WHEN 0 THEN 'A=B' WHEN 3 THEN event_type ELSE '' END AS value FROM events WHERE event_id % 5 IN (0, 3, 4)")
+def h14(spark, d):
+    i = F.col("event_id")
+    raw = F.when(i % 5 == 0, "Artist=A=B").when(i % 5 == 1, "=v").when(i % 5 == 2, "none").when(i % 5 == 3, F.concat(F.lit("MOOD="), "event_type")).otherwise("TITLE=")
+    e = events(spark, d).select("event_id", raw.alias("raw")).where(P.pair_field("raw").isNotNull())
+    return e.select("event_id", vocab.fold_field(P.pair_field("raw")).alias("key"), P.pair_value("raw").alias("value"))
+
+
+@query("h15_compose_field", "SELECT track_id, key, ordinal, concat(upper(key), '=', value) AS v FROM tags_fx")
+def h15(spark, d):
+    return Fixtures(spark, d).tags().select("track_id", "key", "ordinal", vocab.compose_field("key", "value").alias("v"))
+
+
+@query("h16_field_map", "SELECT event_id, unnest(['genre', 'mood']) AS key, unnest(['a, b', CAST(user_id AS VARCHAR)]) AS value FROM events")
+def h16(spark, d):
+    text = F.concat(F.lit("  genre = a, b \r\n\nno pair\n = x\nempty=\nmood="), F.col("user_id").cast("string"))
+    return events(spark, d).select("event_id", F.explode(P.field_map_entries(text)).alias("e")).select("event_id", "e.key", "e.value")
+
+
+@query(
+    "h17_language_key",
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'comment' ELSE concat('id3:COMM:', lang, ':', descr) END AS key, CASE WHEN event_id % 4 > 0 THEN 'COMM' END AS frame, CASE WHEN event_id % 4 > 0 THEN lang END AS lang, CASE WHEN event_id % 4 > 0 THEN descr END AS descr
+    FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'XXX' WHEN 1 THEN 'eng' WHEN 2 THEN 'und' ELSE '' END AS lang, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN 'a:b' ELSE event_type END AS descr FROM events) t""",
+)
+def h17(spark, d):
+    i = F.col("event_id")
+    lang = F.when(i % 4 == 0, "XXX").when(i % 4 == 1, "eng").when(i % 4 == 2, "und").otherwise("")
+    descr = F.when(i % 4 == 0, "").when(i % 4 == 1, "").when(i % 4 == 2, "a:b").otherwise(F.col("event_type"))
+    key = P.language_key(F.lit("COMM"), lang, descr, F.lit("comment"))
+    e = events(spark, d).select("event_id", key.alias("key")).withColumn("p", P.language_key_parts("key"))
+    return e.select("event_id", "key", F.col("p.frame").alias("frame"), F.col("p.lang").alias("lang"), F.col("p.description").alias("descr"))
+
+
+@query(
+    "h18_role_folding",
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'performer' WHEN 1 THEN 'comment' WHEN 2 THEN 'performer' ELSE 'lyricsx:en' END AS key, CASE event_id % 4 WHEN 0 THEN concat(event_type, ' (', user_id, ':x)') ELSE event_type END AS value FROM events",
+)
+def h18(spark, d):
+    i = F.col("event_id")
+    name = F.when(i % 4 == 0, F.concat(F.lit("performer:"), F.col("user_id").cast("string"), F.lit(":x"))).when(i % 4 == 1, "comment:eng").when(i % 4 == 2, "performer").otherwise("lyricsx:en")
+    rows = events(spark, d).select(F.col("event_id").alias("record_key"), F.lit(0).alias("pos"), name.alias("name"), F.col("event_type").alias("value"))
+    return M.map_tagger_values(rows).select(F.col("record_key").alias("event_id"), "key", "value")
+
+
+@query("h19_trim_to_null", "SELECT event_id, CASE WHEN event_id % 2 = 1 THEN event_type ELSE CAST(user_id AS VARCHAR) END AS v FROM events")
+def h19(spark, d):
+    blank = F.when(F.col("event_id") % 2 == 0, "  \t ").otherwise(F.concat(F.lit("  "), "event_type", F.lit("\n")))
+    return events(spark, d).select("event_id", P.first_text(blank, F.col("user_id")).alias("v"))
+
+
+@query("h20_readable_path", "SELECT doc_id, concat(left(text, 5), chr(65533)) AS v FROM documents")
+def h20(spark, d):
+    raw = F.concat(F.left("text", F.lit(5)).cast("binary"), F.unhex(F.lit("FF")))
+    return docs(spark, d).select("doc_id", P.readable_path(raw).alias("v"))
+
+
+@query("h21_relative_path", "SELECT id, regexp_replace(ltrim(backing_path, '/'), '\\.[a-z0-9]+$', '') AS v FROM tracks_fx")
+def h21(spark, d):
+    return Fixtures(spark, d).tracks().select("id", P.relative_path("backing_path").alias("v"))
+
+
+@query("h22_truthy", "SELECT event_id, event_id % 6 IN (0, 4, 5) AS v FROM events")
+def h22(spark, d):
+    i = F.col("event_id")
+    raw = F.when(i % 6 == 0, "yes").when(i % 6 == 1, " FALSE ").when(i % 6 == 2, "0").when(i % 6 == 3, "Off").when(i % 6 == 4, "")
+    return events(spark, d).select("event_id", P.truthy(raw, True).alias("v"))
+
+
+@query(
+    "h30_date_from_parts",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN concat(year(o_orderdate)) WHEN o_orderkey % 5 = 2 THEN '0987' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS v FROM orders""",
+)
+def h30(spark, d):
+    o, k, t = Fixtures(spark, d).table("orders"), F.col("o_orderkey"), F.col("o_orderdate")
+    y = F.when(k % 5 == 0, "0").when(k % 5 == 2, "987").otherwise(F.year(t).cast("string"))
+    m = F.when(k % 5 == 1, "1/12").when(k % 5 == 2, "0").otherwise(F.month(t).cast("string"))
+    return o.select("o_orderkey", V.date_from_parts(y, m, F.dayofmonth(t)).alias("v"))
+
+
+@query("h31_date_prefix", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN concat(year(o_orderdate)) ELSE strftime(o_orderdate, '%Y-%m-%d') END AS v FROM orders")
+def h31(spark, d):
+    k, t = F.col("o_orderkey"), F.col("o_orderdate")
+    raw = F.when(k % 3 == 0, F.date_format(t, " yyyy ")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return Fixtures(spark, d).table("orders").select("o_orderkey", V.date_prefix(raw).alias("v"))
+
+
+@query("h32_number_of_total", "SELECT DISTINCT l_linenumber AS n, l_orderkey % 3 AS total, CASE WHEN l_orderkey % 3 = 0 THEN concat(l_linenumber) ELSE concat(l_linenumber, '/', l_orderkey % 3) END AS v FROM lineitem")
+def h32(spark, d):
+    li = Fixtures(spark, d).table("lineitem").select(F.col("l_linenumber").alias("n"), (F.col("l_orderkey") % 3).alias("total")).distinct()
+    return li.withColumn("v", V.number_of_total("n", "total"))
+
+
+@query("h33_value_text", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN concat(CAST(floor(o_totalprice) AS BIGINT)) ELSE rtrim(rtrim(printf('%.2f', o_totalprice), '0'), '.') END AS d, concat(o_orderkey) AS i, CASE WHEN o_orderkey % 2 = 0 THEN '1' ELSE '0' END AS b, o_orderpriority AS s FROM orders")
+def h33(spark, d):
+    k = F.col("o_orderkey")
+    x = F.when(k % 2 == 0, F.floor("o_totalprice").cast("double")).otherwise(F.col("o_totalprice"))
+    return Fixtures(spark, d).table("orders").select(
+        "o_orderkey", V.value_text(x, "double").alias("d"), V.value_text(k, "bigint").alias("i"), V.value_text(k % 2 == 0, "boolean").alias("b"), V.value_text(F.concat(F.lit(" "), "o_orderpriority"), "string").alias("s"),
+    )
+
+
+@query("h34_gain_and_peak", "SELECT event_id, printf('%.2f dB', x) AS gain, printf('%.6f', x / 7) AS peak FROM (SELECT event_id, (event_id - 300) / 64.0::DOUBLE AS x FROM events) t")
+def h34(spark, d):
+    x = (F.col("event_id") - 300) / F.lit(64.0)
+    return events(spark, d).select("event_id", V.gain_text(x).alias("gain"), V.peak_text(x / F.lit(7)).alias("peak"))
+
+
+@query("h35_safe_int", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id WHEN 2 THEN -user_id END AS v, CASE event_id % 3 WHEN 0 THEN event_id WHEN 2 THEN -user_id ELSE 0 END AS z FROM events")
+def h35(spark, d):
+    i = F.col("event_id")
+    raw = F.when(i % 3 == 0, F.concat(F.lit(" "), i.cast("string"))).when(i % 3 == 1, F.concat(F.lit("n"), i.cast("string"))).otherwise(F.concat(F.lit("-"), F.col("user_id").cast("string")))
+    return events(spark, d).select("event_id", V.safe_int(raw).alias("v"), V.int_or_zero(raw).alias("z"))
+
+
+@query("h36_display_seconds", "SELECT id, backing_mtime_ns // 1000000000 AS v FROM tracks_fx")
+def h36(spark, d):
+    return Fixtures(spark, d).tracks().select("id", V.display_seconds("backing_mtime_ns").alias("v"))
+
+
+@query("h37_effective_mtime", "SELECT id, greatest(backing_mtime_ns // 1000000000, updated_at) AS v FROM tracks_fx")
+def h37(spark, d):
+    return Fixtures(spark, d).tracks().select("id", V.effective_mtime("backing_mtime_ns", "updated_at").alias("v"))
+
+
+@query("h38_stamp_equality", "SELECT f.path, f.size = t.backing_size AND f.mtime_ns = t.backing_mtime_ns AND f.ctime_ns = t.backing_ctime_ns AS same FROM files_fx f JOIN tracks_fx t ON t.backing_path = f.path")
+def h38(spark, d):
+    fx = Fixtures(spark, d)
+    j = fx.files().join(fx.tracks().withColumnRenamed("backing_path", "path").drop("fingerprint", "content_hash"), "path")
+    return j.select("path", V.stamp("size", "mtime_ns", "ctime_ns").eqNullSafe(V.stamp("backing_size", "backing_mtime_ns", "backing_ctime_ns")).alias("same"))
+
+
+@query("h39_bounds", "SELECT id, id % 3 <> 0 AND id % 5 <> 0 AND id % 7 <> 0 AS v FROM tracks_fx")
+def h39(spark, d):
+    i = F.col("id")
+    top = F.lit(9223372036854775807)
+    offset = F.when(i % 5 == 0, -1).when(i % 7 == 0, top).otherwise(F.col("audio_offset"))
+    length = F.when(i % 7 == 0, top).otherwise(F.col("audio_length") + F.when(i % 3 == 0, 1).otherwise(0))
+    return Fixtures(spark, d).tracks().select("id", V.bounds_ok(offset, length, "backing_size").alias("v"))
+
+
+@query("h50_sha256", "SELECT doc_id, sha256(text) AS v FROM documents")
+def h50(spark, d):
+    return docs(spark, d).select("doc_id", V.sha256_hex("text").alias("v"))
+
+
+@query("h51_record_fingerprint", "SELECT count(DISTINCT (lang, source, text)) AS records, count(DISTINCT (lang, source, text)) AS prints FROM documents")
+def h51(spark, d):
+    x = docs(spark, d).select("lang", "source", "text", V.record_fingerprint("lang", "source", "text").alias("fp"))
+    return x.agg(F.countDistinct("lang", "source", "text").alias("records"), F.countDistinct("fp").alias("prints"))
+
+
+@query(
+    "h52_sniff_image_type",
+    "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/webp' WHEN 3 THEN 'image/jpeg' WHEN 4 THEN 'image/png' WHEN 5 THEN 'image/webp' ELSE 'application/octet-stream' END AS v FROM events",
+)
+def h52(spark, d):
+    i = F.col("event_id")
+    data = F.when(i % 7 == 0, F.unhex(F.lit("FFD8FF00"))).when(i % 7 == 1, F.unhex(F.lit("89504E470D0A1A0A00"))).when(i % 7 == 2, F.concat(F.lit("RIFF").cast("binary"), F.unhex(F.lit("00000000")), F.lit("WEBPVP8").cast("binary"))).otherwise(F.lit("xx").cast("binary"))
+    name = F.when(i % 7 == 3, "d/a.JPEG").when(i % 7 == 4, "a.b.png").when(i % 7 == 5, "a.webp").otherwise(".png")
+    return events(spark, d).select("event_id", V.sniff_image_type(data, name).alias("v"))
+
+
+@query("h53_picture_type", "SELECT event_id, CAST(CASE event_id % 6 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 5 WHEN 3 THEN 6 WHEN 4 THEN CASE WHEN user_id % 2 = 0 THEN 3 ELSE 0 END ELSE 0 END AS INT) AS v FROM events")
+def h53(spark, d):
+    i = F.col("event_id")
+    role = F.when(i % 6 == 0, "front").when(i % 6 == 1, "back").when(i % 6 == 2, "booklet").when(i % 6 == 3, "medium").when(i % 6 == 4, "poster")
+    return events(spark, d).select("event_id", V.picture_type(role, (F.col("user_id") % 2 == 0) & (i % 6 == 4)).alias("v"))
+
+
+@query("h54_clamp_picture_type", "SELECT track_id, ordinal, CASE WHEN picture_type > 20 THEN 0 ELSE picture_type END AS v FROM track_art_fx")
+def h54(spark, d):
+    return Fixtures(spark, d).track_art().select("track_id", "ordinal", V.clamp_picture_type("picture_type").alias("v"))
+
+
+@query("h55_zero_to_null", "SELECT p_partkey, NULLIF(p_size % 5, 0) AS v FROM part")
+def h55(spark, d):
+    return Fixtures(spark, d).table("part").select("p_partkey", V.zero_to_null(F.col("p_size") % 5).alias("v"))
+
+
+@query("h56_twin_selection", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat(o_orderpriority, '+x') WHEN 1 THEN o_orderstatus ELSE o_orderstatus END AS v FROM orders")
+def h56(spark, d):
+    k = F.col("o_orderkey")
+    plural = F.when(k % 3 == 0, F.array(F.col("o_orderpriority"), F.lit(" x "))).when(k % 3 == 1, F.array(F.lit(" "), F.lit("")))
+    return Fixtures(spark, d).table("orders").select("o_orderkey", F.array_join(V.twin_values(plural, "o_orderstatus"), "+").alias("v"))
+
+
+@query("h57_override_keys", "SELECT track_id, key, value FROM tags_fx WHERE NOT (key = 'genre' AND track_id % 2 = 0) UNION ALL SELECT track_id, 'genre', 'Override' FROM tags_fx WHERE key = 'title' AND track_id % 2 = 0")
+def h57(spark, d):
+    t = Fixtures(spark, d).tags().select(F.col("track_id").alias("record_key"), "key", "value")
+    over = t.where("key = 'title' AND record_key % 2 = 0").select("record_key", F.lit("genre").alias("key"), F.lit("Override").alias("value"))
+    return M.override_keys(t, over).withColumnRenamed("record_key", "track_id")
+
+
+@query("h58_map_to_pairs", "SELECT o_orderkey, unnest(['a', 'a', 'b']) AS key, unnest([o_orderstatus, 'x', o_orderpriority]) AS value, CAST(unnest([0, 1, 0]) AS INT) AS value_pos FROM orders")
+def h58(spark, d):
+    m = F.create_map(F.lit("a"), F.array(F.col("o_orderstatus"), F.lit("x")), F.lit("b"), F.array(F.col("o_orderpriority")))
+    o = Fixtures(spark, d).table("orders").select("o_orderkey", F.explode(m).alias("key", "vals"))
+    return o.select("o_orderkey", "key", F.posexplode("vals").alias("value_pos", "value"))
+
+
+@query("h59_json_alternatives", "SELECT num AS album_id, CASE WHEN num % 2 = 0 AND num <> 0 THEN num WHEN n_regionkey <> 0 THEN CAST(n_regionkey AS BIGINT) END AS artist_id FROM albums_fx")
+def h59(spark, d):
+    a = Fixtures(spark, d).albums().select(F.col("id").cast("bigint").alias("album_id"), F.to_json(F.struct("*")).alias("j"))
+    return a.select("album_id", V.safe_int(V.json_first("j", "$.artistId", "$.artist_id", "$.artist.artistId", "$.artist.id")).alias("artist_id"))
+
+
+@query("h60_csv_keys", "SELECT o_orderkey, CASE WHEN o_orderstatus < 'G' THEN concat(o_orderstatus, ',G') ELSE concat('G,', o_orderstatus) END AS csv, CAST(2 AS INT) AS n FROM orders")
+def h60(spark, d):
+    csv = V.keys_to_csv(F.array(F.col("o_orderstatus"), F.lit("G"), F.col("o_orderstatus")))
+    return Fixtures(spark, d).table("orders").select("o_orderkey", csv.alias("csv"), F.size(V.csv_to_keys(F.concat(csv, F.lit(",,")))).alias("n"))
+
+
+# Templates. first(f) is the first value of a lowercase key.
+FIELDS = """f AS (SELECT t.id, t.format, arg_min(value, (key, ordinal)) FILTER (lower(key) = 'albumartist') AS aa, arg_min(value, (key, ordinal)) FILTER (lower(key) = 'artist') AS ar,
+    arg_min(value, (key, ordinal)) FILTER (lower(key) = 'album') AS al, arg_min(value, (key, ordinal)) FILTER (lower(key) = 'title') AS ti, arg_min(value, (key, ordinal)) FILTER (lower(key) = 'disc') AS di
+    FROM tracks_fx t LEFT JOIN tags_fx g ON g.track_id = t.id GROUP BY t.id, t.format)"""
+
+
+def _render(template, **options):
+    def run(spark, d):
+        fx = Fixtures(spark, d)
+        return render(fx.tracks(), fx.tags(), template, **options).select("id", "path")
+
+    return run
+
+
+query("h70_plain_fields", f"WITH {FIELDS} SELECT id, concat(COALESCE(aa, ''), '/', COALESCE(al, ''), '/', COALESCE(ti, ''), '.', format) AS path FROM f")(_render("$AlbumArtist/${album}/$title"))
+query("h71_fallback_chain", f"WITH {FIELDS} SELECT id, concat(COALESCE(aa, di, 'D0'), '/', ti, '.', format) AS path FROM f")(_render("${albumartist|disc|title}/$title", fallbacks={"Disc": "D0"}))
+query("h73_sections", f"WITH {FIELDS} SELECT id, concat(ti, CASE WHEN di IS NOT NULL OR aa IS NOT NULL THEN concat(' {{', CASE WHEN di IS NOT NULL THEN concat('disc ', di) ELSE '' END, '-', COALESCE(aa, ''), '}}') ELSE '' END, '.', format) AS path FROM f")(_render("$title[ {[disc $disc]-$albumartist}][never]"))
+query("h74_default_fallback", f"WITH {FIELDS} SELECT id, concat(COALESCE(aa, 'Un_known'), '/', COALESCE(di, 'Un_known'), '.', format) AS path FROM f")(_render("$albumartist/$disc", default="Un/known"))
+query("h75_skip_on_missing", f"WITH {FIELDS} SELECT id, CASE WHEN aa IS NOT NULL AND di IS NOT NULL THEN concat(aa, '/', di, '.', format) END AS path FROM f")(_render("$albumartist/$disc[ $nothing]", skip_missing=True))
+query("h76_literal_escapes", f"WITH {FIELDS} SELECT id, concat('[', ti, '] $ ] $! $.', format) AS path FROM f")(_render("$[$title$] $ ] $! $"))
+query("h79_append_format", "SELECT id, concat('x.', format) AS path FROM tracks_fx")(_render("x"))
+
+
+@query("h72_path_fields", f"WITH {FIELDS}, p AS (SELECT id, backing_path FROM tracks_fx) SELECT f.id, concat(substr(p.backing_path, 2), '/', ti, '.', f.format) AS path FROM f JOIN p ON p.id = f.id")
+def h72(spark, d):
+    fx = Fixtures(spark, d)
+    where = fx.tracks().select(F.col("id").alias("track_id"), F.lit("dest").alias("key"), F.concat("backing_path", F.lit("/../.")).alias("value"), F.lit(0).cast("bigint").alias("ordinal"))
+    return render(fx.tracks(), fx.tags().unionByName(where), "$!{dest|title}/$title").select("id", "path")

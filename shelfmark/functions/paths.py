@@ -149,7 +149,7 @@ def pair_value(c) -> Column:
 
 def field_map_entries(text) -> Column:
     """array<struct<key,value>> of the `k=v` lines of a text."""
-    lines = F.transform(F.split(col(text), r"\R"), F.trim)
+    lines = F.transform(F.split(col(text), r"\R"), lambda s: F.trim(s))
     parsed = F.transform(
         lines,
         lambda s: F.struct(
