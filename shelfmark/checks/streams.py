@@ -1 +1,175 @@
-"""to come"""
+"""I: streaming operators over the events table."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from shelfmark.checks.fixtures import Fixtures, query
+from shelfmark.checks.functions import FIELDS
+from shelfmark.checks.joins import VIEWS, INVALID, views
+from shelfmark.operators import refresh as R
+from shelfmark.plans.view import render
+from shelfmark.sources.shared import fresh_path
+from shelfmark.sources.versions import VersionStore
+from shelfmark.streaming import events as EV
+from shelfmark.streaming import tail as TL
+
+TEMPLATE = "$albumartist/$album/[$disc - ]$title"
+
+
+def event_stream(spark, d):
+    """The events table as a file stream: a folder of files, or the one file by name."""
+    path = f"{d}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    if os.path.isdir(path) or "://" in d:
+        return TL.read_log_stream(spark, path, schema)
+    return TL.read_log_stream(spark, d, schema, "events.parquet")
+
+
+def log_stream(spark, d):
+    return event_stream(spark, d).select((F.col("event_id") + 1).alias("seq"), (F.col("user_id") + 1).alias("track_id"), "event_type")
+
+
+def seeded(spark, d, last_seq):
+    """A state whose snapshot is one version behind for every second track and lacks every fifth."""
+    fx = Fixtures(spark, d)
+    state = TL.SnapshotState(VersionStore(spark, fresh_path(spark, "view")))
+    i = F.col("id")
+    old = render(fx.tracks(), fx.tags(), TEMPLATE, default="Unknown").where(i % 5 != 0)
+    old = old.withColumn("content_version", F.col("content_version") - F.when(i % 2 == 0, 1).otherwise(0)).withColumn("path", F.when(i % 2 == 0, F.concat(F.lit("old/"), "path")).otherwise(F.col("path")))
+    state.store.commit({"snapshot": old.withColumn("version", F.lit(1).cast("bigint"))}, {"last_seq": last_seq})
+    return fx, state
+
+
+SEEN = "ids AS (SELECT DISTINCT track_id AS id FROM log_fx WHERE seq > 0)"
+RENDERED = f"{FIELDS}, r AS (SELECT f.id, t.content_version, f.format, concat(COALESCE(aa, 'Unknown'), '/', al, '/', CASE WHEN di IS NOT NULL THEN concat(di, ' - ') ELSE '' END, ti, '.', f.format) AS path FROM f JOIN tracks_fx t ON t.id = f.id)"
+
+
+@query(
+    "i01_tail_snapshot",
+    f"""WITH {RENDERED}, {SEEN} SELECT * FROM r WHERE id IN (SELECT id FROM ids)
+    UNION ALL SELECT id, content_version - CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END, format, CASE WHEN id % 2 = 0 THEN concat('old/', path) ELSE path END FROM r WHERE id NOT IN (SELECT id FROM ids) AND id % 5 <> 0""",
+)
+def i01(spark, d):
+    fx, state = seeded(spark, d, 0)
+    TL.tail_log(log_stream(spark, d), state, lambda: (fx.tracks(), fx.tags()), TEMPLATE, fresh_path(spark, "tail"), default="Unknown")
+    return state.read()
+
+
+@query("i02_gap_rebuild", f"WITH {RENDERED} SELECT *, 1 AS gaps FROM r")
+def i02(spark, d):
+    """The log begins at 501 while the watermark is 0: one full rebuild."""
+    fx, state = seeded(spark, d, 0)
+    TL.tail_log(log_stream(spark, d).where("seq > 500"), state, lambda: (fx.tracks(), fx.tags()), TEMPLATE, fresh_path(spark, "tail"), default="Unknown")
+    return state.read().withColumn("gaps", F.lit(state.facts()["gaps"]).cast("int"))
+
+
+@query("i02_gap_decision", "SELECT w.last_seq, max_seq, CASE WHEN max_seq = 0 THEN w.last_seq > 0 ELSE min_seq > w.last_seq + 1 END AS gap FROM (SELECT min(seq) AS min_seq, max(seq) AS max_seq FROM log_fx WHERE seq > 100) b, (SELECT DISTINCT seq + 95 AS last_seq FROM log_fx WHERE seq <= 10) w")
+def i02d(spark, d):
+    log = Fixtures(spark, d).log()
+    marks = log.where("seq <= 10").select((F.col("seq") + 95).alias("last_seq"))
+    bounds = R.log_bounds(log.where("seq > 100"))
+    return R.gap_rows(marks.crossJoin(F.broadcast(bounds)), "last_seq").select("last_seq", "max_seq", "gap")
+
+
+@query("i03_watermark", "SELECT greatest(max(seq), 100) AS last_seq FROM log_fx")
+def i03(spark, d):
+    """Batches in order, then an old one again: the watermark ends at the newest and stays there."""
+    fx, state = seeded(spark, d, 0)
+    log = fx.log().select("seq", "track_id")
+    load = lambda: (fx.tracks(), fx.tags())
+    for batch, upto in enumerate((100, None, 50)):
+        part = log if upto is None else log.where(F.col("seq") <= upto)
+        TL.apply_batch(state, part, load, TEMPLATE, batch, default="Unknown")
+    return spark.range(1).select(F.lit(state.facts()["last_seq"]).cast("bigint").alias("last_seq"))
+
+
+def _refresh(spark, d):
+    fx = Fixtures(spark, d)
+    old, _, _, _ = views(fx)
+    live = fx.tracks().where("id % 5 <> 0")
+    prev = old.join(fx.tracks().select("id", "format"), "id").withColumn("content_version", F.col("content_version") - 1)
+    ids = fx.tracks().where("id % 3 <> 0").select("id")
+    changes = R.partition_changes(prev, ids, live)
+    rendered = render(live.join(R.to_render(changes), "id", "left_semi"), fx.tags(), "$albumartist/$title", skip_missing=True)
+    final = R.reconcile_dropped(changes, rendered)
+    return prev, final, R.merge_snapshot(prev, final, rendered.where("path is not null"))
+
+
+@query(
+    "i04_refresh_snapshot",
+    f"""WITH {FIELDS} SELECT t.id, CASE WHEN t.id % 3 = 0 THEN t.content_version - 1 ELSE t.content_version END AS content_version, t.format,
+    CASE WHEN t.id % 3 = 0 THEN concat('a/', t.id) ELSE concat(aa, '/', ti, '.', t.format) END AS path FROM tracks_fx t JOIN f ON f.id = t.id
+    WHERE CASE WHEN t.id % 3 = 0 THEN t.id % 7 <> 0 ELSE t.id % 5 <> 0 AND aa IS NOT NULL END""",
+)
+def i04(spark, d):
+    return _refresh(spark, d)[2]
+
+
+@query("i05_version_counters", "SELECT track_id, CAST(sum(bump) AS BIGINT) AS content_version FROM log_fx GROUP BY track_id")
+def i05(spark, d):
+    store = VersionStore(spark, fresh_path(spark, "counters"))
+    bumps = log_stream(spark, d).select("track_id", F.when(F.col("event_type") == "error", 0).otherwise(1).cast("bigint").alias("bump"))
+    TL.version_counters(bumps, store, fresh_path(spark, "counters-checkpoint"))
+    return TL.current_counters(store)
+
+
+@query("i06_bounded_log", "SELECT seq, track_id FROM log_fx WHERE seq > (SELECT max(seq) FROM log_fx) - 700")
+def i06(spark, d):
+    store = VersionStore(spark, fresh_path(spark, "ring"))
+    query_ = log_stream(spark, d).writeStream.foreachBatch(lambda b, _: TL.retain_ring(store, b, 700)).option("checkpointLocation", fresh_path(spark, "ring-checkpoint")).trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return store.read("log")
+
+
+RAW = """raw AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'Test' WHEN 1 THEN 'AlbumDownload' WHEN 2 THEN 'Rename' WHEN 3 THEN 'TrackRetag' WHEN 4 THEN 'ArtistDeleted' WHEN 5 THEN 'AlbumDeleted' WHEN 6 THEN event_type ELSE 'Rename' END AS raw_type,
+    CASE WHEN user_id % 5 > 0 THEN user_id END AS artist_id, CASE WHEN user_id % 3 = 0 THEN event_id END AS album_id, CASE WHEN event_id % 3 > 0 THEN concat('al', user_id) END AS album_mbid, CASE WHEN event_id % 5 > 0 THEN concat('ar', user_id) END AS artist_mbid, event_type, user_id FROM events)"""
+
+
+def raw_events(e):
+    i, u = F.col("event_id"), F.col("user_id")
+    us = u.cast("string")
+    kind = F.when(i % 8 == 0, "Test").when(i % 8 == 1, "AlbumDownload").when((i % 8 == 2) | (i % 8 == 7), "Rename").when(i % 8 == 3, "TrackRetag").when(i % 8 == 4, "ArtistDeleted").when(i % 8 == 5, "AlbumDeleted").otherwise(F.col("event_type"))
+    return e.select(
+        "event_id", kind.alias("raw_type"), F.concat(F.lit("/n/"), us, F.lit("||/m/"), us).alias("added_paths"), F.concat(F.lit("/r/"), us).alias("file_paths"),
+        F.when(i % 8 == 2, F.concat(F.lit("/o/"), us, F.lit("|"))).alias("previous_paths"), F.when(u % 5 > 0, F.concat(us, F.lit(" "))).otherwise("x").alias("artist_id"),
+        F.when(u % 3 == 0, i.cast("string")).alias("album_id"), F.when(i % 3 > 0, F.concat(F.lit(" al"), us)).otherwise(" ").alias("album_mbid"), F.when(i % 5 > 0, F.concat(F.lit("ar"), us)).alias("artist_mbid"),
+    )
+
+
+@query(
+    "i10_event_routing",
+    f"""WITH {RAW} SELECT event_id, CASE WHEN event_id % 8 IN (0, 3, 6) THEN 'none' WHEN event_id % 8 = 4 THEN CASE WHEN artist_mbid IS NULL THEN 'none' ELSE 'delete' END WHEN event_id % 8 = 5 THEN CASE WHEN album_mbid IS NULL THEN 'none' ELSE 'delete' END
+      WHEN artist_id IS NULL AND album_id IS NULL THEN 'reject' WHEN event_id % 8 = 2 THEN 'sync_prune' ELSE 'sync' END AS action,
+    CASE event_id % 8 WHEN 1 THEN concat('/n/', user_id, '+/m/', user_id) WHEN 2 THEN concat('/r/', user_id) WHEN 7 THEN concat('/r/', user_id) ELSE '' END AS paths, CASE WHEN event_id % 8 = 2 THEN concat('/o/', user_id) ELSE '' END AS previous_paths,
+    CASE WHEN event_id % 8 = 4 THEN artist_mbid WHEN event_id % 8 = 5 THEN album_mbid END AS delete_value FROM raw""",
+)
+def i10(spark, d):
+    out = fresh_path(spark, "routed")
+    routed = EV.route_events(EV.parse_events(raw_events(event_stream(spark, d))))
+    flat = routed.select("event_id", "action", F.array_join("paths", "+").alias("paths"), F.array_join("previous_paths", "+").alias("previous_paths"), "delete_value")
+    flat.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "routed-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(flat.schema).parquet(out)
+
+
+@query("i11_notify_set", f"WITH {VIEWS} {INVALID}")
+def i11(spark, d):
+    """Nodes to invalidate per refresh, written to a sink table."""
+    out = fresh_path(spark, "notify")
+    fx = Fixtures(spark, d)
+    i = F.col("id")
+    state = F.when(i % 5 == 0, "removed").when(i % 7 == 0, "added").otherwise("changed")
+    hits = R.invalidated_nodes(*views(fx), changes=fx.tracks().select("id", state.alias("change")))
+    hits.write.parquet(out)
+    return spark.read.schema(hits.schema).parquet(out)
+
+
+@query(
+    "k6_refresh",
+    f"""WITH {RENDERED}, {SEEN} SELECT * FROM r WHERE id IN (SELECT id FROM ids)
+    UNION ALL SELECT id, content_version - CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END, format, CASE WHEN id % 2 = 0 THEN concat('old/', path) ELSE path END FROM r WHERE id NOT IN (SELECT id FROM ids) AND id % 5 <> 0""",
+)
+def k6(spark, d):
+    fx, state = seeded(spark, d, 0)
+    TL.apply_batch(state, fx.log().select("seq", "track_id"), lambda: (fx.tracks(), fx.tags()), TEMPLATE, default="Unknown")
+    return state.read()

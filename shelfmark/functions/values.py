@@ -58,7 +58,7 @@ def fixed_decimals(c, digits: int) -> Column:
         F.lit("."),
         F.lpad((n % unit).cast("string"), digits, "0"),
     )
-    return F.when(a < 1e9, text).otherwise(F.format_string(f"%.{digits}f", x))
+    return F.when(a < 1e9, text).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def gain_text(c) -> Column:

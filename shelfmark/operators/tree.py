@@ -374,6 +374,7 @@ def assign_node_ids(nodes: DataFrame, previous: DataFrame = None, case_insensiti
     retired entries stay until the map holds more than twice the live nodes.
     """
     now = nodes.select(_key(F.col("path"), case_insensitive).alias("path_key"), "introducing_id", "depth").where("path_key <> ''")
+    now = materialize(now, "nodes")
     spark = nodes.sparkSession
     root = spark.createDataFrame([("", 1)], "path_key string, inode bigint")
     if previous is None:

@@ -9,6 +9,7 @@ from shelfmark.functions import paths as P
 from shelfmark.operators import catalog as C
 from shelfmark.operators import ingest as I
 from shelfmark.operators.sync import bump_versions, version_steps
+from shelfmark.sources.shared import materialize
 
 # Format of a file when no probe said otherwise.
 EXTENSION_FORMAT = {"flac": "flac", "mp3": "mp3", "m4a": "m4a", "m4b": "m4a", "ogg": "vorbis", "oga": "vorbis", "opus": "opus", "wav": "wav"}
@@ -62,7 +63,8 @@ def scan(files: DataFrame, catalogue: dict, now: int, tier: str = "full", strict
     todo = unique if force else I.unknown_files(unique, tracks)
     rows = file_rows(todo)
     # A full hash is still at hand for confirming a move when the tier does not store it.
-    acts = I.match_moves(rows, tracks, files, strictness)
+    # The decisions feed tracks, tags and statistics: work them out once.
+    acts = materialize(I.match_moves(rows, tracks, files, strictness), "scan-actions")
     stored_sums = lambda df: df.withColumn("content_hash", F.when((F.col("action") == "retarget") | F.lit(tier == "full"), F.col("content_hash"))).withColumn(
         "fingerprint", F.col("fingerprint") if tier != "none" else F.lit(None).cast("string")
     )
@@ -74,6 +76,8 @@ def scan(files: DataFrame, catalogue: dict, now: int, tier: str = "full", strict
     moved = C.retarget_tracks(tracks, moves, now)
     rest = acts_stored.where("action <> 'retarget'").withColumnRenamed("path", "backing_path")
     new_tracks = C.upsert_tracks(moved, rest, now)
+    if file_tags is not None:
+        new_tracks = materialize(new_tracks, "scan-tracks")
     out = {**catalogue, "tracks": new_tracks}
     if file_tags is not None:
         ids = new_tracks.select(F.col("id").alias("track_id"), F.col("backing_path").alias("path"))
