@@ -93,8 +93,8 @@ def _scoped(fx):
 
 @query(
     "a08_scoped_collect",
-    f"""WITH e AS ({SCOPED}) SELECT event_id, count(*) AS n_files, min(f.id) AS first_file, max(f.id) AS last_file FROM e JOIN cfiles_fx f
-    ON CASE WHEN e.album_id IS NOT NULL THEN f.album_id = e.album_id ELSE f.artist_id = e.artist_id END GROUP BY event_id""",
+    f"""WITH e AS ({SCOPED}) SELECT event_id, n_files, first_file, last_file FROM e JOIN (SELECT album_id, count(*) AS n_files, min(id) AS first_file, max(id) AS last_file FROM cfiles_fx GROUP BY album_id) f ON f.album_id = e.album_id
+    UNION ALL SELECT event_id, n_files, first_file, last_file FROM e JOIN (SELECT artist_id, count(*) AS n_files, min(id) AS first_file, max(id) AS last_file FROM cfiles_fx GROUP BY artist_id) f ON f.artist_id = e.artist_id WHERE e.album_id IS NULL""",
 )
 def a08(spark, d):
     fx = Fixtures(spark, d)
