@@ -5,6 +5,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators.ordered import ranked
+
 REGISTRY = {}
 
 
@@ -94,17 +96,17 @@ class Fixtures:
         )
 
     def track_art(self) -> DataFrame:
-        from pyspark.sql import Window
-
-        # Bounded by construction: an order has few lines; the cap of 4 096 rows per track applies to it.
-        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_shipdate")
+        order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_shipdate"]
         j = self.table("lineitem").join(self.table("part").where(~F.col("p_name").like("red%")), F.col("l_partkey") == F.col("p_partkey"))
+        j = j.select("l_orderkey", *order, "l_returnflag", "p_name")
+        # Line number above part key never decreases along the order, so a hot order can be cut there.
+        j = ranked(j, ["l_orderkey"], order, F.col("l_linenumber") * F.lit(1 << 40) + F.col("l_partkey"), "rn")
         return j.select(
             (F.col("l_orderkey") + 1).alias("track_id"),
             F.when(F.col("l_partkey") % 101 == 0, F.sha2(F.lit("gone"), 256)).otherwise(F.sha2("p_name", 256)).alias("art_sha256"),
             (F.col("l_partkey") % 22).cast("int").alias("picture_type"),
             F.col("l_returnflag").alias("description"),
-            (F.row_number().over(w) - 1).cast("bigint").alias("ordinal"),
+            (F.col("rn") - 1).alias("ordinal"),
         )
 
     def blocks(self) -> DataFrame:

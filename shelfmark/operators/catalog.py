@@ -90,11 +90,11 @@ def with_next_ids(fresh: DataFrame, stored: DataFrame, order: str) -> DataFrame:
     Hash order cuts into even slices whatever the text looks like, so the numbering
     runs as 2**20 small windows plus one sum over the slice totals.
     """
-    first = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_first"))
+    first = stored.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
     hashed = fresh.withColumn("_hash", F.sha2(order, 256))
     slice_ = F.conv(F.left("_hash", F.lit(5)), 16, 10).cast("bigint")
     numbered = running_sums(hashed, [], ["_hash"], slice_, {"_n": F.lit(1).cast("bigint")})
-    return numbered.crossJoin(F.broadcast(first)).withColumn("id", F.col("_first") + F.col("_n")).drop("_first", "_n", "_hash")
+    return numbered.withColumn("id", first + F.col("_n")).drop("_n", "_hash")
 
 
 def retarget_tracks(stored: DataFrame, moves: DataFrame, now) -> DataFrame:

@@ -20,12 +20,31 @@ def id_bucket(c: str) -> Column:
 
 
 def _mark(df: DataFrame, keys, coarse: Column, hot_rows: int) -> DataFrame:
+    """Add `_hot` and `_bucket`, spread by group and bucket.
+
+    Hot groups are found by an 8-byte hash: two groups sharing one are both cut,
+    which changes no result. At most rows / hot_rows hashes pass the filter, so the
+    broadcast is 8 MB for 10**12 rows; without it the join would put each hot group
+    on one task. The explicit repartition keeps a partitioning by `keys` alone,
+    left by an earlier step, from doing the same.
+    """
     if not keys:
-        return df.withColumn("_hot", F.lit(True)).withColumn("_bucket", coarse.cast("bigint"))
-    # Counting combines on the map side; the result has at most rows / hot_rows keys.
-    hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    marked = df.join(hot, keys, "left")
-    return marked.withColumn("_bucket", F.when(F.col("_hot"), coarse.cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        marked = df.withColumn("_hot", F.lit(True)).withColumn("_bucket", coarse.cast("bigint"))
+        return marked.repartition("_bucket")
+    group = F.xxhash64(*keys)
+    hot = df.groupBy(group.alias("_group")).count().where(F.col("count") > hot_rows).select("_group", F.lit(True).alias("_hot"))
+    marked = df.withColumn("_group", group).join(F.broadcast(hot), "_group", "left").drop("_group")
+    bucket = F.when(F.col("_hot"), coarse.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return marked.withColumn("_bucket", bucket).repartition(*keys, "_bucket")
+
+
+def _add_offsets(local: DataFrame, offsets: DataFrame, keys) -> DataFrame:
+    """Left join on group and bucket; null group keys match each other."""
+    right = offsets.withColumnsRenamed({c: f"_k_{c}" for c in (*keys, "_bucket")})
+    same = F.col("_bucket") == F.col("_k__bucket")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return local.join(right, same, "left")
 
 
 def running_sums(df: DataFrame, keys, order, coarse: Column, sums: dict, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -38,7 +57,7 @@ def running_sums(df: DataFrame, keys, order, coarse: Column, sums: dict, hot_row
     # One row per bucket of a hot group, so this window sees few rows.
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bucket", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums])
-    joined = local.join(offsets, [*keys, "_bucket"], "left")
+    joined = _add_offsets(local, offsets, keys)
     kept = [c for c in df.columns if c not in sums]
     return joined.select(*kept, *[(F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums])
 
@@ -56,7 +75,7 @@ def with_previous(df: DataFrame, keys, order, coarse: Column, value: Column, nam
     local = marked.select("*", F.lag(F.struct(value.alias("v"))).over(step).alias("_prev"))
     last = marked.where("_hot").groupBy(*keys, "_bucket").agg(F.max_by(F.struct(value.alias("v")), F.struct(*order)).alias("_last"))
     carry = last.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry"))
-    joined = local.join(carry, [*keys, "_bucket"], "left")
+    joined = _add_offsets(local, carry, keys)
     return joined.select(*df.columns, F.coalesce("_prev", "_carry")["v"].alias(name))
 
 

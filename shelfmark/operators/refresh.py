@@ -28,8 +28,7 @@ def gap_rows(bounds: DataFrame, last_seq) -> DataFrame:
 
 def retained_log(log: DataFrame, ring: int = LOG_RING) -> DataFrame:
     """The newest `ring` sequence numbers: one scalar maximum, no window."""
-    top = log.agg(F.max("seq").alias("_top"))
-    return log.crossJoin(F.broadcast(top)).where(F.col("seq") > F.col("_top") - ring).drop("_top")
+    return log.where(F.col("seq") > log.agg(F.max("seq")).scalar() - ring)
 
 
 def running_versions(events: DataFrame, hot_rows=None) -> DataFrame:

@@ -7,6 +7,7 @@ from shelfmark.functions.paths import ascii_lower
 from shelfmark.operators.catalog import dedup_art, text_tags, tracks_with_tag, with_next_ids, with_ordinals
 from shelfmark.operators.ingest import missing_tracks
 from shelfmark.operators.rules import LINK_RULES, TAG_RULES, violations
+from shelfmark.sources.shared import materialize
 from shelfmark.schemas import MAX_BLOB_BYTES, MAX_MIME_CHARS
 
 MODES = ("replace", "merge")
@@ -59,10 +60,11 @@ def sync_records(catalogue: dict, pairs: DataFrame, art: DataFrame = None, delet
         records = pairs.select("record_key").unionByName(art.select("record_key")).unionByName(deletes.select("record_key")).distinct()
     tags, links, blobs = catalogue["tags"], catalogue["track_art"], catalogue["art"]
 
-    matched = match_records(records, catalogue["tracks"])
+    matched = materialize(match_records(records, catalogue["tracks"]), "sync-matches")
     problems = record_problems(pairs, art).join(matched.where("status = 'matched'").select("record_key"), "record_key", "left_semi")
     if dry_run:
         problems = problems.where(F.lit(False))
+    problems = materialize(problems, "sync-problems")
     good = matched.where("status = 'matched'").join(problems.select("record_key").distinct(), "record_key", "left_anti")
     size = F.octet_length("data")
     per_record = art.groupBy("record_key").agg(F.count_if(size <= MAX_BLOB_BYTES).alias("fit"), F.count_if(size > MAX_BLOB_BYTES).alias("over"))
@@ -85,15 +87,18 @@ def sync_records(catalogue: dict, pairs: DataFrame, art: DataFrame = None, delet
     added = with_ordinals(good_pairs.select("track_id", "pos", "key", "value")).select(
         "track_id", "key", "value", "ordinal", F.lit(None).cast("binary").alias("value_blob")
     )
+    added = materialize(added, "sync-tags")
     new_tags = kept.unionByName(added.select(*tags.columns))
 
     good_art = art.where(size <= MAX_BLOB_BYTES).join(good.select("record_key", "track_id"), "record_key")
     fresh = dedup_art(good_art.select("data", "mime", F.struct("track_id", "pos").alias("pos")), blobs)
     fresh = with_next_ids(fresh.withColumn("width", F.lit(None).cast("int")).withColumn("height", F.lit(None).cast("int")), blobs, "sha256")
-    new_blobs = blobs.unionByName(fresh.select(*blobs.columns))
+    fresh = materialize(fresh.select(*blobs.columns), "sync-art")
+    new_blobs = blobs.unionByName(fresh)
     ids = new_blobs.select(F.col("id").alias("art_id"), "sha256")
     linked = good_art.withColumn("sha256", F.sha2("data", 256)).drop("data").join(ids, "sha256")
     linked = with_ordinals(linked, ("track_id",)).select("track_id", "art_id", F.col("picture_type").cast("int").alias("picture_type"), "description", "ordinal")
+    linked = materialize(linked, "sync-links")
     relinked = linked.select("track_id").distinct()
     new_links = links.join(relinked, "track_id", "left_anti").select(*links.columns).unionByName(linked.select(*links.columns))
 

@@ -100,6 +100,7 @@ def contested_units(wishes: DataFrame, leaves: DataFrame) -> DataFrame:
     )
     crowded = groups.groupBy("parent").agg((F.max(F.octet_length("key")) > _SAFE_BYTES).alias("crowded"))
     groups = groups.join(crowded, "parent").withColumn("family", _family(F.col("key"), F.col("crowded")))
+    groups = materialize(groups, "name-groups")
     both = (F.col("n_files") > 0) & F.col("dir_min").isNotNull()
     pushing = groups.where((F.col("n_files") > 1) | both)
     pools = _pool_rows(pushing)
@@ -381,17 +382,14 @@ def assign_node_ids(nodes: DataFrame, previous: DataFrame = None, case_insensiti
         previous = root.withColumn("live", F.lit(True)).withColumn("next_inode", F.lit(2).cast("bigint"))
     known = previous.select("path_key", "inode")
     # next_inode survives pruning of the largest ids, so no id comes back.
-    start = previous.agg(F.greatest(F.max("inode") + 1, F.max("next_inode")).alias("first"))
+    start = previous.agg(F.greatest(F.max("inode") + 1, F.max("next_inode"))).scalar()
     fresh = dense_index(now.join(known, "path_key", "left_anti"), "introducing_id", ["depth"], "n")
-    fresh = fresh.crossJoin(F.broadcast(start)).select("path_key", (F.col("first") + F.col("n") - 1).alias("inode"))
+    fresh = fresh.select("path_key", (start + F.col("n") - 1).alias("inode"))
     kept = now.select("path_key").join(known, "path_key").select("path_key", "inode")
     live = kept.unionByName(fresh).unionByName(root).withColumn("live", F.lit(True))
     retired = known.where("path_key <> ''").join(now.select("path_key"), "path_key", "left_anti").withColumn("live", F.lit(False))
     every = live.unionByName(retired)
-    sizes = every.agg(F.count("*").alias("_all"), F.count_if("live").alias("_live"), F.greatest(F.max("inode") + 1, F.lit(2)).alias("_top"))
-    start2 = start.select(F.col("first").alias("_first"))
-    return (
-        every.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(start2))
-        .where(F.col("live") | (F.col("_all") <= 2 * F.col("_live")))
-        .select("path_key", "inode", "live", F.greatest("_top", "_first").alias("next_inode"))
-    )
+    every = materialize(every, "node-ids")
+    top = F.greatest(every.agg(F.max("inode") + 1).scalar(), start, F.lit(2).cast("bigint"))
+    keep_retired = every.agg(F.count("*") <= 2 * F.count_if("live")).scalar()
+    return every.where(F.col("live") | keep_retired).withColumn("next_inode", top)

@@ -32,9 +32,6 @@ def view(tracks: DataFrame, tags: DataFrame, template: str, case_insensitive: bo
 def preview(tracks: DataFrame, tags: DataFrame, template: str, limit: int = 30, case_insensitive: bool = False, **options) -> DataFrame:
     """The first paths in walk order with the counts of files and directories and how many more there are."""
     placed = tree.place(render(tracks, tags, template, **options).select("id", "path"), case_insensitive)
-    counts = tree.entry_counts(tree.tree_nodes(placed))
-    return (
-        tree.preview_paths(placed, limit)
-        .crossJoin(F.broadcast(counts))
-        .withColumn("more", F.greatest(F.col("files") - limit, F.lit(0)))
-    )
+    counts = tree.entry_counts(tree.tree_nodes(placed)).select(F.struct("files", "dirs")).scalar()
+    first = tree.preview_paths(placed, limit).withColumn("counts", counts)
+    return first.select("final_path", "counts.files", "counts.dirs", F.greatest(F.col("counts.files") - limit, F.lit(0)).alias("more"))
