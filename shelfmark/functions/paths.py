@@ -105,12 +105,21 @@ def is_suffix_shaped(name) -> Column:
     return F.coalesce(number.between(2, MAX_SUFFIX), F.lit(False))
 
 
-def canonical_suffix(name) -> Column:
-    """k when the name reads exactly as a generated ` (k)` name would, else null."""
-    number = F.regexp_extract(stem(name), r" \(([1-9][0-9]{0,9})\)\z", 1).try_cast("bigint")
+def suffix_number(stem_) -> Column:
+    """k when a stem reads exactly as a generated `stem (k)` would, else null."""
+    number = F.regexp_extract(col(stem_), r" \(([1-9][0-9]{0,9})\)\z", 1).try_cast("bigint")
     return F.when(number.between(2, MAX_SUFFIX), number)
 
 
+def suffix_base(stem_) -> Column:
+    """What stands before the ` (k)` of such a stem."""
+    return F.regexp_extract(col(stem_), r"(?s)^(.*) \([0-9]+\)\z", 1)
+
+
+def canonical_suffix(name) -> Column:
+    return suffix_number(stem(name))
+
+
 def join_path(parent, child) -> Column:
     return F.concat_ws("/", blank_to_null(parent), col(child))
 

@@ -42,20 +42,32 @@ def _prefix(keys, n) -> Column:
     return F.array_join(F.slice(P.col(keys), F.lit(1), n), "/")
 
 
-def directory_wishes(names: DataFrame) -> DataFrame:
-    """One row per base directory: parent, key, first track and its spelling."""
+def _directory_rows(names: DataFrame) -> DataFrame:
+    """One row per track and directory on its path."""
     at = names.where("depth > 1").select(
-        "id", "names", "keys", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("d")
+        "id", "names", "keys", "depth", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("d")
     )
-    return (
-        at.select(
-            "id",
-            _prefix("keys", F.col("d") - 1).alias("parent"),
-            F.col("keys")[F.col("d") - 1].alias("key"),
-            F.col("names")[F.col("d") - 1].alias("name"),
-        )
-        .groupBy("parent", "key")
-        .agg(F.min("id").alias("dir_min"), F.min_by("name", "id").alias("display"))
+    return at.select(
+        "id",
+        _prefix("keys", F.col("d") - 1).alias("parent"),
+        F.col("keys")[F.col("d") - 1].alias("key"),
+        F.col("names")[F.col("d") - 1].alias("name"),
+        "depth",
+        "d",
+    )
+
+
+def directory_wishes(names: DataFrame) -> DataFrame:
+    """One row per base directory: parent, key, first track and its spelling."""
+    return _directory_rows(names).groupBy("parent", "key").agg(F.min("id").alias("dir_min"), F.min_by("name", "id").alias("display"))
+
+
+def wished_names(names: DataFrame) -> DataFrame:
+    """Every name wished for in a directory: how many files, the first file and directory track."""
+    rows = leaf_wishes(names).select("parent", "key", "id", F.lit(False).alias("is_dir"))
+    rows = rows.unionByName(_directory_rows(names).select("parent", "key", "id", F.lit(True).alias("is_dir")))
+    return rows.groupBy("parent", "key").agg(
+        F.count_if(~F.col("is_dir")).alias("n_files"), F.min(F.when(F.col("is_dir"), F.col("id"))).alias("dir_min")
     )
 
 
@@ -69,77 +81,65 @@ def leaf_wishes(names: DataFrame) -> DataFrame:
     )
 
 
-def _family(key: Column, crowded: Column) -> Column:
+def _with_parts(df: DataFrame) -> DataFrame:
+    """Stem and extension of the key, worked out once."""
+    return df.withColumn("stem", P.stem("key")).withColumn("ext", P.dotted_extension("key"))
+
+
+def _family(stem: Column, ext: Column, crowded: Column) -> Column:
     """Names that can ever meet share it: the stem without generated suffixes.
     A directory with names near the byte limit is one family, as cutting mixes stems."""
-    root = F.regexp_replace(P.stem(key), r"( \([1-9][0-9]*\))+\z", "")
-    return F.when(crowded, F.lit("")).otherwise(F.concat(root, F.lit(_MARK), P.dotted_extension(key)))
+    root = F.regexp_replace(stem, r"( \([1-9][0-9]*\))+\z", "")
+    return F.when(crowded, F.lit("")).otherwise(F.concat(root, F.lit(_MARK), ext))
 
 
-def _pool_rows(groups: DataFrame) -> DataFrame:
+def _pool_rows(groups: DataFrame, any_long: bool) -> DataFrame:
     """(parent, key, pool stem, extension) for names that may hand out suffixes."""
-    long = F.octet_length("key") > _SAFE_BYTES
-    lengths = F.when(long, F.sequence(F.lit(1), F.lit(10))).otherwise(F.array(F.lit(1)))
-    return (
-        groups.select("parent", "key", F.explode(lengths).alias("digits"))
-        .select(
-            "parent",
-            "key",
-            P.suffix_stem("key", F.pow(F.lit(10), F.col("digits") - 1).cast("bigint")).alias("pool"),
-            P.dotted_extension("key").alias("ext"),
-        )
-        .distinct()
-    )
-
-
-def contested_units(wishes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(parent, family, with_dirs) units whose outcome the rank alone cannot give."""
-    files = leaves.groupBy("parent", "key").agg(F.count("*").alias("n_files"), F.min("id").alias("file_min"))
-    groups = files.join(wishes.select("parent", "key", "dir_min"), ["parent", "key"], "full").withColumn(
-        "n_files", F.coalesce("n_files", F.lit(0))
-    )
-    crowded = groups.groupBy("parent").agg((F.max(F.octet_length("key")) > _SAFE_BYTES).alias("crowded"))
-    groups = groups.join(crowded, "parent").withColumn("family", _family(F.col("key"), F.col("crowded")))
-    groups = materialize(groups, "name-groups")
+    short = groups.where(F.octet_length("key") <= _SAFE_BYTES).select("parent", "key", F.col("stem").alias("pool"), "ext")
+    if not any_long:
+        return short
+    digits = F.explode(F.sequence(F.lit(1), F.lit(10)))
+    long = groups.where(F.octet_length("key") > _SAFE_BYTES).select("parent", "key", "ext", digits.alias("digits"))
+    cut = P.suffix_stem("key", F.pow(F.lit(10), F.col("digits") - 1).cast("bigint"))
+    return short.unionByName(long.select("parent", "key", cut.alias("pool"), "ext").distinct())
+
+
+def contested_units(groups: DataFrame, any_long: bool) -> DataFrame:
+    """(parent, family, crowded, with_dirs) units whose outcome the rank alone cannot give."""
+    if any_long:
+        crowded = groups.groupBy("parent").agg((F.max(F.octet_length("key")) > _SAFE_BYTES).alias("crowded"))
+        groups = groups.join(crowded, "parent")
+    else:
+        groups = groups.withColumn("crowded", F.lit(False))
     both = (F.col("n_files") > 0) & F.col("dir_min").isNotNull()
-    pushing = groups.where((F.col("n_files") > 1) | both)
-    pools = _pool_rows(pushing)
-    k = P.canonical_suffix("key")
-    suffixed = groups.where(k.isNotNull()).select(
-        "parent",
-        "family",
-        F.regexp_extract(P.stem("key"), r"(?s)^(.*) \([0-9]+\)\z", 1).alias("pool"),
-        P.dotted_extension("key").alias("ext"),
-    )
-    met = suffixed.join(pools, ["parent", "pool", "ext"], "left_semi").select("parent", "family")
-    shared = pools.groupBy("parent", "pool", "ext").agg(F.countDistinct("key").alias("n")).where("n > 1")
-    cut = shared.select("parent", F.lit("").alias("family"))
-    units = groups.where(both).select("parent", "family").unionByName(met).unionByName(cut).distinct()
-    with_dirs = groups.where(F.col("dir_min").isNotNull()).select("parent", "family").distinct().withColumn("with_dirs", F.lit(True))
-    return (
-        units.join(with_dirs, ["parent", "family"], "left")
-        .join(crowded, "parent")
-        .select("parent", "family", "crowded", F.coalesce("with_dirs", F.lit(False)).alias("with_dirs"))
-    )
-
-
-def contested_tracks(names: DataFrame, leaves: DataFrame, units: DataFrame) -> DataFrame:
-    """id, first_depth: where the path of a track first enters a contested unit."""
+    pools = _pool_rows(groups.where((F.col("n_files") > 1) | both), any_long)
+    unit = ["parent", "family", "crowded"]
+    family = _family(F.col("stem"), F.col("ext"), F.col("crowded")).alias("family")
+    suffixed = groups.where(P.suffix_number("stem").isNotNull()).select("parent", "crowded", family, P.suffix_base("stem").alias("pool"), "ext")
+    units = suffixed.join(pools, ["parent", "pool", "ext"], "left_semi").select(*unit)
+    units = units.unionByName(groups.where(both).select("parent", family, "crowded"))
+    if any_long:
+        shared = pools.groupBy("parent", "pool", "ext").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
+        units = units.unionByName(shared.select("parent", F.lit("").alias("family"), F.lit(True).alias("crowded")))
+    dirs = groups.where(F.col("dir_min").isNotNull()).select("parent", family).distinct().withColumn("dirs", F.lit(True))
+    return units.distinct().join(dirs, ["parent", "family"], "left").select(*unit, F.coalesce("dirs", F.lit(False)).alias("with_dirs"))
+
+
+def contested_tracks(names: DataFrame, units: DataFrame, facts) -> DataFrame:
+    """id, depth, first_depth: where the path of a track first enters a contested unit."""
     def hit(at: DataFrame, some_units: DataFrame) -> DataFrame:
         out = None
-        for crowded in (False, True):
-            u = some_units.where(F.col("crowded") == F.lit(crowded)).select("parent", "family")
-            j = at.withColumn("family", _family(F.col("key"), F.lit(crowded))).join(u, ["parent", "family"], "left_semi")
-            out = j if out is None else out.unionByName(j)
-        return out.select("id", "d")
-
-    at_leaf = hit(leaves.select("id", "parent", "key", F.col("depth").alias("d")), units)
-    deep = names.where("depth > 1").select("id", "keys", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("d"))
-    at_dir = hit(
-        deep.select("id", _prefix("keys", F.col("d") - 1).alias("parent"), F.col("keys")[F.col("d") - 1].alias("key"), "d"),
-        units.where("with_dirs"),
-    )
-    return at_leaf.unionByName(at_dir).groupBy("id").agg(F.min("d").alias("first_depth"))
+        for crowded, n in ((False, facts["plain"]), (True, facts["crowded"])):
+            if n:
+                u = some_units.where(F.col("crowded") == F.lit(crowded)).select("parent", "family")
+                j = _with_parts(at).withColumn("family", _family(F.col("stem"), F.col("ext"), F.lit(crowded))).join(u, ["parent", "family"], "left_semi")
+                out = j if out is None else out.unionByName(j)
+        return out.select("id", "depth", "d")
+
+    found = hit(leaf_wishes(names).withColumn("d", F.col("depth")).select("id", "depth", "d", "parent", "key"), units)
+    if facts["with_dirs"]:
+        found = found.unionByName(hit(_directory_rows(names).drop("name"), units.where("with_dirs")))
+    return found.groupBy("id", "depth").agg(F.min("d").alias("first_depth"))
 
 
 # --------------------------------------------------------------------------
@@ -188,18 +188,12 @@ def settle_names(wishes: DataFrame, folded: bool = False, hot_rows: int = HOT_RO
         F.min_by(F.when(F.col("is_dir"), F.col("name")), F.when(F.col("is_dir"), F.col("id"))).alias("dir_name"),
         F.min("id").alias("first_id"),
     )
-    groups = materialize(groups, "wished-names")
-    k = P.canonical_suffix("key")
-    specials = groups.where(k.isNotNull()).select(
-        "parent",
-        "key",
-        "first_id",
-        k.alias("k"),
-        F.regexp_extract(P.stem("key"), r"(?s)^(.*) \([0-9]+\)\z", 1).alias("pool"),
-        P.dotted_extension("key").alias("ext"),
-    )
-    specials = materialize(specials, "suffix-shaped")
-    long_names = not groups.where(F.octet_length("key") > _SAFE_BYTES).isEmpty()
+    groups = _with_parts(groups)
+    groups = materialize(groups.withColumn("k", P.suffix_number("stem")), "wished-names")
+    k = F.col("k")
+    specials = groups.where(k.isNotNull()).select("parent", "key", "first_id", "k", P.suffix_base("stem").alias("pool"), "ext")
+    facts = groups.agg(F.max(F.octet_length("key")).alias("longest"), F.count_if(k.isNotNull()).alias("specials")).head()
+    long_names = (facts["longest"] or 0) > _SAFE_BYTES
     taken = spark.createDataFrame([], "parent string, key string, by_id bigint, by_dir boolean")
 
     def one_round(taken):
@@ -207,6 +201,8 @@ def settle_names(wishes: DataFrame, folded: bool = False, hot_rows: int = HOT_RO
         g = groups.join(taken, ["parent", "key"], "left").select(
             "parent",
             "key",
+            "stem",
+            "ext",
             "by_id",
             "dir_name",
             F.when(F.col("by_id").isNull() & file_first, F.col("file_min")).alias("file_owner"),
@@ -215,10 +211,10 @@ def settle_names(wishes: DataFrame, folded: bool = False, hot_rows: int = HOT_RO
         w = wishes.join(g, ["parent", "key"])
         settled = F.when(F.col("is_dir"), F.col("shared_dir")).otherwise(F.coalesce(F.col("id") == F.col("file_owner"), F.lit(False)))
         w = w.withColumn("settled", settled)
-        arrivals = w.where(~F.col("settled")).select("id", "parent", "key", "is_dir")
+        arrivals = w.where(~F.col("settled")).select("id", "parent", "key", "stem", "ext", "is_dir")
         placed, wins = [], []
         short = arrivals.where(F.octet_length("key") <= _SAFE_BYTES).select(
-            "parent", P.stem("key").alias("pool"), P.dotted_extension("key").alias("ext"), "id", "is_dir"
+            "parent", F.col("stem").alias("pool"), "ext", "id", "is_dir"
         )
         p, _, v = _pool_pass(short, specials, taken, 2, None, hot_rows)
         placed.append(p)
@@ -228,7 +224,7 @@ def settle_names(wishes: DataFrame, folded: bool = False, hot_rows: int = HOT_RO
             while digits <= 10 and not rest.isEmpty():
                 low, high = max(2, 10 ** (digits - 1)), min(10**digits - 1, MAX_SUFFIX)
                 level = rest.select(
-                    "parent", P.suffix_stem("key", F.lit(low)).alias("pool"), P.dotted_extension("key").alias("ext"), "id", "is_dir"
+                    "parent", P.suffix_stem("key", F.lit(low)).alias("pool"), "ext", "id", "is_dir"
                 )
                 p, over, v = _pool_pass(level, specials.where(F.col("k").between(low, high)), taken, low, high, hot_rows)
                 placed.append(p)
@@ -241,9 +237,10 @@ def settle_names(wishes: DataFrame, folded: bool = False, hot_rows: int = HOT_RO
         return w, all_placed, all_wins
 
     w, placed, wins = one_round(taken)
-    while not specials.isEmpty():
+    while facts["specials"]:
         wins = materialize(wins, "suffix-wins")
-        if wins.exceptAll(taken).isEmpty() and taken.exceptAll(wins).isEmpty():
+        both = wins.withColumn("w", F.lit(1)).unionByName(taken.withColumn("w", F.lit(-1)))
+        if both.groupBy(*wins.columns).agg(F.sum("w").alias("w")).where("w <> 0").isEmpty():
             break
         taken = wins
         w, placed, wins = one_round(taken)
@@ -270,21 +267,27 @@ def place(rendered: DataFrame, case_insensitive: bool = False, hot_rows: int = H
     """
     folded = case_insensitive
     names = materialize(split_names(rendered.where(F.col("path").isNotNull()), folded), "names")
-    leaves, wishes = leaf_wishes(names), directory_wishes(names)
-    if folded:
-        wishes = materialize(wishes, "directories")
-    contested = materialize(contested_tracks(names, leaves, contested_units(wishes, leaves)), "contested")
-    free = ranked(leaves.join(contested, "id", "left_anti"), ["parent", "key"], ["id"], id_bucket("id"), "r", hot_rows)
+    leaves = leaf_wishes(names)
+    wishes = materialize(directory_wishes(names), "directories") if folded else None
+    groups = materialize(_with_parts(wished_names(names)), "name-groups")
+    longest = groups.agg(F.max(F.octet_length("key"))).head()[0] or 0
+    units = materialize(contested_units(groups, longest > _SAFE_BYTES), "contested-units")
+    facts = units.agg(F.count_if(~F.col("crowded")).alias("plain"), F.count_if("crowded").alias("crowded"), F.count_if("with_dirs").alias("with_dirs")).head()
+    contested = None
+    if facts["plain"] or facts["crowded"]:
+        contested = materialize(contested_tracks(names, units, facts), "contested")
+    calm = leaves if contested is None else leaves.join(contested, "id", "left_anti")
+    free = ranked(calm, ["parent", "key"], ["id"], id_bucket("id"), "r", hot_rows)
     free = free.select(
         "id",
         F.lit(None).cast("string").alias("moved_parent"),
         F.when(F.col("r") > 1, P.suffix_candidate("name", "r")).otherwise(F.col("name")).alias("name"),
     )
-    span = contested.join(names.select("id", "depth"), "id").agg(F.min("first_depth").alias("lo"), F.max("depth").alias("hi"), F.count("*").alias("n")).head()
     spelled = _spelled_parents(names, wishes) if folded else names.select("id", _prefix("names", F.col("depth") - 1).alias("spelled"), F.element_at("names", -1).alias("rendered_name"))
     placed = free
-    if span["n"]:
-        here = names.join(contested, "id").join(spelled.select("id", F.split("spelled", "/").alias("shown_dirs")), "id").withColumn("at", F.lit(None).cast("string")).withColumn("at_name", F.lit(None).cast("string"))
+    if contested is not None:
+        span = contested.agg(F.min("first_depth").alias("lo"), F.max("depth").alias("hi")).head()
+        here = names.join(contested.select("id", "first_depth"), "id").join(spelled.select("id", F.split("spelled", "/").alias("shown_dirs")), "id").withColumn("at", F.lit(None).cast("string")).withColumn("at_name", F.lit(None).cast("string"))
         for d in range(span["lo"], span["hi"] + 1):
             here = materialize(here, "walk")
             live = here.where((F.col("first_depth") <= d) & (F.col("depth") >= d))
@@ -310,6 +313,24 @@ def place(rendered: DataFrame, case_insensitive: bool = False, hot_rows: int = H
     return out.select("id", P.join_path("parent_path", "name").alias("final_path"), "parent_path", "name", "rendered_name")
 
 
+def place_touched(rendered: DataFrame, touched: DataFrame, case_insensitive: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Places of the top-level name families that `touched` paths (old and new) fall into.
+
+    Names in different top-level families never meet, so all other tracks keep the
+    place they had. The whole library costs one scan of its paths; only the touched
+    families are placed anew.
+    """
+    paths = rendered.where(F.col("path").isNotNull())
+    roots = lambda df: split_names(df, case_insensitive).select("id", F.col("keys")[0].alias("root"))
+    parts = lambda df: df.withColumn("stem", P.stem("root")).withColumn("ext", P.dotted_extension("root"))
+    crowded = roots(paths).agg(F.coalesce(F.max(F.octet_length("root")) > _SAFE_BYTES, F.lit(False))).scalar()
+    family = _family(F.col("stem"), F.col("ext"), crowded).alias("family")
+    some = touched.where(F.col("path").isNotNull()).select(F.lit(0).cast("bigint").alias("id"), "path")
+    hit = parts(roots(some)).select(family).distinct()
+    ids = parts(roots(paths)).select("id", family).join(hit, "family", "left_semi").select("id")
+    return place(paths.join(ids, "id", "left_semi"), case_insensitive, hot_rows)
+
+
 def _spelled_parents(names: DataFrame, wishes: DataFrame) -> DataFrame:
     """Parent path with each merged directory spelled as its first track spelled it."""
     steps = names.where("depth > 1").select("id", "keys", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("d"))
