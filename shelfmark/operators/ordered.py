@@ -48,8 +48,14 @@ def _add_offsets(local: DataFrame, offsets: DataFrame, keys) -> DataFrame:
 
 
 def running_sums(df: DataFrame, keys, order, coarse: Column, sums: dict, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add inclusive running sums of `sums` per `keys` along `order`."""
+    """Add inclusive running sums of `sums` per `keys` along `order`.
+
+    hot_rows None: the caller has counted and no group is hot; one plain window does.
+    """
     keys = list(keys)
+    if hot_rows is None:
+        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*[c for c in df.columns if c not in sums], *[F.sum(e).over(plain).alias(n) for n, e in sums.items()])
     marked = _mark(df, keys, coarse, hot_rows)
     frame = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = marked.select("*", *[F.sum(e).over(frame).alias(n) for n, e in sums.items()])

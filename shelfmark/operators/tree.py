@@ -187,12 +187,15 @@ def settle_names(wishes: DataFrame, folded: bool = False, hot_rows: int = HOT_RO
         F.min(F.when(F.col("is_dir"), F.col("id"))).alias("dir_min"),
         F.min_by(F.when(F.col("is_dir"), F.col("name")), F.when(F.col("is_dir"), F.col("id"))).alias("dir_name"),
         F.min("id").alias("first_id"),
+        F.count("*").alias("n"),
     )
     groups = _with_parts(groups)
     groups = materialize(groups.withColumn("k", P.suffix_number("stem")), "wished-names")
     k = F.col("k")
     specials = groups.where(k.isNotNull()).select("parent", "key", "first_id", "k", P.suffix_base("stem").alias("pool"), "ext")
-    facts = groups.agg(F.max(F.octet_length("key")).alias("longest"), F.count_if(k.isNotNull()).alias("specials")).head()
+    facts = groups.agg(F.max(F.octet_length("key")).alias("longest"), F.count_if(k.isNotNull()).alias("specials"), F.sum("n").alias("rows")).head()
+    if (facts["rows"] or 0) <= hot_rows:
+        hot_rows = None
     long_names = (facts["longest"] or 0) > _SAFE_BYTES
     taken = spark.createDataFrame([], "parent string, key string, by_id bigint, by_dir boolean")
 
@@ -270,14 +273,15 @@ def place(rendered: DataFrame, case_insensitive: bool = False, hot_rows: int = H
     leaves = leaf_wishes(names)
     wishes = materialize(directory_wishes(names), "directories") if folded else None
     groups = materialize(_with_parts(wished_names(names)), "name-groups")
-    longest = groups.agg(F.max(F.octet_length("key"))).head()[0] or 0
+    sizes = groups.agg(F.max(F.octet_length("key")).alias("longest"), F.max("n_files").alias("largest")).head()
+    longest = sizes["longest"] or 0
     units = materialize(contested_units(groups, longest > _SAFE_BYTES), "contested-units")
     facts = units.agg(F.count_if(~F.col("crowded")).alias("plain"), F.count_if("crowded").alias("crowded"), F.count_if("with_dirs").alias("with_dirs")).head()
     contested = None
     if facts["plain"] or facts["crowded"]:
         contested = materialize(contested_tracks(names, units, facts), "contested")
     calm = leaves if contested is None else leaves.join(contested, "id", "left_anti")
-    free = ranked(calm, ["parent", "key"], ["id"], id_bucket("id"), "r", hot_rows)
+    free = ranked(calm, ["parent", "key"], ["id"], id_bucket("id"), "r", hot_rows if (sizes["largest"] or 0) > hot_rows else None)
     free = free.select(
         "id",
         F.lit(None).cast("string").alias("moved_parent"),
