@@ -115,7 +115,10 @@ def match_moves(new_files: DataFrame, tracks: DataFrame, inventory: DataFrame, s
         .groupBy("fingerprint")
         .agg(F.count("*").alias("candidates"), F.min("id").alias("cand_id"), F.min("content_hash").alias("cand_hash"))
     )
-    j = new_files.join(known, "path", "left").join(alone, "fingerprint", "left")
+    # Files without a fingerprint match nothing; their own path spreads them over the join.
+    wanted = F.coalesce(F.col("fingerprint"), F.concat(F.lit("none:"), F.col("path")))
+    alone = alone.withColumnRenamed("fingerprint", "_wanted")
+    j = new_files.join(known, "path", "left").withColumn("_wanted", wanted).join(alone, "_wanted", "left").drop("_wanted")
     agrees = F.coalesce(F.col("content_hash") == F.col("cand_hash"), F.lit(False))
     confirmed = {
         "fast": F.lit(True),
