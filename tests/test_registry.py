@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from conftest import SF
 from tools.compare import TABLES, rows_of
 
-SAMPLE = ["a03_physical_dedup", "a11_upsert_tracks", "b09_tag_rules", "c08_moves_auto", "c14_fill_absent_keys", "c18_range_join", "d02_first_values", "e02_collision_rank_hot", "e07_geometry_changes", "g05_reconcile_dropped", "h34_gain_and_peak", "k3_place_contested", "k8_map_importer_items", "k10_map_collection_records"]
+SAMPLE = ["a03_physical_dedup", "a11_upsert_tracks", "b09_tag_rules", "c08_moves_auto", "c14_fill_absent_keys", "c18_range_join", "d02_first_values", "e02_collision_rank_hot", "e07_geometry_changes", "g05_reconcile_dropped", "h34_gain_and_peak", "k8_map_importer_items"]
 
 
 @pytest.fixture(scope="module")
