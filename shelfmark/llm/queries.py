@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import table
+from shelfmark.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,33 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"), threshold=3)
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"), weights=[1, 2, 3], cap=3)
+
+
+def tokenizer_path(name: str) -> str:
+    """The installed vocabulary files; a path is the operators' parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_token_ids")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.tokens import read_ids, write_ids
+
+    path = Scratch(spark, "token-ids").path("ids")
+    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return read_ids(spark, path, digest=True)
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))

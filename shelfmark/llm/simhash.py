@@ -2,7 +2,7 @@
 
 Anchors are the words of a covering code: every fingerprint is within the covering radius of an anchor, its home.
 The code is a product of perfect codes over disjoint bit blocks, two binary Golay codes of 23 bits (covering radius
-3 each) and, for very many fingerprints, a Hamming code of 15 bits (radius 1). Two fingerprints that differ in d <= 3
+3 each) and a Hamming code of 15 bits (radius 1): 2^35 anchors, some 150 of them in reach of a fingerprint. Two fingerprints that differ in d <= 3
 bits have a point z between them, at most 1 bit from one and 2 bits from the other; the home of z is then within the
 covering radius plus 2 of both. So each fingerprint is replicated to all anchors within the covering radius plus
 ceil(threshold / 2), counted per block, and fingerprints are compared per anchor. No link can be missed, and no
@@ -88,8 +88,6 @@ class Block:
         self.starts = np.searchsorted(syndromes[order], np.arange((1 << size) + 1))
         self.columns = np.array(columns, np.int64)
         self.mask = np.uint64(((1 << self.width) - 1) << shift)
-        #: A block has 2^anchor_bits anchors; per point they are this many within reach, on average.
-        self.anchor_bits, self.spread = self.width - size, len(patterns) / (1 << size)
 
     def syndrome(self, points: np.ndarray) -> np.ndarray:
         out = np.zeros(len(points), np.int64)
@@ -108,25 +106,14 @@ def golay_columns() -> list[int]:
 
 
 @cache
-def blocks(levels: int, slack: int) -> tuple[Block, ...]:
-    made = [Block(0, golay_columns(), 3, slack), Block(23, golay_columns(), 3, slack), Block(46, list(range(1, 16)), 1, slack)]
-    return tuple(made[:levels])
+def blocks(slack: int) -> tuple[Block, ...]:
+    return (Block(0, golay_columns(), 3, slack), Block(23, golay_columns(), 3, slack), Block(46, list(range(1, 16)), 1, slack))
 
 
-def levels_for(n: int, slack: int) -> int:
-    """Fewest blocks with at most four replicas an anchor on average; three at most."""
-    rows, anchors = 1.0, 1.0
-    for k, b in enumerate(blocks(3, slack), 1):
-        rows, anchors = rows * b.spread, anchors * 2.0**b.anchor_bits
-        if n * rows <= 4 * anchors:
-            return k
-    return 3
-
-
-def anchors(points: np.ndarray, levels: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(points: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, index of the point) for every anchor within the covering radius plus slack of each point."""
     at, anchor, excess = np.arange(len(points)), np.zeros(len(points), np.uint64), np.zeros(len(points), np.int64)
-    for b in blocks(levels, slack):
+    for b in blocks(slack):
         s = b.syndrome(points)[at]
         n = b.starts[s + 1] - b.starts[s]
         rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -204,17 +191,16 @@ def compare(anchor: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndar
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def links(distinct: DataFrame, n: int, threshold: int = 3) -> DataFrame:
-    """(u, v), u > v: links between the n distinct values of `fp` that connect all at `threshold` or fewer bits."""
+def links(distinct: DataFrame, threshold: int = 3) -> DataFrame:
+    """(u, v), u > v: links between the distinct values of `fp` that connect all at `threshold` or fewer bits."""
     slack = math.ceil(threshold / 2)
-    levels = levels_for(n, slack)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             points = b.column(0).to_numpy().astype(np.uint64)
             for i in range(0, len(points), 4096):
                 part = points[i : i + 4096]
-                anchor, at = anchors(part, levels, slack)
+                anchor, at = anchors(part, slack)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(part[at].astype(np.int64))], ["anchor", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +233,7 @@ def near_duplicates(df: DataFrame, threshold: int = 3, key: str = "doc_id", text
     scratch = Scratch(df.sparkSession, "simhash")
     docs = scratch.write(fingerprints(df, key, text), "fingerprints")
     distinct = scratch.write(docs.groupBy("fp").agg(F.min(key).alias("low")), "distinct")
-    labels = components(links(distinct, distinct.count(), threshold), scratch)
+    labels = components(links(distinct, threshold), scratch)
     linked = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
     linked = scratch.write(linked.join(distinct, linked["node"] == distinct["fp"]).select("fp", "label", "low"), "linked")
     lows = linked.groupBy("label").agg(F.min("low").alias("component_id"))
