@@ -31,7 +31,7 @@ PER_LANGUAGE, SAMPLE_BYTES, MAX_LANGUAGES = 500, 24 << 20, 200
 #: Words in the pieces that a sampled document is cut into for training, and pieces taken of each document.
 PIECES, PIECES_EACH, EPOCHS, RATE = (3, 8, 25, 100), 6, 4, 0.3
 #: Share of well-labelled documents that the rejection threshold may cost, and the highest threshold.
-REJECT_SHARE, HIGHEST = 0.001, 0.6
+REJECT_SHARE, HIGHEST = 0.001, 0.4
 SLICE = 1 << 20
 UNKNOWN = "und"
 ANSWER = "lang string, score double, rejected boolean"
