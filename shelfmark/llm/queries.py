@@ -102,3 +102,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op2_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.extract import extract
+
+    rows = extract(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
