@@ -117,3 +117,61 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = extract(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(i))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role)) AS loss_sha256,
+  CAST(sum(length(text) + len(regexp_extract_all(text, '\\|### (?:System|User|Assistant|Role):|</turn>')) + 8
+    + CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 11 + length(role) + len(regexp_extract_all(role, '\\|\n|### (?:System|User|Assistant|Role):|</turn>')) END) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@query("op1_chat_formatting", CHAT_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7 whose texts look like control strings."""
+    from shelfmark.llm.chat import format_chat, read_back
+
+    odd = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path = tokenizer_path("byte_bpe_50k.json")
+    return read_back(format_chat(rows, path), path)
+
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, md5(coalesce(CAST(page_id AS VARCHAR), '') || chr(10) || coalesce(url, '')) AS h FROM pages),
+s AS (SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS source, octet_length(encode(html)) AS n, chr(13) || chr(10) AS nl FROM p),
+t AS (SELECT *, 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || n || nl || nl || html AS block,
+  'sha256:' || sha256(html) AS payload_digest, md5(source || chr(10) || 'conversion') AS hc, md5(source || chr(10) || 'metadata') AS hm,
+  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', '', 'g'),
+    '(?i)</?(?:address|article|aside|blockquote|body|br|div|dd|dl|dt|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS raw FROM s),
+u AS (SELECT *, '<urn:uuid:' || hc[1:8] || '-' || hc[9:12] || '-' || hc[13:16] || '-' || hc[17:20] || '-' || hc[21:32] || '>' AS cid, '<urn:uuid:' || hm[1:8] || '-' || hm[9:12] || '-' || hm[13:16] || '-' || hm[17:20] || '-' || hm[21:32] || '>' AS mid,
+  trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(raw, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\x0b\f\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS text,
+  'status: HTTP/1.1 200 OK' || nl || 'source-header: Content-Type: text/html; charset=utf-8' || nl || 'source-header: Content-Length: ' || n || nl || 'source-block-digest: sha256:' || sha256(block) || nl || 'source-payload-digest: ' || payload_digest || nl || 'source-length: ' || n || nl AS told FROM t),
+v AS (SELECT *, 'WARC-Refers-To: ' || source || nl || coalesce('WARC-Refers-To-Target-URI: ' || url || nl, '') || 'WARC-Refers-To-Date: 1970-01-01T00:00:00Z' || nl || coalesce('WARC-Target-URI: ' || url || nl, '') || 'WARC-Date: 1970-01-01T00:00:00Z' || nl AS about FROM u),
+w AS (
+  SELECT page_id, 'conversion' AS kind, cid AS record_id, source, url, text AS body, payload_digest,
+    'WARC/1.1' || nl || 'WARC-Type: conversion' || nl || 'WARC-Record-ID: ' || cid || nl || about || 'WARC-Source-Payload-Digest: ' || payload_digest || nl || 'WARC-Block-Digest: sha256:' || sha256(text) || nl || 'Content-Type: text/plain; charset=utf-8' || nl || 'Content-Length: ' || octet_length(encode(text)) || nl || nl || text || nl || nl AS record FROM v
+  UNION ALL
+  SELECT page_id, 'metadata', mid, source, url, told, payload_digest,
+    'WARC/1.1' || nl || 'WARC-Type: metadata' || nl || 'WARC-Record-ID: ' || mid || nl || about || 'WARC-Concurrent-To: ' || cid || nl || 'WARC-Block-Digest: sha256:' || sha256(told) || nl || 'Content-Type: application/warc-fields' || nl || 'Content-Length: ' || octet_length(encode(told)) || nl || nl || told || nl || nl FROM v)
+SELECT page_id, kind, record_id, source AS refers_to, url AS target_uri, 'sha256:' || sha256(body) AS block_digest, payload_digest AS source_digest,
+  CAST(octet_length(encode(record)) AS BIGINT) AS record_bytes, sha256(record) AS record_sha256 FROM w
+"""
+
+
+@query("op7_warc_derivatives", WARC_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both derivatives of every page's response record, with the digest of their bytes."""
+    from shelfmark.llm.warc import derive, responses
+
+    rows = derive(responses(table(spark, sf_dir, "pages")), "page_id")
+    whole = [F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256")]
+    return rows.select("page_id", "kind", "record_id", "refers_to", "target_uri", "block_digest", "source_digest", *whole)
