@@ -43,3 +43,20 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a narrow key table that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of keys, marked for broadcast if it was counted and is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import as_bytes
+from shelfmark.llm.common import as_bytes, spare_name
 
 ORDERS, BUCKETS, WIDTH = (2, 3, 4, 5), 1 << 16, 16
 PER_LANGUAGE, SAMPLE_BYTES, MAX_LANGUAGES = 500, 24 << 20, 200
@@ -212,3 +212,10 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     model = train(df.where(~held_out(key)), key, text, lang)
     out = df.select(F.col(key), held_out(key).alias("held_out"), predicted(model, text).alias("found"))
     return out.select(key, "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.rejected").alias("rejected"))
+
+
+def keep_identified(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of df whose language is not rejected, all columns."""
+    name = spare_name(df, "language_found")
+    model = train(df.where(~held_out(key)), key, text, lang)
+    return df.withColumn(name, predicted(model, text)).where(~F.col(name)["rejected"]).drop(name)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import WORD, Scratch
+from shelfmark.llm.common import WORD, Scratch, small, spare_name
 
 #: Units that fly together, and the most sources that may be planned (their table is handled on the driver).
 BLOCK, MAX_SOURCES = 4096, 1_000_000
@@ -201,3 +201,15 @@ def mixed(df: DataFrame, weights: list[int] = (1, 2, 3), cap: int = CAP) -> Data
     rows = units.join(sources.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
     rows = rows.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def apply_mix(df: DataFrame, weights: list[int] = (1, 2, 3), cap: int = CAP) -> DataFrame:
+    """The rows of df, each as often as the mix takes it, all columns."""
+    units, _ = mix(df, weights, cap)
+    size = spare_name(df, "row_size")
+    chosen = units.where("copies > 0").select(F.col("doc_id").alias("u_id"), F.col("source").alias("u_source"), F.col("size").alias("u_size"), "copies")
+    rows = df.select(*[F.col(c).alias(f"r_{c}") for c in df.columns], words().alias("r_" + size), F.col("doc_id").cast("long").alias("k_id"), F.col("source").cast("string").alias("k_source"))
+    same = F.col("k_id").eqNullSafe(F.col("u_id")) & F.col("k_source").eqNullSafe(F.col("u_source")) & (F.col("r_" + size) == F.col("u_size"))
+    taken = rows.join(small(chosen), same)
+    taken = taken.withColumn("k_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*[F.col(f"r_{c}").alias(c) for c in df.columns])

@@ -22,12 +22,13 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import Scratch, as_bytes
+from shelfmark.llm.common import Scratch, as_bytes, small, spare_name
 from shelfmark.llm.components import components
 
 #: Fixed values of the fingerprint: hash seed, words in a shingle, bits.
@@ -242,5 +243,39 @@ def near_duplicates(df: DataFrame, threshold: int = 3, key: str = "doc_id", text
     return docs.join(ids, "fp").select(key, "fp", "component_id")
 
 
+def deduplicate(df: DataFrame, threshold: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, all columns: that of the smallest id.
+
+    A null id is replaced, for the choice only, by a negative number made from the row's columns. Where an id is
+    repeated, its rows are told apart by their fingerprints: of equal ones a single row stays.
+    """
+    scratch, name = Scratch(df.sparkSession, "deduplicate"), spare_name(df, "row_key")
+    made = F.shiftrightunsigned(F.xxhash64(*df.columns), 1) - F.lit(2**62) - F.lit(2**62)
+    keyed = df.withColumn(name, F.coalesce(F.col(key).cast("long"), made))
+    found = near_duplicates(keyed, threshold, name, text)
+    chosen = F.col(name) == F.col("component_id")
+    counts = found.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.count_if(chosen).alias("n_chosen")).where("n > 1 OR n_chosen = 0")
+    other = scratch.write(counts.select(F.col(name).alias("other_key"), (F.col("n_chosen") > 0).alias("repeated")), "other")
+    out = keyed.join(small(other), F.col(name) == F.col("other_key"), "left_anti")
+    repeated = other.where("repeated")
+    if not repeated.isEmpty():
+        fp = spare_name(keyed, "row_fp")
+        rows = keyed.join(repeated, F.col(name) == F.col("other_key"), "left_semi").withColumn(fp, _fingerprint(as_bytes(text)))
+        kept = found.where(chosen).select(F.col(name).alias("kept_key"), F.col("fp").alias("kept_fp")).distinct()
+        rows = rows.join(kept, (F.col(name) == F.col("kept_key")) & (F.col(fp) == F.col("kept_fp")), "left_semi")
+        out = out.unionByName(rows.dropDuplicates([name, fp]).drop(fp))
+    return out.select(*df.columns)
+
+
+def _fingerprint(body: Column) -> Column:
+    """`fp` of a column of bytes."""
+
+    @F.pandas_udf("long")
+    def run(bodies: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in bodies], np.uint64).astype(np.int64))
+
+    return run(body)
+
+
 def hex_fingerprint() -> Column:
     return F.lpad(F.lower(F.hex("fp")), 16, "0")
