@@ -20,6 +20,17 @@ def as_bytes(column: str) -> Column:
     return F.col(column).cast("string").cast("binary")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own bound is meant for narrow rows.
+BATCH_BYTES = "4m"
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep batches of long texts small, in the JVM and in Python, unless the session has a bound of its own."""
+    if spark.conf.get(_ARROW_BYTES) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(_ARROW_BYTES, BATCH_BYTES)
+
+
 class Scratch:
     """Intermediate tables of one run, written to the folder that all executors share.
 

@@ -26,26 +26,41 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import operator
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import as_bytes
+from shelfmark.llm.common import as_bytes, bound_batches
 
 PACK_BYTES, PACK_DOCS = 1 << 20, 4096
 DICT_DOCS, DICT_TEXT, DICT_BYTES = 1000, 256 << 10, 64 << 10
 #: Words kept by the cache of one Python worker, and the longest that it keeps, in bytes.
-CACHE_WORDS, CACHE_LENGTH = 500_000, 64
+CACHE_WORDS, CACHE_LENGTH = 700_000, 64
 LOWEST = -(2**63)
 INDEX = "bucket int, pack int, start long, low long, high long, dict_hash string, payload binary, doc_ids array<long>, ends array<int>, tokens array<int>"
 
 
+class _Index(dict):
+    """Numbers of words; an unknown word gets the next number and is noted in `new`."""
+
+    new: list[bytes]
+    n = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = self.n
+        self.n = at + 1
+        self.new.append(word)
+        return at
+
+
 class WordEncoder:
     """Ids of whole texts through a bounded cache of white-space separated pieces."""
 
@@ -54,66 +69,75 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.index: dict[bytes, int] = {}
-        self.n = 0
+        self.index = _Index()
+        self.index.new = []
         self.ids, self.ends = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64)
-
-    def _add(self, words: list[bytes]) -> None:
-        """Encode unknown pieces in one call; each token belongs to the piece that its offset lies in."""
-        plain, rest = [], []
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            (rest if unicodedata.combining(s[0]) else plain).append((w, s))
-        found: list[tuple[bytes, np.ndarray]] = [(w, np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, self.dtype)) for w, s in rest]
-        if plain:
-            out = self.tokenizer.encode(" ".join(s for _, s in plain), add_special_tokens=False)
-            begins = np.cumsum([0] + [len(s) + 1 for _, s in plain[:-1]])
-            at = np.fromiter((a for a, _ in out.offsets), np.int64, len(out.offsets))
-            cuts = np.searchsorted(at, begins[1:])
-            found += zip((w for w, _ in plain), np.split(np.array(out.ids, self.dtype), cuts))
-        n = self.n
-        lengths = np.array([len(x) for _, x in found], np.int64)
+        self.used = np.zeros(1 << 14, np.int32)
+
+    def _learn(self) -> None:
+        """Encode the new pieces in one call; each token belongs to the piece that its offset lies in."""
+        words = [w.decode("utf-8", "replace") for w in self.index.new]
+        # A piece that starts with a combining mark could compose with what stands before it.
+        odd = [i for i, s in enumerate(words) if s[0] > "\u02ff" and unicodedata.combining(s[0])]
+        alone = {i: self.tokenizer.encode(words[i], add_special_tokens=False).ids for i in odd}
+        for i in odd:
+            words[i] = ""
+        joined = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        begins = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        at = np.fromiter(map(operator.itemgetter(0), joined.offsets), np.int64, len(joined.offsets))
+        stops = np.searchsorted(at, begins)
+        ids = np.array(joined.ids, self.dtype)
+        for i in reversed(odd):
+            ids = np.insert(ids, stops[i], alone[i])
+            stops[i:] += len(alone[i])
+        n = self.index.n - len(words)
         base = int(self.ends[n - 1]) if n else 0
-        total = base + int(lengths.sum())
+        total = base + len(ids)
         while len(self.ids) < total:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.ends) < n + len(found):
+        while len(self.ends) < self.index.n:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[base:total] = np.concatenate([x for _, x in found])
-        self.ends[n : n + len(found)] = base + np.cumsum(lengths)
-        self.index.update((w, n + i) for i, (w, _) in enumerate(found))
-        self.n = n + len(found)
-
-    def _pieces(self, words: list[bytes]) -> np.ndarray:
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        ends = self.ends[at]
+            self.used = np.concatenate([self.used, np.zeros_like(self.used)])
+        self.ids[base:total] = ids
+        self.ends[n : self.index.n] = base + stops
+        self.index.new = []
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these numbers, one after another."""
         begins = np.where(at > 0, self.ends[at - 1], 0)
-        n = ends - begins
+        n = self.ends[at] - begins
         return self.ids[np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        number = self.index.__getitem__
         split = [t.split() if t else [] for t in texts]
-        unknown = set(itertools.chain.from_iterable(split)).difference(self.index)
-        if unknown:
-            self._add(sorted(unknown))
-        out = [self._pieces(words) for words in split]
-        long = [w for w in unknown if len(w) > CACHE_LENGTH]
+        at = [np.fromiter(map(number, words), np.int64, len(words)) for words in split]
+        long = []
+        if self.index.new:
+            long = [w for w in self.index.new if len(w) > CACHE_LENGTH]
+            self._learn()
+        if at:
+            self.used[: self.index.n] += np.bincount(np.concatenate(at), minlength=self.index.n).astype(np.int32)
+        out = [self._gather(a) for a in at]
         for w in long:
             del self.index[w]
-        if long or self.n > CACHE_WORDS:
-            self.index = dict(itertools.islice(self.index.items(), CACHE_WORDS // 2 if self.n > CACHE_WORDS else None))
-            self._pack()
+        if len(self.index) > CACHE_WORDS or self.index.n > 2 * CACHE_WORDS:
+            self._shrink()
         return out
 
-    def _pack(self) -> None:
-        """Keep the ids of the words that are still known."""
-        at = np.fromiter(self.index.values(), np.int64, len(self.index))
-        begins = np.where(at > 0, self.ends[at - 1], 0)
-        n = self.ends[at] - begins
-        ids = self.ids[np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        self.index = {w: i for i, w in enumerate(self.index)}
-        self.n = len(self.index)
-        self.ids, self.ends = np.concatenate([ids, np.zeros(1 << 16, self.dtype)]), np.concatenate([np.cumsum(n), np.zeros(1 << 14, np.int64)])
+    def _shrink(self) -> None:
+        """Keep the half of the words that was used most, and their ids; their counts age."""
+        n = self.index.n
+        keep = np.zeros(n, bool)
+        keep[np.argsort(-self.used[:n], kind="stable")[: CACHE_WORDS // 2]] = True
+        kept = [(w, i) for w, i in self.index.items() if keep[i]]
+        at = np.array([i for _, i in kept], np.int64)
+        ids, size, used = self._gather(at), self.ends[at] - np.where(at > 0, self.ends[at - 1], 0), self.used[at] // 2
+        self.index = _Index((w, i) for i, (w, _) in enumerate(kept))
+        self.index.n, self.index.new = len(kept), []
+        spare = 1 << 14
+        self.ids = np.concatenate([ids, np.zeros(1 << 16, self.dtype)])
+        self.ends, self.used = np.concatenate([np.cumsum(size), np.zeros(spare, np.int64)]), np.concatenate([used, np.zeros(spare, np.int32)])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -126,16 +150,16 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _groups(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _groups(lengths: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `size` bytes of text."""
     begin = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or b"")
+    for i, n in enumerate(lengths.tolist()):
+        total += n
         if total >= size:
             yield begin, i + 1
             begin, total = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(lengths):
+        yield begin, len(lengths)
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -156,6 +180,7 @@ def _codec(raw: bytes) -> zstandard.ZstdCompressionDict | None:
 def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Encode `text` of every row, append end_id, and write the folder described above in ascending order of `key`."""
     spark = df.sparkSession
+    bound_batches(spark)
     rows = df.select(F.col(key).cast("long").alias("key"), as_bytes(text).alias("body"))
     n = rows.count()
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 50_000 + 1)
@@ -173,11 +198,11 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str =
         known, pack = encoder(tokenizer), zstandard.ZstdCompressor(level=3, dict_data=_codec(raw))
         end = np.array([end_id], known.dtype)
         for b in batches:
-            keys, texts = b.column(0), b.column(1).to_pylist()
+            keys, bodies = b.column(0), b.column(1)
             order = keys.fill_null(LOWEST).to_numpy(zero_copy_only=False)
             first, last = np.searchsorted(bounds, order, "left"), np.searchsorted(bounds, order, "right")
-            for i, j in _groups(texts):
-                ids = [np.concatenate([x, end]) for x in known.encode(texts[i:j])]
+            for i, j in _groups(pc.binary_length(bodies).fill_null(0).to_numpy(zero_copy_only=False)):
+                ids = [np.concatenate([x, end]) for x in known.encode(bodies.slice(i, j - i).to_pylist())]
                 frames = [pack.compress(x.tobytes()) for x in ids]
                 # An id that several bounds name is spread over their buckets by its frame.
                 spread = np.array([zlib.crc32(f) for f in frames], np.int64) % (last[i:j] - first[i:j] + 1)
@@ -232,6 +257,7 @@ def read_ids(spark: SparkSession, path: str, only: list[int] | None = None, dige
     `only` reads single documents: packs are chosen by their id bounds, and only the wanted frames are unpacked.
     ids_crc32 is the CRC-32 of the ids as little-endian unsigned 32-bit integers.
     """
+    bound_batches(spark)
     name, width, raw = _dictionary(spark, path)
     bases, wanted = _bases(spark, path), set(only) if only is not None else None
     source = spark.read.parquet(f"{path}/packs")
