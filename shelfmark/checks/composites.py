@@ -40,7 +40,7 @@ SCAN = f"""todo AS (SELECT * FROM files_fx f WHERE {SUP} AND NOT EXISTS (SELECT
 )
 def k1(spark, d):
     fx = Fixtures(spark, d)
-    return SC.scan(fx.files(), {"tracks": fx.tracks()}, NOW).catalogue["tracks"]
+    return SC.scan(fx.files(), {"tracks": fx.tracks()}, NOW, roots=["/"]).catalogue["tracks"]
 
 
 @query(
@@ -50,7 +50,7 @@ def k1(spark, d):
 )
 def k1s(spark, d):
     fx = Fixtures(spark, d)
-    return SC.scan(fx.files(), {"tracks": fx.tracks()}, NOW).stats
+    return SC.scan(fx.files(), {"tracks": fx.tracks()}, NOW, roots=["/"]).stats
 
 
 @query(
@@ -69,6 +69,25 @@ def k1f(spark, d):
     return out.join(fx.tracks().select(F.col("id").alias("track_id")), "track_id", "left_semi").select("track_id", "key", "value", "ordinal")
 
 
+@query(
+    "k1_forced_scan_binary_tags",
+    f"""SELECT track_id, key, value, ordinal, is_blob FROM (
+      SELECT track_id, key, value, ordinal, false AS is_blob FROM tags_fx WHERE track_id NOT IN (SELECT id FROM tracks_fx WHERE backing_path IN (SELECT path FROM files_fx WHERE {SUP}))
+      UNION ALL SELECT id, 'ARTIST', '', 0, true FROM tracks_fx WHERE id % 3 = 0
+      UNION ALL SELECT id, 'title', CAST(backing_size AS VARCHAR), 0, false FROM tracks_fx WHERE backing_path IN (SELECT path FROM files_fx WHERE {SUP})) x""",
+)
+def k1b(spark, d):
+    """A forced scan replaces text tags only: binary rows of the same tracks stay."""
+    fx = Fixtures(spark, d)
+    files = fx.files()
+    tags = files.select("path", F.lit(0).cast("bigint").alias("pos"), F.lit("title").alias("key"), F.col("size").cast("string").alias("value"))
+    blobs = fx.tracks().where("id % 3 = 0").select(F.col("id").alias("track_id"), F.lit("ARTIST").alias("key"), F.lit("").alias("value"), F.lit(0).alias("ordinal"), F.lit(b"x").alias("value_blob"))
+    stored = fx.tags().select("track_id", "key", "value", "ordinal", F.lit(None).cast("binary").alias("value_blob")).unionByName(blobs)
+    out = SC.scan(files, {"tracks": fx.tracks(), "tags": stored}, NOW, force=True, file_tags=tags, roots=["/"]).catalogue["tags"]
+    out = out.join(fx.tracks().select(F.col("id").alias("track_id")), "track_id", "left_semi")
+    return out.select("track_id", "key", "value", F.col("ordinal").cast("int").alias("ordinal"), F.col("value_blob").isNotNull().alias("is_blob"))
+
+
 REVAL = f"""st AS (SELECT f.*, t.id, CASE WHEN f.size = t.backing_size AND f.mtime_ns = t.backing_mtime_ns AND f.ctime_ns = t.backing_ctime_ns AND NOT (t.format = 'flac' AND t.id NOT IN (SELECT track_id FROM blocks_fx))
       AND t.content_hash IS NOT NULL THEN 'unchanged' ELSE 'changed' END AS state FROM files_fx f JOIN tracks_fx t ON t.backing_path = f.path WHERE starts_with(f.path, '/lib/') AND {SUP}),
     gone AS (SELECT id FROM tracks_fx t WHERE starts_with(backing_path, '/lib/') AND NOT EXISTS (SELECT 1 FROM files_fx f WHERE f.path = t.backing_path))"""
@@ -177,7 +196,7 @@ def k4(spark, d):
 @query("k5_render", f"WITH {FIELDS} SELECT id, concat(COALESCE(aa, 'Unknown'), '/', al, '/', CASE WHEN di IS NOT NULL THEN concat(di, ' - ') ELSE '' END, ti, '.', format) AS path FROM f")
 def k5(spark, d):
     fx = Fixtures(spark, d)
-    return VW.render(fx.tracks(), fx.tags(), TEMPLATE, default="Unknown").select("id", "path")
+    return VW.render(fx.tracks(), fx.tags_with_blobs(), TEMPLATE, default="Unknown").select("id", "path")
 
 
 # K7. Records for every fourth known track (some with a bad row), new art and deletes.
@@ -420,7 +439,7 @@ def k14(spark, d):
 
 @query(
     "k14_resolve_ranges",
-    f"""WITH {LAYOUT}, r AS (SELECT event_id AS request_id, event_id % 1500 AS file_id, CAST(floor(value) AS BIGINT) AS req_offset, event_id % 60 AS req_len FROM events)
+    f"""WITH {LAYOUT}, r AS (SELECT event_id AS request_id, event_id % (SELECT count(*) FROM orders) AS file_id, CAST(floor(value) AS BIGINT) AS req_offset, event_id % 60 AS req_len FROM events)
     SELECT request_id, kind, sub, ordinal, greatest(seg_start, req_offset) - seg_start AS within, least(seg_start + len, req_offset + req_len) - greatest(seg_start, req_offset) AS n
     FROM r JOIN ls ON ls.file_id = r.file_id AND seg_start < req_offset + req_len AND seg_start + len > req_offset WHERE req_len > 0""",
 )

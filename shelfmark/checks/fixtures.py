@@ -80,11 +80,11 @@ class Fixtures:
         return out.select("track_id", "key", "value", F.col("ordinal").cast("bigint").alias("ordinal"))
 
     def tags_with_blobs(self) -> DataFrame:
-        """Text tags plus one binary row per seventh track."""
+        """Text tags plus one binary row per seventh track, half of them under a key that texts use too."""
         text = self.tags().withColumn("value_blob", F.lit(None).cast("binary"))
         o = self.table("orders").where(F.col("o_orderkey") % 7 == 0)
         blob = o.select(
-            (F.col("o_orderkey") + 1).alias("track_id"), F.lit("id3:PRIV").alias("key"), F.lit("").alias("value"),
+            (F.col("o_orderkey") + 1).alias("track_id"), F.when(F.col("o_orderkey") % 14 == 0, "ARTIST").otherwise("id3:PRIV").alias("key"), F.lit("").alias("value"),
             F.lit(0).cast("bigint").alias("ordinal"), F.col("o_orderpriority").cast("binary").alias("value_blob"),
         )
         return text.unionByName(blob)
@@ -235,7 +235,7 @@ FROM (SELECT *, CASE o_orderkey % 7 WHEN 0 THEN 'flac' WHEN 1 THEN 'mp3' WHEN 2
   UNION ALL SELECT DISTINCT l_orderkey + 1, 'genre', p_type FROM lineitem JOIN part ON l_partkey = p_partkey
 ) u""",
     "tagsb_fx": """SELECT track_id, key, value, ordinal, CAST(NULL AS VARCHAR) AS blob FROM tags_fx
-  UNION ALL SELECT o_orderkey + 1, 'id3:PRIV', '', 0, o_orderpriority FROM orders WHERE o_orderkey % 7 = 0""",
+  UNION ALL SELECT o_orderkey + 1, CASE WHEN o_orderkey % 14 = 0 THEN 'ARTIST' ELSE 'id3:PRIV' END, '', 0, o_orderpriority FROM orders WHERE o_orderkey % 7 = 0""",
     "art_fx": """SELECT sha256(p_name) AS sha256, min(CASE WHEN p_partkey % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END) AS mime, CAST(strlen(p_name) AS BIGINT) AS byte_len, p_name AS data
 FROM part GROUP BY p_name""",
     "track_art_fx": """SELECT l_orderkey + 1 AS track_id, CASE WHEN l_partkey % 101 = 0 THEN sha256('gone') ELSE sha256(p_name) END AS art_sha256, CAST(l_partkey % 22 AS INT) AS picture_type, l_returnflag AS description,

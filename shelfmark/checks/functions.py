@@ -62,17 +62,17 @@ def h04(spark, d):
 FIT = lambda v, n: f"left({v}, CAST(COALESCE(list_max(list_filter(range(0, {n} + 1), lambda k: strlen(left({v}, CAST(k AS BIGINT))) <= {n})), 0) AS BIGINT))"
 
 
-@query("h05_truncate_bytes", f"SELECT doc_id, {FIT('t', 255)} AS a, {FIT('t', 10)} AS b FROM (SELECT doc_id, left(text, 300) AS t FROM documents) x")
+@query("h05_truncate_bytes", f"SELECT doc_id, {FIT('t', 255)} AS a, {FIT('t', 10)} AS b FROM (SELECT doc_id, text AS t FROM documents) x")
 def h05(spark, d):
-    t = docs(spark, d).select("doc_id", F.left("text", F.lit(300)).alias("t"))
+    t = docs(spark, d).select("doc_id", F.col("text").alias("t"))
     return t.select("doc_id", P.truncate_bytes("t", 255).alias("a"), P.truncate_bytes("t", 10).alias("b"))
 
 
-FLAT = "replace(replace(left(text, 300), '.', ' '), chr(10), ' ')"
+FLAT = "replace(replace(text, '.', ' '), chr(10), ' ')"
 
 
 def _flat(df):
-    return df.select("doc_id", F.replace(F.replace(F.left("text", F.lit(300)), F.lit("."), F.lit(" ")), F.lit("\n"), F.lit(" ")).alias("t"))
+    return df.select("doc_id", F.replace(F.replace("text", F.lit("."), F.lit(" ")), F.lit("\n"), F.lit(" ")).alias("t"))
 
 
 @query("h06_truncate_leaf", f"SELECT doc_id, CASE WHEN strlen(t) <= 250 THEN concat(t, '.flac') ELSE concat({FIT('t', 250)}, '.flac') END AS leaf, {FIT('t', 255)} AS directory FROM (SELECT doc_id, {FLAT} AS t FROM documents) x")
@@ -178,9 +178,9 @@ def h19(spark, d):
     return events(spark, d).select("event_id", P.first_text(blank, F.col("user_id")).alias("v"))
 
 
-@query("h20_readable_path", "SELECT doc_id, concat(left(text, 5), chr(65533)) AS v FROM documents")
+@query("h20_readable_path", "SELECT doc_id, concat(text, chr(65533)) AS v FROM documents")
 def h20(spark, d):
-    raw = F.concat(F.left("text", F.lit(5)).cast("binary"), F.unhex(F.lit("FF")))
+    raw = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF")))
     return docs(spark, d).select("doc_id", P.readable_path(raw).alias("v"))
 
 

@@ -90,7 +90,7 @@ def _c08(strictness):
     def run(spark, d):
         fx = Fixtures(spark, d)
         f = fx.files()
-        return I.match_moves(f, fx.tracks(), f, strictness).select("path", "action", "track_id", "candidates")
+        return I.match_moves(f, fx.tracks(), f, strictness, roots=["/"]).select("path", "action", "track_id", "candidates")
 
     return run
 
@@ -279,13 +279,14 @@ def segments(fx):
 
 
 def requests(fx):
-    e = fx.table("events")
-    return e.select(F.col("event_id").alias("request_id"), (F.col("event_id") % 1500).alias("file_id"), F.floor("value").cast("bigint").alias("req_offset"), (F.col("event_id") % 60).alias("req_len"))
+    """Byte ranges over all files of the catalogue."""
+    e, n = fx.table("events"), fx.table("orders").agg(F.count("*")).scalar()
+    return e.select(F.col("event_id").alias("request_id"), (F.col("event_id") % n).alias("file_id"), F.floor("value").cast("bigint").alias("req_offset"), (F.col("event_id") % 60).alias("req_len"))
 
 
 @query(
     "c18_range_join",
-    f"""WITH {SEGS}, r AS (SELECT event_id AS request_id, event_id % 1500 AS file_id, CAST(floor(value) AS BIGINT) AS req_offset, event_id % 60 AS req_len FROM events)
+    f"""WITH {SEGS}, r AS (SELECT event_id AS request_id, event_id % (SELECT count(*) FROM orders) AS file_id, CAST(floor(value) AS BIGINT) AS req_offset, event_id % 60 AS req_len FROM events)
     SELECT request_id, r.file_id, seg_start, greatest(seg_start, req_offset) - seg_start AS within, least(seg_start + len, req_offset + req_len) - greatest(seg_start, req_offset) AS n
     FROM r JOIN starts s ON s.file_id = r.file_id AND seg_start < req_offset + req_len AND seg_start + len > req_offset WHERE req_len > 0""",
 )

@@ -64,11 +64,11 @@ def i02(spark, d):
     return state.read().withColumn("gaps", F.lit(state.facts()["gaps"]).cast("int"))
 
 
-@query("i02_gap_decision", "SELECT w.last_seq, max_seq, CASE WHEN max_seq = 0 THEN w.last_seq > 0 ELSE min_seq > w.last_seq + 1 END AS gap FROM (SELECT min(seq) AS min_seq, max(seq) AS max_seq FROM log_fx WHERE seq > 100) b, (SELECT DISTINCT seq + 95 AS last_seq FROM log_fx WHERE seq <= 10) w")
+@query("i02_gap_decision", "SELECT w.last_seq, max_seq, CASE WHEN max_seq = 0 THEN w.last_seq > 0 ELSE min_seq > w.last_seq + 1 END AS gap FROM (SELECT min(seq) AS min_seq, max(seq) AS max_seq FROM log_fx) b, (SELECT DISTINCT seq - 95 AS last_seq FROM log_fx) w")
 def i02d(spark, d):
     log = Fixtures(spark, d).log()
-    marks = log.where("seq <= 10").select((F.col("seq") + 95).alias("last_seq"))
-    bounds = R.log_bounds(log.where("seq > 100")).select(F.struct("min_seq", "max_seq")).scalar()
+    marks = log.select((F.col("seq") - 95).alias("last_seq")).distinct()
+    bounds = R.log_bounds(log).select(F.struct("min_seq", "max_seq")).scalar()
     marks = marks.withColumn("b", bounds).select("last_seq", "b.min_seq", "b.max_seq")
     return R.gap_rows(marks, "last_seq").select("last_seq", "max_seq", "gap")
 

@@ -39,26 +39,32 @@ def number_of_total(n, total) -> Column:
 def fixed_decimals(c, digits: int) -> Column:
     """Round the exact binary value half-even to `digits` decimals, as C printf does.
 
-    The product with 10^digits is split into a rounded part and its exact error,
-    so the comparison with one half is decided on the true value.
+    The fraction is exact in a double; its product with 10^digits is split into a rounded part
+    and the exact error, so the comparison with one half is decided on the true value. The whole
+    part is a bigint, or from 2^63 up the exact sum of two parts; 1e37 and above is no number here.
     """
     x, scale = col(c).cast("double"), float(10**digits)
     a = F.abs(x)
-    wide = a * 134217729.0
-    high = wide - (wide - a)
-    product = a * scale
-    error = (high * scale - product) + (a - high) * scale
-    whole = F.floor(product)
-    over = (product - whole.cast("double") - 0.5) + error
-    n = F.when(over > 0, whole + 1).when(over < 0, whole).otherwise(whole + whole % 2)
-    unit = F.lit(10**digits).cast("bigint")
+    fraction = a % F.lit(1.0)
+    whole = a - fraction
+    wide = fraction * 134217729.0
+    high = wide - (wide - fraction)
+    product = fraction * scale
+    error = (high * scale - product) + (fraction - high) * scale
+    below = F.floor(product)
+    over = (product - below.cast("double") - 0.5) + error
+    n = F.when(over > 0, below + 1).when(over < 0, below).otherwise(below + below % 2)
+    unit, part = F.lit(10**digits).cast("bigint"), float(2**62)
+    upper = whole / part - (whole / part) % F.lit(1.0)
+    dec = lambda v: v.cast("bigint").cast("decimal(19,0)")
+    large = (dec(upper).cast("decimal(38,0)") * F.lit(2**62).cast("decimal(19,0)")).cast("decimal(38,0)") + dec(whole - upper * part)
     text = F.concat(
         F.when((x < 0) | (x.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit("")),
-        F.floor(n / unit).cast("bigint").cast("string"),
+        F.when(a < 9e18, (whole.cast("bigint") + F.floor(n / unit).cast("bigint")).cast("string")).otherwise(large.cast("decimal(38,0)").cast("string")),
         F.lit("."),
         F.lpad((n % unit).cast("string"), digits, "0"),
     )
-    return F.when(a < 1e9, text).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
+    return F.when(a < 1e37, text)
 
 
 def gain_text(c) -> Column:
@@ -98,7 +104,8 @@ def value_text(c, kind: str) -> Column:
 
 def is_zero_text(c) -> Column:
     """Text that reads as the number zero; anything else, null included, is not zero."""
-    return F.coalesce(col(c).try_cast("double") == 0.0, F.lit(False))
+    number = col(c).rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")  # a cast alone takes 0d and 0f too
+    return F.coalesce(number & (col(c).try_cast("double") == 0.0), F.lit(False))
 
 
 def display_seconds(ns) -> Column:

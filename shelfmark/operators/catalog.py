@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.paths import ascii_lower
 from shelfmark.operators.ordered import id_bucket, ranked, running_sums
 from shelfmark.operators.rules import tracks_over_cap
+from shelfmark.schemas import MAX_ROWS_PER_TRACK
 
 
 class DuplicatePath(ValueError):
@@ -39,7 +40,13 @@ def binary_tags(tags: DataFrame) -> DataFrame:
     return tags.where(F.col("value_blob").isNotNull())
 
 
+def text_rows(tags: DataFrame) -> DataFrame:
+    """Text tags of a table that may hold binary ones too."""
+    return text_tags(tags) if "value_blob" in tags.columns else tags
+
+
 def tags_for_keys(tags: DataFrame, keys) -> DataFrame:
+    tags = text_rows(tags)
     return tags.where(ascii_lower("key").isin(*keys)) if keys else tags.where(F.lit(False))
 
 
@@ -49,9 +56,11 @@ def tracks_with_tag(tags: DataFrame, key: str, value) -> DataFrame:
 
 def read_range(blobs: DataFrame, data="data", offset="offset", length="len") -> DataFrame:
     """Bytes of each requested range; a short read is an error row, never padded."""
-    piece = F.substring(F.col(data), F.col(offset).cast("int") + 1, F.col(length).cast("int"))
-    full = F.octet_length(piece) == F.col(length)
-    return blobs.withColumn("status", F.when(full, "ok").otherwise("short_read")).withColumn("bytes", F.when(full, piece))
+    start, size = F.col(offset).cast("bigint"), F.col(length).cast("bigint")
+    full = (start >= 0) & (size >= 0) & (start + size <= F.octet_length(data))
+    # Inside `full` both numbers are below the blob's length and fit an int.
+    piece = F.when(full, F.substring(F.col(data), F.when(full, start + 1).cast("int"), F.when(full, size).cast("int")))
+    return blobs.withColumn("status", F.when(full, "ok").otherwise("short_read")).withColumn("bytes", piece)
 
 
 def upsert_tracks(stored: DataFrame, new: DataFrame, now) -> DataFrame:
@@ -131,21 +140,25 @@ def set_checksums(stored: DataFrame, sums: DataFrame) -> DataFrame:
     )
 
 
-def grouped_tags(tags: DataFrame):
-    """(ordered tag list per track, tracks over the row cap).
-
-    The list of a track is bounded because over-cap tracks are errors, not rows.
-    """
-    text = text_tags(tags) if "value_blob" in tags.columns else tags
-    over = tracks_over_cap(text)
+def grouped_tags(tags: DataFrame, cap: int = MAX_ROWS_PER_TRACK) -> DataFrame:
+    """track_id, tags (ordered list), error. A track over the row cap has error `row_cap` and no list,
+    so that every list is bounded and no track goes missing."""
+    text = text_rows(tags)
+    over = tracks_over_cap(text, cap).select("track_id")
     fit = text.join(over, "track_id", "left_anti")
     listed = fit.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("key", "ordinal", "value"))).alias("tags"))
-    return listed, over
+    return _with_over_cap(listed, over, "tags")
+
+
+def _with_over_cap(fit: DataFrame, over: DataFrame, column: str) -> DataFrame:
+    good = fit.withColumn("error", F.lit(None).cast("string"))
+    bad = over.withColumn(column, F.lit(None).cast(fit.schema[column].dataType)).withColumn("error", F.lit("row_cap"))
+    return good.unionByName(bad)
 
 
 def first_values(tags: DataFrame) -> DataFrame:
-    """First value of each ASCII-lowercase key: key order first, ordinal second."""
-    return tags.groupBy("track_id", ascii_lower("key").alias("field")).agg(
+    """First text value of each ASCII-lowercase key: key order first, ordinal second."""
+    return text_rows(tags).groupBy("track_id", ascii_lower("key").alias("field")).agg(
         F.min_by("value", F.struct("key", "ordinal")).alias("value")
     )
 
@@ -162,11 +175,13 @@ def field_columns(tags: DataFrame, fields) -> DataFrame:
     )
 
 
-def field_map(tags: DataFrame):
-    """(map of first values per track, tracks over the row cap)."""
-    over = tracks_over_cap(tags)
-    first = first_values(tags.join(over, "track_id", "left_anti"))
-    return first.groupBy("track_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields")), over
+def field_map(tags: DataFrame, cap: int = MAX_ROWS_PER_TRACK) -> DataFrame:
+    """track_id, fields (map of first values), error; a track over the row cap has error `row_cap` and no map."""
+    text = text_rows(tags)
+    over = tracks_over_cap(text, cap).select("track_id")
+    first = first_values(text.join(over, "track_id", "left_anti"))
+    maps = first.groupBy("track_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields"))
+    return _with_over_cap(maps, over, "fields")
 
 
 def with_ordinals(rows: DataFrame, keys=("track_id", "key"), pos="pos", hot_rows=None) -> DataFrame:

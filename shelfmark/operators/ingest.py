@@ -1,6 +1,6 @@
 """File inventory against catalogue: what is new, changed, missing or moved."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths as P
@@ -90,18 +90,36 @@ def classify_known(files: DataFrame, tracks: DataFrame, blocks: DataFrame, tier:
 
 
 def missing_tracks(tracks: DataFrame, inventory: DataFrame, root=None) -> DataFrame:
-    """Tracks whose file is absent. A path listed with any presence but `absent`
-    (`present`, or `unknown` after an error) does not count as missing."""
+    """Tracks whose file is absent, below `root` (one or several) if given. A path listed with any
+    presence but `absent` (`present`, or `unknown` after an error) does not count as missing."""
     seen = inventory
     if "presence" in inventory.columns:
         seen = inventory.where(F.coalesce(F.col("presence"), F.lit("present")) != "absent")
-    scoped = tracks if root is None else tracks.where(P.under_root("backing_path", root))
+    scoped = tracks if root is None else tracks.where(_below("backing_path", [root] if isinstance(root, str) else root))
     return scoped.join(seen.select(F.col("path").alias("backing_path")), "backing_path", "left_anti")
 
 
-def match_moves(new_files: DataFrame, tracks: DataFrame, inventory: DataFrame, strictness: str = "auto") -> DataFrame:
+def _below(path: str, roots) -> Column:
+    out = F.lit(False)
+    for root in roots:
+        out = out | P.under_root(path, root)
+    return out
+
+
+def gone_tracks(tracks: DataFrame, inventory: DataFrame, roots=()) -> DataFrame:
+    """Tracks whose own file is known to be gone: not found below a root that was listed in full,
+    or listed as `absent`. What lies elsewhere was not looked for and counts as live."""
+    gone = missing_tracks(tracks, inventory, list(roots))
+    if "presence" not in inventory.columns:
+        return gone
+    absent = inventory.where(F.col("presence") == "absent").select(F.col("path").alias("backing_path")).distinct()
+    named = tracks.where(~_below("backing_path", roots)).join(absent, "backing_path", "left_semi")
+    return gone.unionByName(named.select(*gone.columns))
+
+
+def match_moves(new_files: DataFrame, tracks: DataFrame, inventory: DataFrame, strictness: str = "auto", roots=()) -> DataFrame:
     """Action per file: `upsert` for a known path, `retarget` to a missing track with
-    the same fingerprint, else `insert`.
+    the same fingerprint, else `insert`. `roots` are the folders that the inventory lists in full.
 
     Candidates are counted with a combining aggregation, not a window, so one
     fingerprint shared by a third of the rows costs nothing extra; the join sees
@@ -111,7 +129,7 @@ def match_moves(new_files: DataFrame, tracks: DataFrame, inventory: DataFrame, s
         raise ValueError(f"strictness is one of {STRICTNESS}")
     known = tracks.select(F.col("backing_path").alias("path"), F.col("id").alias("known_id"))
     alone = (
-        missing_tracks(tracks.where(F.col("fingerprint").isNotNull()), inventory)
+        gone_tracks(tracks.where(F.col("fingerprint").isNotNull()), inventory, roots)
         .groupBy("fingerprint")
         .agg(F.count("*").alias("candidates"), F.min("id").alias("cand_id"), F.min("content_hash").alias("cand_hash"))
     )

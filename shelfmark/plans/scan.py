@@ -48,12 +48,15 @@ def _by_tier(rows: DataFrame, tier: str) -> DataFrame:
     return rows if tier == "full" else rows.withColumn("content_hash", none)
 
 
-def scan(files: DataFrame, catalogue: dict, now: int, tier: str = "full", strictness: str = "auto", force: bool = False, identity=(), file_tags: DataFrame = None) -> Outcome:
+def scan(files: DataFrame, catalogue: dict, now: int, tier: str = "full", strictness: str = "auto", force: bool = False, identity=(), file_tags: DataFrame = None, roots=()) -> Outcome:
     """Add what is new: unknown files are inserted, or taken over by the one missing
     track with their fingerprint; known files are only touched with `force`.
 
+    roots: the folders that `files` lists in full. A track is missing if its path lies
+    below one of them and is not listed, or is listed as absent; no other track moves.
     file_tags: path, pos, key, value as read from the files; they replace the text
-    tags of inserted and upserted tracks, a retargeted track keeps its own.
+    tags of inserted and upserted tracks, whose binary tags stay; a retargeted track
+    keeps all its own.
     """
     if tier not in I.TIERS:
         raise ValueError(f"tier is one of {I.TIERS}")
@@ -64,7 +67,7 @@ def scan(files: DataFrame, catalogue: dict, now: int, tier: str = "full", strict
     rows = file_rows(todo)
     # A full hash is still at hand for confirming a move when the tier does not store it.
     # The decisions feed tracks, tags and statistics: work them out once.
-    acts = materialize(I.match_moves(rows, tracks, files, strictness), "scan-actions")
+    acts = materialize(I.match_moves(rows, tracks, files, strictness, roots), "scan-actions")
     stored_sums = lambda df: df.withColumn("content_hash", F.when((F.col("action") == "retarget") | F.lit(tier == "full"), F.col("content_hash"))).withColumn(
         "fingerprint", F.col("fingerprint") if tier != "none" else F.lit(None).cast("string")
     )
@@ -83,10 +86,11 @@ def scan(files: DataFrame, catalogue: dict, now: int, tier: str = "full", strict
         ids = new_tracks.select(F.col("id").alias("track_id"), F.col("backing_path").alias("path"))
         pairs = file_tags.join(acts.where("action <> 'retarget'").select("path"), "path", "left_semi").join(ids, "path")
         rescanned = acts.where("action = 'upsert'").select("track_id")
-        kept = catalogue["tags"].join(rescanned, "track_id", "left_anti")
+        texts = catalogue["tags"].where("value_blob IS NULL")
+        kept = texts.join(rescanned, "track_id", "left_anti").unionByName(catalogue["tags"].where("value_blob IS NOT NULL"))
         added = I.accepted_tags(pairs.select("track_id", "pos", "key", "value")).withColumn("value_blob", F.lit(None).cast("binary"))
         out["tags"] = kept.select(*catalogue["tags"].columns).unionByName(added.select(*catalogue["tags"].columns))
-        dropped = catalogue["tags"].join(rescanned, "track_id", "left_semi")
+        dropped = texts.join(rescanned, "track_id", "left_semi")
         out["tracks"] = bump_versions(new_tracks, version_steps((dropped, 1), (added, 1)))
     stats = scan_stats(files, unique, todo, acts)
     return Outcome(out, acts, stats)
@@ -115,6 +119,8 @@ def revalidate(files: DataFrame, catalogue: dict, now: int, root=None, tier: str
     """Refresh stamps, bounds and checksums of known files that changed; with `prune`,
     delete tracks below the root whose file is absent and the art nobody uses then.
     No track is added and tags and links of the remaining tracks stay."""
+    if prune and root is None:
+        raise ValueError("pruning needs the root that the files were listed from")
     tracks = catalogue["tracks"]
     scoped = files if root is None else files.where(P.under_root("path", root))
     seen = scoped if "presence" not in files.columns else scoped.where(F.coalesce(F.col("presence"), F.lit("present")) == "present")

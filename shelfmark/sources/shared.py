@@ -1,5 +1,7 @@
 """The folder all executors can reach, for lineage cuts and written tables."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -7,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only for a local test session."""
+    """The folder named in spark.checkpoint.dir.
+
+    Only a local session without the setting, as in tests, gets a folder of its own, which goes when Python ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 

@@ -57,6 +57,8 @@ def apply_batch(state: SnapshotState, log: DataFrame, load_catalogue, template:
     mark = {} if batch_id is None else {"batch_id": batch_id}
     last = facts.get("last_seq", 0)
     bounds = R.log_bounds(log).head()
+    if batch_id is not None and bounds["max_seq"] == 0:
+        return "idle"  # a micro-batch without rows says nothing about what the log still holds
     seq = max(bounds["max_seq"], last)
     tracks, tags = load_catalogue()
     if R.has_gap(bounds["min_seq"], bounds["max_seq"], last):

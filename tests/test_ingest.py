@@ -33,20 +33,32 @@ def test_move_matrix(spark, case):
     disk, stored, strictness, want = MOVES[case]
     files = spark.createDataFrame([("/new.flac", 10, 1, 1, "fp", "h")] + [(p, 10, 1, 1, "fp", "h") for p in disk], FILES)
     tracks = spark.createDataFrame([track(n + 1, p, fp, ch) for n, (p, fp, ch) in enumerate(stored)], TRACK)
-    rows = I.match_moves(files, tracks, files, strictness).where("path = '/new.flac'").collect()
+    rows = I.match_moves(files, tracks, files, strictness, roots=["/"]).where("path = '/new.flac'").collect()
     assert [(r.action, r.track_id) for r in rows] == [want]
 
 
 def test_two_files_one_orphan_and_unknown_presence(spark):
     files = spark.createDataFrame([("/b.flac", 10, 1, 1, "fp", None), ("/a.flac", 10, 1, 1, "fp", None)], FILES)
     tracks = spark.createDataFrame([track(1, "/old.flac", "fp")], TRACK)
-    got = {r.path: r.action for r in I.match_moves(files, tracks, files).collect()}
+    got = {r.path: r.action for r in I.match_moves(files, tracks, files, roots=["/"]).collect()}
     assert got == {"/a.flac": "retarget", "/b.flac": "insert"}
     seen = spark.createDataFrame([("/old.flac", "unknown")], "path string, presence string")
-    got = {r.action for r in I.match_moves(files, tracks, seen).collect()}
+    got = {r.action for r in I.match_moves(files, tracks, seen, roots=["/"]).collect()}
     assert got == {"insert"}
 
 
+def test_moves_only_from_listed_roots(spark):
+    files = spark.createDataFrame([("/A/copy.flac", 10, 1, 1, "fp", None)], FILES)
+    tracks = spark.createDataFrame([track(1, "/B/x.flac", "fp")], TRACK)
+    action = lambda seen, **kw: I.match_moves(files, tracks, seen, **kw).head().action
+    assert action(files, roots=["/A"]) == "insert" and action(files) == "insert"
+    assert action(files, roots=["/A", "/B"]) == "retarget"
+    gone = spark.createDataFrame([("/A/copy.flac", "present"), ("/B/x.flac", "absent")], "path string, presence string")
+    assert action(gone, roots=["/A"]) == "retarget"
+    with pytest.raises(ValueError):
+        SC.revalidate(files, {"tracks": tracks}, 1, prune=True)
+
+
 def test_scan_is_additive_and_repeatable(spark):
     files = spark.createDataFrame([("/m/a.flac", 10, 1, 1, "f1", None), ("/m/b.txt", 1, 1, 1, None, None), ("/m/c.ogg", 10, 1, 1, "f3", None)], FILES)
     cat = {"tracks": spark.createDataFrame([track(3, "/m/a.flac", "f1")], TRACK)}

@@ -10,7 +10,7 @@ def one(spark, c):
 
 
 def test_fixed_decimals_is_exact(spark):
-    xs = [0.125, 0.375, 2.675, 1.005, -0.125, -3.5, 0.0, -0.0, 1e-9, 123456.785, 8.5e-7, 2.5e-6, 0.1, 99.995, 1 / 3]
+    xs = [0.125, 0.375, 2.675, 1.005, -0.125, -3.5, 0.0, -0.0, 1e-9, 123456.785, 8.5e-7, 2.5e-6, 0.1, 99.995, 1 / 3, 1000000000.125, 9e15 + 1, 2.0**62, 2.0**63, -(2.0**70) - 2.0**20, 1.5e30, 4503599627370495.5, 0.999999999, 7.9999999]
     rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", V.fixed_decimals("x", 2).alias("a"), V.fixed_decimals("x", 6).alias("b")).collect()
     for r in rows:
         assert (r.a, r.b) == (f"{r.x:.2f}", f"{r.x:.6f}"), r
@@ -26,7 +26,7 @@ def test_float_text_reads_like_the_hosts(spark):
 
 
 def test_zero_text(spark):
-    for text, want in [("0", True), ("0.0", True), ("-0", True), ("0/12", False), ("x", False), ("0.5", False), ("", False), (None, False)]:
+    for text, want in [("0", True), ("0.0", True), ("-0", True), ("0/12", False), ("0d", False), ("0f", False), (" 0.00 ", True), ("0e5", True), ("x", False), ("0.5", False), ("", False), (None, False)]:
         assert one(spark, V.is_zero_text(F.lit(text).cast("string"))) is want
 
 
