@@ -98,14 +98,13 @@ def _scoped(fx):
 )
 def a08(spark, d):
     fx = Fixtures(spark, d)
-    hits, _ = M.collect_scope(_scoped(fx), fx.collection_files())
-    return hits.groupBy("event_id").agg(F.count("*").alias("n_files"), F.min("file_id").alias("first_file"), F.max("file_id").alias("last_file"))
+    return M.scope_summary(_scoped(fx), fx.collection_files())
 
 
 @query("a08_scope_rejects", f"WITH e AS ({SCOPED}) SELECT event_id FROM e WHERE album_id IS NULL AND artist_id IS NULL")
 def a08r(spark, d):
     fx = Fixtures(spark, d)
-    return M.collect_scope(_scoped(fx), fx.collection_files())[1].select("event_id")
+    return M.collect_scope(_scoped(fx), fx.collection_files())[2].select("event_id")
 
 
 @query(
