@@ -2,8 +2,9 @@
 
 A window partition is one task. A group holding a third of the rows would put a
 third of the work on it, so groups above `hot_rows` are cut into buckets by a
-column that never decreases along the order (`coarse`, such as id div 2**18).
-Each bucket is one window partition; the totals of the buckets before it are
+column that never decreases along the order (`coarse`, such as an id). The cuts are
+quantiles of that column over the hot rows, so that a bucket's size follows the rows,
+dense ids or not. Each bucket is one window partition; the totals of the buckets before it are
 added afterwards. All other groups use the plain window in a single shuffle.
 """
 
@@ -11,12 +12,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-BUCKET_ROWS = 1 << 18
+#: Buckets that the hot rows are cut into; a power of two.
+BUCKETS = 1024
 
 
 def id_bucket(c: str) -> Column:
-    """Buckets of at most BUCKET_ROWS rows for a unique integer column."""
-    return F.floor(F.col(c) / F.lit(BUCKET_ROWS)).cast("bigint")
+    """The order of a unique integer column, to be cut into buckets."""
+    return F.col(c).cast("bigint")
+
+
+def _bucket_of(value: Column, bounds: Column) -> Column:
+    """Number of bounds (BUCKETS - 1, ascending) that are not above the value: a binary search."""
+    steps = F.array(*[F.lit(BUCKETS >> k) for k in range(1, BUCKETS.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.try_element_at(bounds, at + step) <= value, step).otherwise(0)).cast("bigint")
+
+
+def _bounds(hot: DataFrame, coarse: Column) -> Column:
+    parts = [i / BUCKETS for i in range(1, BUCKETS)]
+    return hot.agg(F.percentile_approx(coarse, parts, 10 * BUCKETS).alias("bounds")).scalar()
 
 
 def _mark(df: DataFrame, keys, coarse: Column, hot_rows: int) -> DataFrame:
@@ -24,18 +37,21 @@ def _mark(df: DataFrame, keys, coarse: Column, hot_rows: int) -> DataFrame:
 
     Hot groups are found by an 8-byte hash: two groups sharing one are both cut,
     which changes no result. At most rows / hot_rows hashes pass the filter, so the
-    broadcast is 8 MB for 10**12 rows; without it the join would put each hot group
-    on one task. The explicit repartition keeps a partitioning by `keys` alone,
+    broadcast is 8 MB for 10**12 rows and the usual `hot_rows`; a smaller one leaves the
+    choice of the join to its size. The explicit repartition keeps a partitioning by `keys` alone,
     left by an earlier step, from doing the same.
     """
+    value = coarse.cast("bigint")
     if not keys:
-        marked = df.withColumn("_hot", F.lit(True)).withColumn("_bucket", coarse.cast("bigint"))
-        return marked.repartition("_bucket")
+        marked = df.withColumn("_hot", F.lit(True)).withColumn("_bounds", _bounds(df, value))
+        return marked.withColumn("_bucket", _bucket_of(value, F.col("_bounds"))).drop("_bounds").repartition("_bucket")
     group = F.xxhash64(*keys)
     hot = df.groupBy(group.alias("_group")).count().where(F.col("count") > hot_rows).select("_group", F.lit(True).alias("_hot"))
-    marked = df.withColumn("_group", group).join(F.broadcast(hot), "_group", "left").drop("_group")
-    bucket = F.when(F.col("_hot"), coarse.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    return marked.withColumn("_bucket", bucket).repartition(*keys, "_bucket")
+    hot = F.broadcast(hot) if hot_rows >= HOT_ROWS else hot
+    marked = df.withColumn("_group", group).join(hot, "_group", "left").drop("_group")
+    bucket = F.when(F.col("_hot"), _bucket_of(value, F.col("_bounds"))).otherwise(F.lit(0).cast("bigint"))
+    cut = marked.withColumn("_bounds", _bounds(marked.where("_hot"), value)).withColumn("_bucket", bucket).drop("_bounds")
+    return cut.repartition(*keys, "_bucket")
 
 
 def _add_offsets(local: DataFrame, offsets: DataFrame, keys) -> DataFrame:
