@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import bound_batches
+
 HEADERS = {"system": "### System: ", "user": "### User: ", "assistant": "### Assistant: "}
 OTHER, BODY, END = "### Role: ", "\n", "</turn>\n"
 #: Reserved strings in the order of their ids, from the vocabulary's size on.
@@ -135,6 +137,7 @@ def format_chat(df: DataFrame, tokenizer: str) -> DataFrame:
             columns = [b.column(0), n, pa.array([x[0] for x in done], pa.list_(pa.int32())), pa.array([x[1] for x in done], pa.list_(pa.int8()))]
             yield pa.RecordBatch.from_arrays(columns, ["conv_id", "n_turns", "ids", "loss_mask"])
 
+    bound_batches(df.sparkSession)
     kind = {c: df.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
     rows = df.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
     encoded = rows.mapInArrow(encode, f"conv_id {kind['conv_id']}, turn {kind['turn']}, role string, named array<int>, body array<int>")

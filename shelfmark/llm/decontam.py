@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import Scratch, as_bytes, small
+from shelfmark.llm.common import Scratch, as_bytes, bound_batches, small, tidy
 
 WINDOW, LEAST, LITERALS = 8, 4, 0.6
 #: Share of an item's windows, and number of windows at adjacent positions, that contaminate.
@@ -160,7 +160,7 @@ def windows(rows: DataFrame, widths: list[int] | None, bitmap: np.ndarray | None
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    return rows.mapInArrow(run, ROW + (", width int, windows int" if own else ""))
+    return rows.mapInArrow(tidy(run), ROW + (", width int, windows int" if own else ""))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
@@ -168,6 +168,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
 
     One row for each document and item that it is contaminated by.
     """
+    bound_batches(docs.sparkSession)
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontam")
     items = windows(benchmark.select(F.col(item).cast("long").alias("key"), as_bytes(text).alias("body")), None, None)
     items = scratch.write(items, "items")
@@ -188,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     filled = [F.size(F.array_distinct(F.col("pairs")[f])) for f in ("of_item", "slots")]
     even = lines.where((filled[0] == F.size("pairs")) & (filled[1] == F.size("pairs")))
     changed = F.exists("pairs", lambda p: p["of_item"] != p["slots"])
-    matched = even.groupBy("key", "item", "windows").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("ats"), F.max(changed).alias("changed"))
+    matched = even.groupBy("key", "item", "windows").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("ats"), F.max(changed).alias("changed"))
     # The longest run of adjacent positions: in a run, position minus rank is the same.
     ranks = F.transform("ats", lambda a, i: a - i)
     runs = F.transform(F.array_distinct(ranks), lambda r: F.size(F.filter(ranks, lambda x: x == r)))

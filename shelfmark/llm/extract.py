@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import Scratch
+from shelfmark.llm.common import Scratch, bound_batches, tidy
 
 # Element names of HTML by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,7 +231,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
             votes = [Page(x).vote() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] for v in votes], pa.int64())], ["host", "path", "chars"])
 
-    cast = pages.where("host IS NOT NULL AND html <> ''").select("host", "html").mapInArrow(run, "host string, path string, chars long")
+    cast = pages.where("host IS NOT NULL AND html <> ''").select("host", "html").mapInArrow(tidy(run), "host string, path string, chars long")
     counted = cast.where("chars > 0").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
     # min_by of the negated counts, so that ties go to the path that sorts first.
     return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.col("chars"), "path")).alias("path"))
@@ -243,6 +243,7 @@ BROADCAST_CHARS = 8 << 20
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """key, url and text (the main text, empty if there is none) of every row."""
+    bound_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession, "extract")
     rows = df.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(body).cast("string"), F.lit("")).alias("html"))
     rows = with_host(rows)
@@ -256,4 +257,4 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", body: str = "
 
     joined = rows.join(F.broadcast(paths) if size <= BROADCAST_CHARS else paths, "host", "left")
     kind = df.schema[key].dataType.simpleString()
-    return joined.select("key", "url", "html", "path").mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string")
+    return joined.select("key", "url", "html", "path").mapInArrow(tidy(run), f"`{key}` {kind}, `{url}` string, text string")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import as_bytes, spare_name
+from shelfmark.llm.common import as_bytes, bound_batches, give_back, spare_name
 
 ORDERS, BUCKETS, WIDTH = (2, 3, 4, 5), 1 << 16, 16
 PER_LANGUAGE, SAMPLE_BYTES, MAX_LANGUAGES = 500, 24 << 20, 200
@@ -195,8 +195,10 @@ def predicted(model: Model, text: str = "text") -> Column:
     shared = model
 
     @F.pandas_udf(ANSWER)
-    def find(bodies: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.answer(t) for t in bodies], columns=["lang", "score", "rejected"])
+    def find(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for bodies in parts:
+            yield pd.DataFrame([shared.answer(t) for t in bodies], columns=["lang", "score", "rejected"])
+        give_back()
 
     return find(as_bytes(text))
 
@@ -209,6 +211,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, held_out, lang_pred, score and rejected of every row, by a model of the rows that are not held out."""
+    bound_batches(df.sparkSession)
     model = train(df.where(~held_out(key)), key, text, lang)
     out = df.select(F.col(key), held_out(key).alias("held_out"), predicted(model, text).alias("found"))
     return out.select(key, "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.rejected").alias("rejected"))
@@ -216,6 +219,7 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def keep_identified(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of df whose language is not rejected, all columns."""
+    bound_batches(df.sparkSession)
     name = spare_name(df, "language_found")
     model = train(df.where(~held_out(key)), key, text, lang)
     return df.withColumn(name, predicted(model, text)).where(~F.col(name)["rejected"]).drop(name)

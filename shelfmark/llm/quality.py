@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import as_bytes
+from shelfmark.llm.common import as_bytes, bound_batches, tidy
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_shout_words")
 SYMBOLS = b"#*$%&|<>"
@@ -105,8 +105,9 @@ def measurements(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             found = np.array([measure(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, i]) for i in range(len(names)))], [key, *names])
 
+    bound_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), as_bytes(text).alias("body")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names))
+    return df.select(F.col(key), as_bytes(text).alias("body")).mapInArrow(tidy(run), f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def failures() -> Column:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import Scratch, as_bytes, small, spare_name
+from shelfmark.llm.common import Scratch, as_bytes, bound_batches, small, spare_name, tidy
 from shelfmark.llm.components import components
 
 #: Fixed values of the fingerprint: hash seed, words in a shingle, bits.
@@ -63,7 +63,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], [key, "fp"])
 
-    return df.select(F.col(key), as_bytes(text).alias("body")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fp long")
+    return df.select(F.col(key), as_bytes(text).alias("body")).mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, fp long")
 
 
 class Block:
@@ -225,12 +225,13 @@ def links(distinct: DataFrame, threshold: int = 3) -> DataFrame:
         if held:
             yield found(*(np.concatenate(x) for x in zip(*held)))
 
-    replicas = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long")
-    return replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "u long, v long").distinct()
+    replicas = distinct.select("fp").mapInArrow(tidy(replicate), "anchor long, fp long")
+    return replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(meet), "u long, v long").distinct()
 
 
 def near_duplicates(df: DataFrame, threshold: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp and component_id (the smallest key that is reachable through links, itself included) of every row."""
+    bound_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession, "simhash")
     docs = scratch.write(fingerprints(df, key, text), "fingerprints")
     distinct = scratch.write(docs.groupBy("fp").agg(F.min(key).alias("low")), "distinct")
@@ -246,11 +247,12 @@ def near_duplicates(df: DataFrame, threshold: int = 3, key: str = "doc_id", text
 def deduplicate(df: DataFrame, threshold: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, all columns: that of the smallest id.
 
-    A null id is replaced, for the choice only, by a negative number made from the row's columns. Where an id is
+    A null id is replaced, for the choice only, by a number above 2^62 made from the row's columns. Where an id is
     repeated, its rows are told apart by their fingerprints: of equal ones a single row stays.
     """
+    bound_batches(df.sparkSession)
     scratch, name = Scratch(df.sparkSession, "deduplicate"), spare_name(df, "row_key")
-    made = F.shiftrightunsigned(F.xxhash64(*df.columns), 1) - F.lit(2**62) - F.lit(2**62)
+    made = F.shiftrightunsigned(F.xxhash64(*df.columns), 2) + F.lit(2**62)
     keyed = df.withColumn(name, F.coalesce(F.col(key).cast("long"), made))
     found = near_duplicates(keyed, threshold, name, text)
     chosen = F.col(name) == F.col("component_id")

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import as_bytes, bound_batches
+from shelfmark.llm.common import as_bytes, bound_batches, tidy
 
 PACK_BYTES, PACK_DOCS = 1 << 20, 4096
 DICT_DOCS, DICT_TEXT, DICT_BYTES = 1000, 256 << 10, 64 << 10
@@ -144,7 +144,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder a Python worker, kept from task to task."""
+    """One encoder a Python worker, kept from task to task while texts are encoded."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -211,6 +211,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str =
 
     def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("pack", pa.int32()), ("start", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("dict_hash", pa.string()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
+        _encoders.clear()  # all texts are encoded by now; the worker's memory is free for other stages
         bucket, number, start, size, held = None, 0, 0, 0, []
 
         def full() -> pa.RecordBatch:
@@ -231,9 +232,9 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str =
         if held:
             yield full()
 
-    frames = rows.mapInArrow(encode, "bucket int, key long, tokens int, frame binary")
+    frames = rows.mapInArrow(tidy(encode), "bucket int, key long, tokens int, frame binary")
     dealt = frames.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "key", "frame")
-    dealt.mapInArrow(packs, INDEX).write.option("compression", "zstd").parquet(f"{path}/packs")
+    dealt.mapInArrow(tidy(packs), INDEX).write.option("compression", "zstd").parquet(f"{path}/packs")
     sums = spark.read.parquet(f"{path}/packs").select("bucket", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"))
     sums.groupBy("bucket").agg(F.sum("tokens").alias("tokens")).coalesce(1).write.parquet(f"{path}/buckets")
 
@@ -288,4 +289,4 @@ def read_ids(spark: SparkSession, path: str, only: list[int] | None = None, dige
 
     fields = "bucket", "start", "dict_hash", "payload", "doc_ids", "ends", "tokens"
     kind = "ids_crc32 long" if digest else "ids array<int>"
-    return source.select(*fields).mapInArrow(unpack, f"doc_id long, start long, n_tokens long, {kind}")
+    return source.select(*fields).mapInArrow(tidy(unpack), f"doc_id long, start long, n_tokens long, {kind}")

@@ -22,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import bound_batches
+
 VERSION, END = "WARC/1.1", b"\r\n\r\n"
 _GONE = re.compile(r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>")
 _BREAK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|body|br|div|dd|dl|dt|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>")
 _TAG = re.compile(r"<[^>]*>")
+_WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
 _BLANKS, _LINES = re.compile(r"[ \t\x0b\f\r]+"), re.compile(r" ?\n[ \n]*")
 
 
@@ -40,7 +43,7 @@ def urn(*parts: str) -> str:
 
 def plain_text(page: str) -> str:
     """Text of a page, a line for each block."""
-    text = _TAG.sub("", _BREAK.sub("\n", _GONE.sub("", page)))
+    text = _TAG.sub("", _BREAK.sub("\n", _WHITE.sub(" ", _GONE.sub("", page))))
     return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip(" \n")
 
 
@@ -121,6 +124,7 @@ def derive(df: DataFrame, key: str, record: str = "record") -> DataFrame:
             columns = [pa.array([row[k] for _, row in found], pa.binary() if name == "record" else pa.string()) for k, name in enumerate(OUT)]
             yield pa.RecordBatch.from_arrays([keys, *columns], [key, *OUT])
 
+    bound_batches(df.sparkSession)
     kind = ", ".join(f"{c} {'binary' if c == 'record' else 'string'}" for c in OUT)
     return df.select(key, F.col(record).cast("binary").alias("body")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {kind}")
 
