@@ -64,10 +64,10 @@ class _Index(dict):
 class WordEncoder:
     """Ids of whole texts through a bounded cache of white-space separated pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.tokenizer = words or CACHE_WORDS, Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.index = _Index()
         self.index.new = []
@@ -121,7 +121,7 @@ class WordEncoder:
         out = [self._gather(a) for a in at]
         for w in long:
             del self.index[w]
-        if len(self.index) > CACHE_WORDS or self.index.n > 2 * CACHE_WORDS:
+        if len(self.index) > self.words or self.index.n > 2 * self.words:
             self._shrink()
         return out
 
@@ -129,7 +129,7 @@ class WordEncoder:
         """Keep the half of the words that was used most, and their ids; their counts age."""
         n = self.index.n
         keep = np.zeros(n, bool)
-        keep[np.argsort(-self.used[:n], kind="stable")[: CACHE_WORDS // 2]] = True
+        keep[np.argsort(-self.used[:n], kind="stable")[: self.words // 2]] = True
         kept = [(w, i) for w, i in self.index.items() if keep[i]]
         at = np.array([i for _, i in kept], np.int64)
         ids, size, used = self._gather(at), self.ends[at] - np.where(at > 0, self.ends[at - 1], 0), self.used[at] // 2
@@ -143,10 +143,10 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, words: int | None = None) -> WordEncoder:
     """One encoder a Python worker, kept from task to task while texts are encoded."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, words)
     return _encoders[path]
 
 
@@ -177,8 +177,11 @@ def _codec(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
-    """Encode `text` of every row, append end_id, and write the folder described above in ascending order of `key`."""
+def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", cache_words: int | None = None) -> None:
+    """Encode `text` of every row, append end_id, and write the folder described above in ascending order of `key`.
+
+    cache_words: words a Python worker keeps, some 150 bytes each; fewer cost time, not results.
+    """
     spark = df.sparkSession
     bound_batches(spark)
     rows = df.select(F.col(key).cast("long").alias("key"), as_bytes(text).alias("body"))
@@ -195,7 +198,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str =
     spark.createDataFrame([(name, words.dtype.itemsize, raw)], "dict_hash string, id_bytes int, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pack = encoder(tokenizer), zstandard.ZstdCompressor(level=3, dict_data=_codec(raw))
+        known, pack = encoder(tokenizer, cache_words), zstandard.ZstdCompressor(level=3, dict_data=_codec(raw))
         end = np.array([end_id], known.dtype)
         for b in batches:
             keys, bodies = b.column(0), b.column(1)
