@@ -18,7 +18,7 @@ texts of any length are taken whole; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -235,7 +235,11 @@ def near_duplicates(df: DataFrame, threshold: int = 3, key: str = "doc_id", text
     scratch = Scratch(df.sparkSession, "simhash")
     docs = scratch.write(fingerprints(df, key, text), "fingerprints")
     distinct = scratch.write(docs.groupBy("fp").agg(F.min(key).alias("low")), "distinct")
-    labels = components(links(distinct, threshold), scratch)
+    return labelled(docs, distinct, components(links(distinct, threshold), scratch), scratch, key)
+
+
+def labelled(docs: DataFrame, distinct: DataFrame, labels: DataFrame, scratch: Scratch, key: str) -> DataFrame:
+    """key, fp and component_id of docs (key, fp), from distinct (fp, low) and labels (node, label) of the linked fp."""
     linked = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
     linked = scratch.write(linked.join(distinct, linked["node"] == distinct["fp"]).select("fp", "label", "low"), "linked")
     lows = linked.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -244,17 +248,25 @@ def near_duplicates(df: DataFrame, threshold: int = 3, key: str = "doc_id", text
     return docs.join(ids, "fp").select(key, "fp", "component_id")
 
 
-def deduplicate(df: DataFrame, threshold: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(
+    df: DataFrame,
+    threshold: int = 3,
+    key: str = "doc_id",
+    text: str = "text",
+    find: Callable[[DataFrame, str, str], DataFrame] | None = None,
+    mark: Callable[[bytes | None], int] = fingerprint,
+) -> DataFrame:
     """One row of each component, all columns: that of the smallest id.
 
     A null id is replaced, for the choice only, by a number above 2^62 made from the row's columns. Where an id is
     repeated, its rows are told apart by their fingerprints: of equal ones a single row stays.
+    `find` and `mark` put another rule in the place of `near_duplicates` at `threshold` bits and of `fingerprint`.
     """
     bound_batches(df.sparkSession)
     scratch, name = Scratch(df.sparkSession, "deduplicate"), spare_name(df, "row_key")
     made = F.shiftrightunsigned(F.xxhash64(*df.columns), 2) + F.lit(2**62)
     keyed = df.withColumn(name, F.coalesce(F.col(key).cast("long"), made))
-    found = near_duplicates(keyed, threshold, name, text)
+    found = find(keyed, name, text) if find else near_duplicates(keyed, threshold, name, text)
     chosen = F.col(name) == F.col("component_id")
     counts = found.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.count_if(chosen).alias("n_chosen")).where("n > 1 OR n_chosen = 0")
     other = scratch.write(counts.select(F.col(name).alias("other_key"), (F.col("n_chosen") > 0).alias("repeated")), "other")
@@ -262,19 +274,19 @@ def deduplicate(df: DataFrame, threshold: int = 3, key: str = "doc_id", text: st
     repeated = other.where("repeated")
     if not repeated.isEmpty():
         fp = spare_name(keyed, "row_fp")
-        rows = keyed.join(repeated, F.col(name) == F.col("other_key"), "left_semi").withColumn(fp, _fingerprint(as_bytes(text)))
+        rows = keyed.join(repeated, F.col(name) == F.col("other_key"), "left_semi").withColumn(fp, _fingerprint(as_bytes(text), mark))
         kept = found.where(chosen).select(F.col(name).alias("kept_key"), F.col("fp").alias("kept_fp")).distinct()
         rows = rows.join(kept, (F.col(name) == F.col("kept_key")) & (F.col(fp) == F.col("kept_fp")), "left_semi")
         out = out.unionByName(rows.dropDuplicates([name, fp]).drop(fp))
     return out.select(*df.columns)
 
 
-def _fingerprint(body: Column) -> Column:
+def _fingerprint(body: Column, mark: Callable[[bytes | None], int]) -> Column:
     """`fp` of a column of bytes."""
 
     @F.pandas_udf("long")
     def run(bodies: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in bodies], np.uint64).astype(np.int64))
+        return pd.Series(np.array([mark(t) for t in bodies], np.uint64).astype(np.int64))
 
     return run(body)
 
