@@ -1,9 +1,10 @@
 """Main-text extraction with consensus host paths.
 
 A page is read into containers (div, article, section, table cell ...) with generalised tag-class paths, and blocks
-of text that are in no boilerplate element. The page's best container is the deepest one that still holds most of
-its text. Pages vote for that path, Spark counts the votes of each host, and every page of the host is extracted
-again at the winning path; a page without it, or whose host is unknown, uses its own best container.
+of text that are in no boilerplate element. The page's best container is the deepest one that still holds nearly all
+of its text, and none inside an article or main. Pages vote for that path, Spark counts the votes of each host, and
+every page of the host is extracted again at the winning path; a page without it, with next to nothing there, or
+whose host is unknown, uses its own best container. A form is boilerplate unless most of the page's text is in it.
 
 Cases: a null or empty page has empty text, markup that is never closed is closed at the end or where HTML implies
 it, a null or odd URL has no host and no vote, ties between paths go to the one that sorts first, repeated rows vote
@@ -27,7 +28,7 @@ from shelfmark.llm.common import Scratch, bound_batches, tidy
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-DROPPED = frozenset("nav footer aside form button select option dialog menu svg math object video audio canvas map".split())
+DROPPED = frozenset("nav footer aside button select option dialog menu svg object video audio canvas map".split())
 CONTAINERS = frozenset("html body div article main section td th center fieldset details".split())
 KEPT = frozenset("html body article main".split())
 LINE_BREAKS = frozenset(("br", "hr"))
@@ -51,9 +52,14 @@ MARKS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 NEGATED = frozenset("with has no without".split())
-HINTS = frozenset("article content entry main post story text body".split())
+#: Containers whose text is taken whole.
+WHOLE = frozenset(("article", "main"))
 #: A container is entered if it holds this share of the text of the one around it.
-DOMINANT = 0.6
+DOMINANT = 0.95
+#: The least text at a host's path, as a share of that in the page's own best container.
+LEAST_AT_PATH = 0.05
+#: A form that holds more than this share of a page's text is no boilerplate.
+FORM_OF_PAGE = 0.5
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>?|<[!?][^>]*>?", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -63,7 +69,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Page:
-    """Containers as (parent, path, hinted) and blocks as (container, text, characters inside links)."""
+    """Containers as (parent, path, whether taken whole) and blocks as (container, text, characters inside links)."""
 
     def __init__(self, source: str):
         self.containers: list[tuple[int, str, bool]] = [(-1, "", False)]
@@ -74,6 +80,9 @@ class Page:
         # An open element: name, whether it starts dropped text, container inside, path.
         stack: list[tuple[str, bool, int, str]] = []
         dropped = links = 0
+        # Open forms, the number of the outermost one (0 outside), and the form of each block.
+        open_forms = n_forms = form = 0
+        form_of: list[int] = []
         buffer: list[str] = []
         link_chars = at = 0
         here, path = 0, ""
@@ -85,15 +94,18 @@ class Page:
                 text = " ".join((html.unescape(text) if "&" in text else text).split())
                 if text:
                     self.blocks.append((here, text, link_chars))
+                    form_of.append(form)
                 buffer, link_chars = [], 0
 
         def close(n: int) -> None:
             """Leave the innermost elements until n are open."""
-            nonlocal dropped, links, here, path
+            nonlocal dropped, links, here, path, open_forms, form
             while len(stack) > n:
                 name, drops, *_ = stack.pop()
                 dropped -= drops
                 links -= name == "a"
+                open_forms -= name == "form"
+            form = form if open_forms else 0
             here, path = (stack[-1][2], stack[-1][3]) if stack else (0, "")
 
         end = len(source)
@@ -154,8 +166,8 @@ class Page:
             attributes = m[3]
             if attributes.endswith("/") and name in ("svg", "path", "use"):
                 continue
-            drops, classes, hinted = name in DROPPED, "", name in ("article", "main")
-            if name == "header" and not any(x[0] in ("article", "main") for x in stack):
+            drops, classes = name in DROPPED, ""
+            if name == "header" and not any(x[0] in WHOLE for x in stack):
                 drops = True
             if attributes and not attributes.isspace():
                 found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
@@ -164,17 +176,27 @@ class Page:
                     for label in f"{found.get('class', '')} {found.get('id', '')}".split():
                         words = {w.lower() for w in _PARTS.findall(label)}
                         drops |= not words.isdisjoint(MARKS) and words.isdisjoint(NEGATED)
-                        hinted |= not words.isdisjoint(HINTS)
                     drops |= found.get("role", "").lower() in ROLES
                 drops |= "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
             if name in CONTAINERS and name != "html":
                 path = f"{path}/{name}.{classes}" if classes else f"{path}/{name}"
-                self.containers.append((here, path, hinted))
+                self.containers.append((here, path, name in WHOLE))
                 here = len(self.containers) - 1
             dropped += drops
             links += name == "a"
+            if name == "form":
+                open_forms += 1
+                if open_forms == 1:
+                    n_forms += 1
+                    form = n_forms
             stack.append((name, drops, here, path))
         flush()
+        if n_forms:
+            held = [0] * (n_forms + 1)
+            for f, (_, text, _) in zip(form_of, self.blocks):
+                held[f] += len(text)
+            kept = [f == 0 or x > FORM_OF_PAGE * sum(held) for f, x in enumerate(held)]
+            self.blocks = [b for f, b in zip(form_of, self.blocks) if kept[f]]
 
     def weights(self) -> list[float]:
         """Text of each container with all inside it; text of links counts a fifth."""
@@ -186,15 +208,14 @@ class Page:
         return out
 
     def best(self) -> int:
-        """The deepest container that holds most of the text; hinted ones are entered sooner."""
+        """The deepest container that holds nearly all of the text; articles are not entered."""
         weight, inside = self.weights(), {}
         for c in range(1, len(self.containers)):
             inside.setdefault(self.containers[c][0], []).append(c)
         at = 0
-        while at in inside:
-            value = lambda c: weight[c] * (1.5 if self.containers[c][2] else 1.0)
-            top = max(inside[at], key=value)
-            if value(top) <= 0 or value(top) < DOMINANT * weight[at]:
+        while at in inside and not self.containers[at][2]:
+            top = max(inside[at], key=weight.__getitem__)
+            if weight[top] <= 0 or weight[top] < DOMINANT * weight[at]:
                 break
             at = top
         return at
@@ -205,10 +226,12 @@ class Page:
         return self.containers[at][1], int(self.weights()[at])
 
     def text(self, path: str | None) -> str:
-        """Blocks at the path, or in the best container if the page has no text there, joined by spaces."""
+        """Blocks at the path, or in the best container if the page has next to no text there, joined by spaces."""
+        own = self._inside({self.best()})
         chosen = {c for c, x in enumerate(self.containers) if x[1] == path} if path is not None else set()
         found = self._inside(chosen) if chosen else []
-        return " ".join(found or self._inside({self.best()}))
+        enough = found and sum(map(len, found)) >= LEAST_AT_PATH * sum(map(len, own))
+        return " ".join(found if enough else own)
 
     def _inside(self, chosen: set[int]) -> list[str]:
         into = [c in chosen for c in range(len(self.containers))]
