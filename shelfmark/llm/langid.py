@@ -5,8 +5,10 @@ probability. At prediction the embeddings and the layer are one table, so a text
 n-gram; whole texts are read, in slices of bounded memory. A temperature, fitted on documents that were not trained
 on, calibrates the score, and a threshold on it rejects what fits no learned language.
 
-Training takes a bounded sample: at most PER_LANGUAGE documents a language (chosen by a hash of the id) and
-SAMPLE_BYTES of text altogether; the shares of languages and all predictions cover all rows.
+Training takes a bounded sample: at most PER_LANGUAGE documents a language (chosen by a hash of id and text) and
+SAMPLE_BYTES of text altogether, the same share of it for each language, so that every labelled language is learned;
+a text gives a sixteenth of its language's share at most. The shares of languages and all predictions cover all rows.
+More than MAX_LANGUAGES labelled languages raise an error.
 
 Cases: a null text or one without a letter gets `und`, score 0 and is rejected; null languages are not learned from;
 without any label every text is `und`; ties go to the language that sorts first; repeated rows get the same answer;
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import as_bytes, bound_batches, give_back, spare_name
@@ -101,14 +103,17 @@ def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(samples: list[tuple[str, bytes]], seed: int = 7) -> Model:
-    """Train on (language, normalised text) samples; every fifth one calibrates instead."""
+    """Train on (language, normalised text) samples; every fifth one of a language calibrates instead."""
     languages = sorted({lang for lang, _ in samples})
     model = Model(languages, np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)))
     if len(languages) < 2:
         return model
     rng = np.random.default_rng(seed)
     place = {lang: i for i, lang in enumerate(languages)}
-    fitted = [x for i, x in enumerate(samples) if i % 5] or samples
+    seen, fitted, held = dict.fromkeys(languages, 0), [], []
+    for x in samples:
+        seen[x[0]] += 1
+        (fitted if seen[x[0]] % 5 else held).append(x)
 
     def pieces(text: bytes) -> Iterator[bytes]:
         words = text.split()
@@ -143,7 +148,7 @@ def fit(samples: list[tuple[str, bytes]], seed: int = 7) -> Model:
             embed[at] = rows - rate * len(at) * w[:, None] * down
     model.table, model.bias = embed @ layer, bias
     # Pieces of all lengths calibrate, so that the score of a few words is not that of a page.
-    return calibrate(model, [(lang, piece) for i, (lang, text) in enumerate(samples) if i % 5 == 0 for piece in pieces(text)])
+    return calibrate(model, [(lang, piece) for lang, text in held for piece in pieces(text)])
 
 
 def calibrate(model: Model, held: list[tuple[str, bytes]]) -> Model:
@@ -171,20 +176,24 @@ def calibrate(model: Model, held: list[tuple[str, bytes]]) -> Model:
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model from the labelled rows of df; rows that must not be learned from are filtered out before."""
     rows = df.where(F.col(lang).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(lang).cast("string").alias("lang"), as_bytes(text).alias("body"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
     if not counts:
         return fit([])
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled; a model of more would not fit the driver")
     rate = F.lit(0.0)
     for r in counts:
         rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, PER_LANGUAGE / r["n"]))).otherwise(rate)
-    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce("key", F.lit("")), F.lit("language")), 11) * F.lit(2.0**-53)
-    chosen = rows.withColumn("draw", draw).where(F.col("draw") < rate).where(F.length("body") <= SAMPLE_BYTES // 16)
-    samples, size = [], 0
-    for r in chosen.orderBy("draw", "key", "lang", "body").limit(2 * PER_LANGUAGE * len(counts)).toLocalIterator():
+    share = SAMPLE_BYTES // len(counts)
+    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce("key", F.lit("")), "body", F.lit("language")), 11) * F.lit(2.0**-53)
+    # Long texts are cut, not left out: a language may have no others.
+    chosen = rows.withColumn("draw", draw).where(F.col("draw") < rate).withColumn("body", F.substring("body", 1, share // 16))
+    order = Window.partitionBy("lang").orderBy("draw", "key", "body")
+    taken = chosen.withColumn("size", F.sum(F.length("body")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    taken = taken.withColumn("rank", F.row_number().over(order)).where((F.col("size") <= share) & (F.col("rank") <= 2 * PER_LANGUAGE))
+    samples = []
+    for r in taken.orderBy("draw", "key", "lang", "body").toLocalIterator():
         clean = normalised(bytes(r["body"]))
-        size += len(clean)
-        if size > SAMPLE_BYTES:
-            break
         if clean:
             samples.append((r["lang"], clean))
     return fit(samples)
