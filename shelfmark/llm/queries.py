@@ -175,3 +175,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derive(responses(table(spark, sf_dir, "pages")), "page_id")
     whole = [F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256")]
     return rows.select("page_id", "kind", "record_id", "refers_to", "target_uri", "block_digest", "source_digest", *whole)
+
+
+LINES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last AS gone FROM k LEFT JOIN c ON c.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
+
+
+@query("op12_line_dedup", LINES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that five documents or more share."""
+    from shelfmark.llm.lines import drop_common_lines
+
+    rows = drop_common_lines(table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
