@@ -195,3 +195,54 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = drop_common_lines(table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+k AS (SELECT lang, count(*) AS kept, CAST(sum(total) AS HUGEINT) AS lang_n FROM v GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN v ON v.lang = t.lang AND v.term = t.term GROUP BY t.lang, t.source, t.term),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS source_n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+p AS (
+  SELECT s.lang, s.source, v.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.source_n + k.kept) AS p, 1 + (1000000000::HUGEINT * (v.total + 1)) // (k.lang_n + k.kept) AS q
+  FROM s JOIN k ON k.lang = s.lang JOIN v ON v.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = v.term),
+m AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+o AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(m.value, 0) AS BIGINT) AS value FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source LEFT JOIN m ON m.lang = x.lang AND m.source = x.source AND m.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources of each language against each other, and the terms each uses more than its language."""
+    from shelfmark.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), top=200)
+
+
+SEARCH_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+z AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS n, CAST(sum(len(ts)) AS BIGINT) AS total FROM d),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+a AS (SELECT item_id, term, count(*) AS asked FROM q GROUP BY item_id, term),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * z.n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), z),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * CAST(len(ts) AS BIGINT) * z.n) // z.total AS m FROM d, z WHERE len(ts) > 0),
+s AS (SELECT a.item_id, m.r, m.doc_id, CAST(sum(a.asked * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * m.m))) AS BIGINT) AS score
+  FROM a JOIN w ON w.term = a.term JOIN t ON t.term = a.term JOIN m ON m.r = t.r GROUP BY a.item_id, m.r, m.doc_id),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
+@query("op13_ranked_search", SEARCH_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item, out of all."""
+    from shelfmark.llm.lexical import Index, search
+
+    return search(Index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
