@@ -317,6 +317,19 @@ def place(rendered: DataFrame, case_insensitive: bool = False, hot_rows: int = H
     return out.select("id", P.join_path("parent_path", "name").alias("final_path"), "parent_path", "name", "rendered_name")
 
 
+def top_family(path: Column, case_insensitive: bool = False) -> Column:
+    """The family of a rendered path's first component; null if the path has no usable one."""
+    root = F.try_element_at(P.components(path), F.lit(1))
+    root = _key(F.when(F.size(P.components(path)) > 1, P.truncate_directory(root)).otherwise(P.truncate_leaf(root)), case_insensitive)
+    return _family(P.stem(root), P.dotted_extension(root), F.lit(False))
+
+
+def is_long(path: Column, case_insensitive: bool = False) -> Column:
+    """Whether a path's first component is near the byte limit: then names of other families may meet it."""
+    root = F.try_element_at(P.components(path), F.lit(1))
+    return F.coalesce(F.greatest(F.octet_length(root), F.octet_length(_key(root, case_insensitive))) > _SAFE_BYTES, F.lit(False))
+
+
 def place_touched(rendered: DataFrame, touched: DataFrame, case_insensitive: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Places of the top-level name families that `touched` paths (old and new) fall into.
 
