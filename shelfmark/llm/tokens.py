@@ -44,6 +44,8 @@ PACK_BYTES, PACK_DOCS = 1 << 20, 4096
 DICT_DOCS, DICT_TEXT, DICT_BYTES = 1000, 256 << 10, 64 << 10
 #: Words kept by the cache of one Python worker, and the longest that it keeps, in bytes.
 CACHE_WORDS, CACHE_LENGTH = 700_000, 64
+#: Pieces that the tokenizer gets in one call.
+LEARN = 16_384
 LOWEST = -(2**63)
 INDEX = "bucket int, pack int, start long, low long, high long, dict_hash string, payload binary, doc_ids array<long>, ends array<int>, tokens array<int>"
 
@@ -75,10 +77,17 @@ class WordEncoder:
         self.used = np.zeros(1 << 14, np.int32)
 
     def _learn(self) -> None:
-        """Encode the new pieces in one call; each token belongs to the piece that its offset lies in."""
-        words = [w.decode("utf-8", "replace") for w in self.index.new]
+        """Encode the new pieces, LEARN in a call, so that the tokenizer's own tables stay small."""
+        new, self.index.new = self.index.new, []
+        first = self.index.n - len(new)
+        for i in range(0, len(new), LEARN):
+            self._learn_some(first + i, new[i : i + LEARN])
+
+    def _learn_some(self, n: int, new: list[bytes]) -> None:
+        """The pieces numbered from n on, in one call; each token belongs to the piece that its offset lies in."""
+        words = [w.decode("utf-8", "replace") for w in new]
         # A piece that starts with a combining mark could compose with what stands before it.
-        odd = [i for i, s in enumerate(words) if s[0] > "\u02ff" and unicodedata.combining(s[0])]
+        odd = [i for i, s in enumerate(words) if s > "\u02ff" and unicodedata.combining(s[0])]
         alone = {i: self.tokenizer.encode(words[i], add_special_tokens=False).ids for i in odd}
         for i in odd:
             words[i] = ""
@@ -90,7 +99,6 @@ class WordEncoder:
         for i in reversed(odd):
             ids = np.insert(ids, stops[i], alone[i])
             stops[i:] += len(alone[i])
-        n = self.index.n - len(words)
         base = int(self.ends[n - 1]) if n else 0
         total = base + len(ids)
         while len(self.ids) < total:
@@ -99,8 +107,7 @@ class WordEncoder:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
             self.used = np.concatenate([self.used, np.zeros_like(self.used)])
         self.ids[base:total] = ids
-        self.ends[n : self.index.n] = base + stops
-        self.index.new = []
+        self.ends[n : n + len(words)] = base + stops
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these numbers, one after another."""
@@ -109,21 +116,34 @@ class WordEncoder:
         return self.ids[np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        number = self.index.__getitem__
-        split = [t.split() if t else [] for t in texts]
-        at = [np.fromiter(map(number, words), np.int64, len(words)) for words in split]
+        ids, stops = self.encode_column(pa.array(texts, pa.binary()))
+        return np.split(ids, stops[:-1]) if texts else []
+
+    def encode_column(self, texts: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts, one after another, and where each text's ids end.
+
+        Arrow splits the texts and numbers their distinct pieces; only these are looked up one by one.
+        """
+        strings = pa.StringArray.from_buffers(len(texts), *(texts.buffers()[i] for i in (1, 2, 0)), texts.null_count, texts.offset)
+        split = pc.ascii_split_whitespace(strings)
+        pieces = split.flatten().dictionary_encode()
+        codes, words = pieces.indices.to_numpy(), pieces.dictionary.cast(pa.binary()).to_pylist()
+        places = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         long = []
         if self.index.new:
             long = [w for w in self.index.new if len(w) > CACHE_LENGTH]
             self._learn()
-        if at:
-            self.used[: self.index.n] += np.bincount(np.concatenate(at), minlength=self.index.n).astype(np.int32)
-        out = [self._gather(a) for a in at]
+        self.used[places] += np.bincount(codes, minlength=len(words)).astype(np.int32)
+        at = places[codes]
+        begins = np.where(at > 0, self.ends[at - 1], 0)
+        n = self.ends[at] - begins
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(begins - ends[:-1], n) + np.arange(ends[-1])]
         for w in long:
             del self.index[w]
         if len(self.index) > self.words or self.index.n > 2 * self.words:
             self._shrink()
-        return out
+        return ids, ends[np.cumsum(pc.list_value_length(split).fill_null(0).to_numpy(zero_copy_only=False))]
 
     def _shrink(self) -> None:
         """Keep the half of the words that was used most, and their ids; their counts age."""
@@ -150,7 +170,7 @@ def encoder(path: str, words: int | None = None) -> WordEncoder:
     return _encoders[path]
 
 
-def _groups(lengths: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
+def _groups(lengths: np.ndarray, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `size` bytes of text."""
     begin = total = 0
     for i, n in enumerate(lengths.tolist()):
@@ -190,7 +210,10 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str =
     filled = F.coalesce("key", F.lit(LOWEST))
     cuts = rows.select(F.percentile_approx(filled, [i / wanted for i in range(1, wanted)] or [0.5], 10_000)).first()[0] if n else None
     bounds = np.array(cuts or [], np.int64)
-    probe = rows.where(F.length("body") <= DICT_TEXT).orderBy(F.xxhash64("key"), F.length("body"), "body").limit(DICT_DOCS)
+    # Marks are chosen before bodies are read, so that no task gathers the texts of all others' choices.
+    marked = rows.where(F.length("body") <= DICT_TEXT).withColumn("mark", F.xxhash64("key", "body"))
+    marks = marked.select(F.xxhash64("key").alias("at"), "mark").distinct().orderBy("at", "mark").limit(DICT_DOCS).select("mark")
+    probe = marked.join(F.broadcast(marks), "mark", "left_semi").groupBy("mark").agg(F.any_value("body").alias("body"))
     words = encoder(tokenizer)
     samples = [words.encode([r["body"]])[0].tobytes() for r in probe.toLocalIterator()]
     raw = train_dictionary(sorted(s for s in samples if s))
@@ -205,11 +228,14 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str =
             order = keys.fill_null(LOWEST).to_numpy(zero_copy_only=False)
             first, last = np.searchsorted(bounds, order, "left"), np.searchsorted(bounds, order, "right")
             for i, j in _groups(pc.binary_length(bodies).fill_null(0).to_numpy(zero_copy_only=False)):
-                ids = [np.concatenate([x, end]) for x in known.encode(bodies.slice(i, j - i).to_pylist())]
-                frames = [pack.compress(x.tobytes()) for x in ids]
+                ids, stops = known.encode_column(bodies.slice(i, j - i))
+                whole = np.insert(ids, stops, end[0])
+                stops = stops + np.arange(1, len(stops) + 1)
+                tokens = np.diff(stops, prepend=0).astype(np.int32)
+                frames = [pack.compress(x.tobytes()) for x in np.split(whole, stops[:-1])]
                 # An id that several bounds name is spread over their buckets by its frame.
                 spread = np.array([zlib.crc32(f) for f in frames], np.int64) % (last[i:j] - first[i:j] + 1)
-                columns = [pa.array((first[i:j] + spread).astype(np.int32)), keys.slice(i, j - i), pa.array([len(x) for x in ids], pa.int32()), pa.array(frames, pa.binary())]
+                columns = [pa.array((first[i:j] + spread).astype(np.int32)), keys.slice(i, j - i), pa.array(tokens), pa.array(frames, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "key", "tokens", "frame"])
 
     def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
