@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import Scratch, as_bytes, bound_batches, small, tidy
+from shelfmark.llm.common import Scratch, as_bytes, bound_batches, small, spare_name, tidy
 
 WINDOW, LEAST, LITERALS = 8, 4, 0.6
 #: Share of an item's windows, and number of windows at adjacent positions, that contaminate.
@@ -229,6 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose id is in no contaminated document."""
     scratch = Scratch(docs.sparkSession, "decontam")
-    keys = contaminated(docs, benchmark, key, text=text).select(F.col(key).alias("bad_id")).distinct()
+    bad_id = spare_name(docs, "bad_id")
+    keys = contaminated(docs, benchmark, key, text=text).select(F.col(key).alias(bad_id)).distinct()
     bad = small(scratch.write(keys, "contaminated"))
-    return docs.join(bad, F.col(key).cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, F.col(key).cast("long").eqNullSafe(F.col(bad_id)), "left_anti")

@@ -269,14 +269,13 @@ def deduplicate(
     found = find(keyed, name, text) if find else near_duplicates(keyed, threshold, name, text)
     chosen = F.col(name) == F.col("component_id")
     counts = found.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.count_if(chosen).alias("n_chosen")).where("n > 1 OR n_chosen = 0")
-    other = scratch.write(counts.select(F.col(name).alias("other_key"), (F.col("n_chosen") > 0).alias("repeated")), "other")
-    out = keyed.join(small(other), F.col(name) == F.col("other_key"), "left_anti")
-    repeated = other.where("repeated")
+    other = scratch.write(counts.select(name, (F.col("n_chosen") > 0).alias("repeated")), "other")
+    out = keyed.join(small(other.select(name)), name, "left_anti")
+    repeated = other.where("repeated").select(name)
     if not repeated.isEmpty():
         fp = spare_name(keyed, "row_fp")
-        rows = keyed.join(repeated, F.col(name) == F.col("other_key"), "left_semi").withColumn(fp, _fingerprint(as_bytes(text), mark))
-        kept = found.where(chosen).select(F.col(name).alias("kept_key"), F.col("fp").alias("kept_fp")).distinct()
-        rows = rows.join(kept, (F.col(name) == F.col("kept_key")) & (F.col(fp) == F.col("kept_fp")), "left_semi")
+        rows = keyed.join(repeated, name, "left_semi").withColumn(fp, _fingerprint(as_bytes(text), mark))
+        rows = rows.join(found.where(chosen).select(name, F.col("fp").alias(fp)).distinct(), [name, fp], "left_semi")
         out = out.unionByName(rows.dropDuplicates([name, fp]).drop(fp))
     return out.select(*df.columns)
 

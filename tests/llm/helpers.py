@@ -2,13 +2,13 @@
 
 import re
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, hash long, size long, key string, row_key long, path string, body string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, hash long, size long, key string, row_key long, path string, body string, bad_id long, low long, other_key long, kept_key long, kept_fp long, own long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def documents(spark, rows):
     """rows: (doc_id, text[, lang[, source]]); the other columns are there to clash with the operators' own names."""
-    full = [(*r, *[None] * (4 - len(r)), 0, "x", 1, 2, "k", 3, "p", "b") for r in rows]
+    full = [(*r, *[None] * (4 - len(r)), 0, "x", 1, 2, "k", 3, "p", "b", 4, 5, 6, 7, 8, 9) for r in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(3)
 
 

@@ -11,7 +11,7 @@ from shelfmark.llm.queries import QUERIES, SQL, tokenizer_path
 from shelfmark.llm.tokens import encoder
 
 from .helpers import WORD, words
-from .test_simhash import groups, plain_fingerprint
+from .test_similar import plain_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +31,7 @@ def test_stages(spark):
     assert left == {r["doc_id"] for r in start.collect()} - {9001, 9002}
 
     rows = sorted(identified.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"]))
-    label = groups([plain_fingerprint(r["text"]) for r in rows])
+    label = plain_components([r["text"] for r in rows])
     assert {r["doc_id"] for r in single.collect()} == {r["doc_id"] for i, r in enumerate(rows) if label[i] == i}
 
     gone = {r["doc_id"] for r in single.collect()} - {r["doc_id"] for r in clean.collect()}
