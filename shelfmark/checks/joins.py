@@ -292,7 +292,7 @@ def requests(fx):
 )
 def c18(spark, d):
     fx = Fixtures(spark, d)
-    got = L.resolve_ranges(L.segment_starts(segments(fx)), requests(fx), block=64)
+    got = L.resolve_ranges(L.segment_starts(segments(fx)), requests(fx))
     return got.select("request_id", "file_id", "seg_start", "within", "n")
 
 

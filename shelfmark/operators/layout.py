@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.ordered import id_bucket, running_sums
+from shelfmark.operators.ordered import HOT_ROWS, id_bucket, running_sums
 
 # Order of the parts of a composed file: metadata first, audio last.
 PARTS = {"block": 0, "tag": 1, "binary_tag": 2, "picture": 3, "audio": 4}
@@ -84,28 +84,33 @@ def layout_errors(layout: DataFrame) -> DataFrame:
     return layout.withColumn("error", bad).where("error is not null")
 
 
-def resolve_ranges(starts: DataFrame, requests: DataFrame, group="file_id", block: int = 1 << 20) -> DataFrame:
+def resolve_ranges(starts: DataFrame, requests: DataFrame, group="file_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pieces of each request: the segments it overlaps, where in them, and how many bytes.
 
-    Requests: request_id, <group>, req_offset, req_len. Both sides are cut into
-    blocks of `block` bytes and joined on (file, block), so a file with very many
-    segments or requests spreads over many tasks instead of pairing everything
-    within one file. The piece is kept only in the block where it begins.
+    Requests: request_id, <group>, req_offset, req_len; segments of a file do not overlap. One sweep along each file's
+    bytes counts the segments that begin at or before a position: that numbers the segments, and gives the first and
+    the last segment of each request. Requests then meet exactly the numbers in between, so the join makes the pieces
+    and no other rows. Files with very many segments or requests are swept in buckets (`ordered.py`) and joined by number.
     """
-    s = starts.where(F.col("seg_end") > F.col("seg_start")).withColumn(
-        "_block", F.explode(F.sequence(F.floor(F.col("seg_start") / block), F.floor((F.col("seg_end") - 1) / block)))
-    )
-    r = requests.where("req_len > 0").withColumn("_end", F.col("req_offset") + F.col("req_len"))
-    total = starts.groupBy(group).agg(F.max("seg_end").alias("_total"))
-    r = r.join(total, group).where(F.col("req_offset") < F.col("_total")).withColumn("_end", F.least("_end", "_total"))
-    r = r.withColumn(
-        "_block", F.explode(F.sequence(F.floor(F.col("req_offset") / block), F.floor((F.col("_end") - 1) / block)))
-    )
-    start, end = F.greatest("seg_start", "req_offset"), F.least("seg_end", "_end")
-    return (
-        r.join(s, [group, "_block"])
-        .where((start < end) & (F.floor(start / block) == F.col("_block")))
-        .withColumn("within", start - F.col("seg_start"))
-        .withColumn("n", end - start)
-        .drop("_block", "_end", "_total")
+    segments = starts.where(F.col("seg_end") > F.col("seg_start"))
+    own = [c for c in segments.columns if c not in (group, "seg_start")]
+    asked = requests.where("req_len > 0")
+    theirs = [c for c in asked.columns if c != group]
+    none = lambda df, columns: F.lit(None).cast(df.select(F.struct(*columns).alias("s")).schema["s"].dataType)
+    begins = segments.select(group, F.col("seg_start").alias("_at"), F.lit(1).cast("bigint").alias("_one"), F.struct("seg_start", *own).alias("_s"), none(asked, theirs).alias("_r"), F.lit(0).alias("_end"))
+    end = F.coalesce(F.try_add("req_offset", "req_len"), F.lit(9223372036854775807)) - 1
+    edges = F.inline(F.array(F.struct(F.greatest("req_offset", F.lit(0)).alias("_at"), F.lit(1).alias("_end")), F.struct(end.alias("_at"), F.lit(2).alias("_end"))))
+    ends = asked.select(group, F.struct(*theirs).alias("_r"), edges)
+    swept = begins.unionByName(ends.select(group, "_at", F.lit(0).cast("bigint").alias("_one"), none(segments, ["seg_start", *own]).alias("_s"), "_r", "_end"))
+    # Segments come before requests at the same byte.
+    swept = running_sums(swept, [group], ["_at", "_end"], F.col("_at"), {"_n": F.col("_one")}, hot_rows)
+    numbered = swept.where("_end = 0").select(group, "_n", "_s.*")
+    met = swept.where("_end > 0").groupBy(group, "_r").agg(
+        F.greatest(F.min(F.when(F.col("_end") == 1, F.col("_n"))), F.lit(1)).alias("_low"), F.max(F.when(F.col("_end") == 2, F.col("_n"))).alias("_high"), F.count_if(F.col("_end") == 1).alias("_times")
     )
+    # Equal requests were one group; each gets its pieces.
+    met = met.where("_high >= _low").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")))
+    pieces = met.select(group, "_r.*", F.explode(F.sequence("_low", "_high")).alias("_n")).join(numbered, [group, "_n"])
+    begin, stop = F.greatest("seg_start", "req_offset"), F.least(F.col("seg_end") - 1, end)
+    # Only a request that begins in a gap, or beyond the last segment, has a first segment it does not touch.
+    return pieces.where(begin <= stop).withColumn("within", begin - F.col("seg_start")).withColumn("n", stop - begin + 1).drop("_n")

@@ -5,7 +5,8 @@ third of the work on it, so groups above `hot_rows` are cut into buckets by a
 column that never decreases along the order (`coarse`, such as an id). The cuts are
 quantiles of that column over the hot rows, so that a bucket's size follows the rows,
 dense ids or not. Each bucket is one window partition; the totals of the buckets before it are
-added afterwards. All other groups use the plain window in a single shuffle.
+added afterwards. All other groups use the plain window in a single shuffle. Whether any group is hot is counted
+first, by one narrow aggregation; if none is, the plain window is all that runs.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,11 @@ def _bucket_of(value: Column, bounds: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.try_element_at(bounds, at + step) <= value, step).otherwise(0)).cast("bigint")
 
 
+def _any_hot(df: DataFrame, keys, hot_rows: int) -> bool:
+    """Whether a group has more than hot_rows rows; groups that share a hash count as one."""
+    return not df.groupBy(F.xxhash64(*keys) if keys else F.lit(0)).count().where(F.col("count") > hot_rows).isEmpty()
+
+
 def _bounds(hot: DataFrame, coarse: Column) -> Column:
     parts = [i / BUCKETS for i in range(1, BUCKETS)]
     return hot.agg(F.percentile_approx(coarse, parts, 10 * BUCKETS).alias("bounds")).scalar()
@@ -69,7 +75,7 @@ def running_sums(df: DataFrame, keys, order, coarse: Column, sums: dict, hot_row
     hot_rows None: the caller has counted and no group is hot; one plain window does.
     """
     keys = list(keys)
-    if hot_rows is None:
+    if hot_rows is None or keys and not _any_hot(df, keys, hot_rows):
         plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(*[c for c in df.columns if c not in sums], *[F.sum(e).over(plain).alias(n) for n, e in sums.items()])
     marked = _mark(df, keys, coarse, hot_rows)
@@ -92,6 +98,8 @@ def ranked(df: DataFrame, keys, order, coarse: Column, name: str = "rank", hot_r
 def with_previous(df: DataFrame, keys, order, coarse: Column, value: Column, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the value of the row before in the group, null for the first row."""
     keys = list(keys)
+    if keys and not _any_hot(df, keys, hot_rows):
+        return df.select("*", F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)).alias(name))
     marked = _mark(df, keys, coarse, hot_rows)
     step = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     local = marked.select("*", F.lag(F.struct(value.alias("v"))).over(step).alias("_prev"))

@@ -41,17 +41,42 @@ def test_sparse_ids_are_cut_by_rows(spark):
 
 def test_hot_group_is_cut_in_the_plan(spark, rows):
     df = spark.createDataFrame(rows, "g string, id bigint, v int")
-    plan = ranked(df.groupBy("g", "id").count(), ["g"], ["id"], F.floor(F.col("id") / 100))._jdf.queryExecution().executedPlan().toString()
+    plan = ranked(df.groupBy("g", "id").count(), ["g"], ["id"], F.floor(F.col("id") / 100), hot_rows=2)._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert "hashpartitioning(g" in plan and any("g#" in w and "_bucket#" in w for w in windows) and not any("windowspecdefinition(id" in w for w in windows)
 
 
-def test_range_join_against_brute_force(spark):
+def test_no_hot_group_takes_the_plain_window(spark, rows):
+    df = spark.createDataFrame(rows, "g string, id bigint, v int")
+    for out in (ranked(df, ["g"], ["id"], F.col("id")), with_previous(df, ["g"], ["id"], F.col("id"), F.col("v"), "p")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "_bucket" not in plan and plan.count("Exchange") == 1
+
+
+def test_ranges_of_a_file_of_many_segments(spark):
+    """A million segments of one file: the join makes the pieces and nothing else, and is spread by segment."""
+    starts = spark.range(10**6).select(F.lit(1).alias("file_id"), F.col("id").alias("seq"), (F.col("id") * 10).alias("seg_start"), (F.col("id") * 10 + 10).alias("seg_end"))
+    reqs = spark.range(2000).select(F.col("id").alias("request_id"), F.lit(1).alias("file_id"), (F.col("id") * 4999 + 5).alias("req_offset"), F.lit(30).cast("bigint").alias("req_len"))
+    got = L.resolve_ranges(starts, reqs)
+    pieces = {(r.request_id, r.seq): (r.within, r.n) for r in got.where("request_id < 500").collect()}
+    want = {}
+    for q in range(500):
+        o = q * 4999 + 5
+        for seq in range(o // 10, (o + 29) // 10 + 1):
+            lo, hi = max(o, seq * 10), min(o + 30, seq * 10 + 10)
+            want[(q, seq)] = (lo - seq * 10, hi - lo)
+    assert pieces == want
+    # Each byte asked for is in one piece.
+    assert got.groupBy("request_id").agg(F.sum("n").alias("n")).where("n <> 30").count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
+def test_range_join_against_brute_force(spark, hot_rows):
     rng = random.Random(2)
     segs = [(f, s, rng.randint(0, 40)) for f in range(3) for s in range(30)]
-    reqs = [(n, rng.randrange(3), rng.randint(0, 900), rng.randint(0, 200)) for n in range(200)]
+    reqs = [(n, rng.randrange(3), rng.randint(0, 900), rng.randint(0, 200)) for n in range(200)] + [(7, 0, 5, 90), (7, 0, 5, 90), (900, 1, 10**6, 5), (901, 2, 0, 2**63 - 1), (902, 2, 7, 2**63 - 1)]
     starts = L.segment_starts(spark.createDataFrame(segs, "file_id int, seq bigint, len bigint"))
-    got = L.resolve_ranges(starts, spark.createDataFrame(reqs, "request_id int, file_id int, req_offset bigint, req_len bigint"), block=16)
+    got = L.resolve_ranges(starts, spark.createDataFrame(reqs, "request_id int, file_id int, req_offset bigint, req_len bigint"), hot_rows=hot_rows)
     found = sorted((r.request_id, r.seq, r.within, r.n) for r in got.collect())
     want, at = [], {}
     for f, s, n in segs:
