@@ -11,6 +11,7 @@ from shelfmark.operators import mapping as M
 from shelfmark.operators import rules as R
 from shelfmark.operators import sync as S
 from shelfmark.sources import inventory
+from shelfmark.sources.folders import folder_inventory
 from shelfmark.sources.shared import fresh_path
 from shelfmark.sources.versions import VersionStore
 
@@ -24,6 +25,21 @@ def a01(spark, d):
     return inventory.file_inventory(spark, [d])
 
 
+@query(
+    "a01_folder_inventory",
+    "SELECT concat('o_orderstatus=', o_orderstatus) AS folder, 1 AS files, count(*) AS n_rows FROM orders GROUP BY o_orderstatus",
+)
+def a01f(spark, d):
+    """Landed orders, one file per status folder, listed by executors; the rows are read through the listed paths."""
+    root = fresh_path(spark, "landed").removeprefix("file:")
+    Fixtures(spark, d).table("orders").select("o_orderkey", "o_orderstatus").repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(root)
+    found = folder_inventory(spark, [root]).where("presence = 'present' AND path LIKE '%.parquet' AND path NOT LIKE '%.crc'")
+    folder = F.element_at(F.split("path", "/"), -2)
+    sizes = found.groupBy(folder.alias("folder")).agg(F.count("*").cast("int").alias("files"))
+    rows = spark.read.parquet(root).groupBy(F.concat(F.lit("o_orderstatus="), "o_orderstatus").alias("folder")).agg(F.count("*").alias("n_rows"))
+    return sizes.join(rows, "folder")
+
+
 @query("a02_extension_filter", f"SELECT path, size FROM files_fx WHERE {EXT_SQL} IN {SUPPORTED}")
 def a02(spark, d):
     return I.supported_files(Fixtures(spark, d).files()).select("path", "size")
@@ -72,6 +88,29 @@ def a06(spark, d):
     return a.select("id", P.trim_to_null("title").alias("title"), F.col("artistId").alias("artist_id"), F.col("artist.id").alias("nested_id"), F.size("genres").alias("n_genres"), n_images.alias("n_images"))
 
 
+@query(
+    "a06_landed_files",
+    """SELECT 'record' AS part, CAST(c_custkey AS VARCHAR) AS what, c_name AS name, CAST(1 AS BIGINT) AS n FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0
+    UNION ALL SELECT 'reject', CASE WHEN c_custkey % 7 = 0 THEN 'cut' ELSE 'type' END, CAST(NULL AS VARCHAR), count(*) FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0 GROUP BY 2
+    UNION ALL SELECT 'drift', 'segment', CAST(NULL AS VARCHAR), count(*) FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 HAVING count(*) > 0""",
+)
+def a06f(spark, d):
+    """Landed lines of artists: objects and arrays, some cut off, some of a wrong type, all with a field the schema lacks."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit('"artistName": "'), "c_name", F.lit('", "segment": "'), "c_mktsegment", F.lit('"'))
+    genres = F.when(k % 11 == 0, '"genres": {"a": 1}').otherwise('"genres": ["Rock"]')
+    whole = F.concat(F.lit('{"id": "'), k.cast("string"), F.lit('", '), genres, F.lit(", "), name, F.lit("}"))
+    line = F.when(k % 7 == 0, F.expr("substring(w, 1, length(w) - 2)")).when(k % 3 == 0, F.concat(F.lit(" ["), "w", F.lit("]"))).otherwise(F.col("w"))
+    path = fresh_path(spark, "artists")
+    Fixtures(spark, d).table("customer").withColumn("w", whole).select(line.alias("value")).write.text(path)
+    got = inventory.read_landed(spark, path, "artists")
+    null = F.lit(None).cast("string").alias("name")
+    rejects = got.rejects.groupBy(F.when(F.col("text").endswith("}"), "type").otherwise("cut").alias("what")).agg(F.count("*").alias("n"))
+    out = got.records.select(F.lit("record").alias("part"), F.col("id").alias("what"), F.col("artistName").alias("name"), F.lit(1).cast("bigint").alias("n"))
+    out = out.unionByName(rejects.select(F.lit("reject").alias("part"), "what", null, "n"))
+    return out.unionByName(got.drift.select(F.lit("drift").alias("part"), F.col("field").alias("what"), null, "n"))
+
+
 @query(
     "a07_backfill_albums",
     "SELECT DISTINCT f.album_id FROM cfiles_fx f JOIN artists_fx a ON a.num = f.artist_id",
