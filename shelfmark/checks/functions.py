@@ -7,6 +7,7 @@ from shelfmark.functions import paths as P
 from shelfmark.functions import values as V
 from shelfmark.functions import vocab
 from shelfmark.operators import mapping as M
+from shelfmark.operators.fingerprint import catalogue_fingerprints
 from shelfmark.plans.view import render
 from shelfmark.sources import inventory
 
@@ -279,6 +280,23 @@ def h51(spark, d):
     return x.agg(F.countDistinct("lang", "source", "text").alias("records"), F.countDistinct("fp").alias("prints"))
 
 
+@query(
+    "h51_catalogue_fingerprint",
+    """WITH g AS (SELECT track_id, count(*) AS n FROM tags_fx WHERE key = 'genre' GROUP BY track_id)
+    SELECT t.id, CASE t.id % 4 WHEN 0 THEN FALSE WHEN 2 THEN COALESCE(n, 0) < 2 ELSE TRUE END AS same FROM tracks_fx t LEFT JOIN g ON g.track_id = t.id""",
+)
+def h51c(spark, d):
+    """Fingerprints before and after: a changed title (every fourth track), reversed genres, new stamps, rows stored elsewhere."""
+    before = Fixtures(spark, d).catalogue()
+    i = F.col("track_id")
+    # Genres number from 0; negative numbers reverse their order.
+    turned = F.when((i % 4 == 2) & (F.col("key") == "genre"), -F.col("ordinal")).otherwise(F.col("ordinal"))
+    tags = before["tags"].withColumn("ordinal", turned).withColumn("value", F.when((i % 4 == 0) & (F.col("key") == "title"), F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    after = {**before, "tags": tags.repartition("value"), "tracks": before["tracks"].withColumn("backing_mtime_ns", F.col("backing_mtime_ns") + 1)}
+    now = catalogue_fingerprints(after).withColumnRenamed("fingerprint", "now")
+    return catalogue_fingerprints(before).join(now, "id").select("id", (F.col("fingerprint") == F.col("now")).alias("same"))
+
+
 @query(
     "h52_sniff_image_type",
     "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/webp' WHEN 3 THEN 'image/jpeg' WHEN 4 THEN 'image/png' WHEN 5 THEN 'image/webp' ELSE 'application/octet-stream' END AS v FROM events",
