@@ -126,6 +126,133 @@ def k2c(spark, d):
     return n[0].unionByName(n[1]).unionByName(n[2])
 
 
+# What the files of a forced scan bring: three pictures, three binary tags (one of them empty) and up to two blocks each.
+BROUGHT = f"""{SCAN}, ing AS (SELECT path, size, mtime_ns FROM files_fx f WHERE {SUP} AND EXISTS (SELECT 1 FROM tracks_fx t WHERE t.backing_path = f.path) UNION ALL SELECT path, size, mtime_ns FROM acts WHERE NOT wins),
+    final AS (SELECT t.id, COALESCE(a.path, t.backing_path) AS path, t.backing_path FROM tracks_fx t LEFT JOIN (SELECT * FROM acts WHERE wins) a ON a.cid = t.id),
+    rest AS (SELECT id, path FROM final WHERE backing_path NOT IN (SELECT path FROM ing))"""
+
+
+def brought(files):
+    """pictures, binary tags and blocks by path, derived from the listing."""
+    pos = files.select("path", "size", "mtime_ns", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("pos"))
+    n = F.col("size") + F.col("pos")
+    pictures = pos.select(
+        "path", "pos", F.when(F.col("mtime_ns") % 2 == 0, "image/png").otherwise("image/jpeg").alias("mime"), (n % 3).cast("int").alias("width"), F.lit(0).alias("height"),
+        (n % 25).cast("int").alias("picture_type"), F.concat(F.lit("p"), F.col("pos").cast("string")).alias("description"), F.concat(F.lit("img"), (n % 50).cast("string")).cast("binary").alias("data"),
+    )
+    blobs = pos.select("path", "pos", F.when(F.col("pos") == 2, "id3:GEOB").otherwise("id3:PRIV").alias("key"), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("b"), n.cast("string"))).cast("binary").alias("payload"))
+    kind = F.when(F.col("pos") == 0, "STREAMINFO").when(F.col("pos") == 1, "SEEKTABLE").otherwise("PADDING")
+    blocks = pos.select("path", "pos", kind.alias("kind"), F.concat(F.lit("body"), n.cast("string")).cast("binary").alias("body"))
+    return pictures, blobs, blocks
+
+
+def forced(spark, d, **wanted):
+    fx = Fixtures(spark, d)
+    files = fx.files()
+    rows = dict(zip(("file_pictures", "file_binary_tags", "file_blocks"), brought(files)))
+    return SC.scan(files, fx.catalogue(), NOW, force=True, roots=["/"], **{k: rows[k] for k in wanted})
+
+
+@query(
+    "k1_scan_art",
+    f"""WITH {BROUGHT}, pics AS (SELECT path, p AS pos, sha256(concat('img', (size + p) % 50)) AS sha256, CASE WHEN mtime_ns % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS mime, CAST(NULLIF((size + p) % 3, 0) AS INT) AS width,
+      CAST(CASE WHEN (size + p) % 25 > 20 THEN 0 ELSE (size + p) % 25 END AS INT) AS picture_type, concat('p', p) AS description, CAST(strlen(concat('img', (size + p) % 50)) AS BIGINT) AS byte_len FROM ing, (VALUES (0), (1), (2)) v(p)),
+    firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY path, pos) AS k FROM pics) x WHERE k = 1)
+    SELECT p.path, CAST(p.pos AS BIGINT) AS ordinal, p.picture_type, p.description, p.sha256, a.mime, a.width, a.byte_len FROM pics p JOIN firsts a ON a.sha256 = p.sha256
+    UNION ALL SELECT r.path, l.ordinal, l.picture_type, l.description, a.sha256, a.mime, NULL, a.byte_len FROM track_art_fx l JOIN rest r ON r.id = l.track_id LEFT JOIN art_fx a ON a.sha256 = l.art_sha256""",
+)
+def k1art(spark, d):
+    """Pictures of all files read, with the art they share; links of moved and missing tracks stay."""
+    out = forced(spark, d, file_pictures=1).catalogue
+    links = C.links_with_metadata(out["track_art"], out["art"]).join(out["tracks"].select(F.col("id").alias("track_id"), F.col("backing_path").alias("path")), "track_id")
+    return links.select("path", "ordinal", "picture_type", "description", "sha256", "mime", "width", "byte_len")
+
+
+@query(
+    "k1_scan_binary_tags",
+    f"""WITH {BROUGHT}, blobs AS (SELECT path, p, CASE WHEN p = 2 THEN 'id3:GEOB' ELSE 'id3:PRIV' END AS key, concat('b', size + p) AS body FROM ing, (VALUES (0), (1), (2)) v(p) WHERE (size + p) % 3 <> 0)
+    SELECT path, key, row_number() OVER (PARTITION BY path ORDER BY p) - 1 AS ordinal, sha256(body) AS sha256 FROM blobs
+    UNION ALL SELECT r.path, t.key, t.ordinal, sha256(t.blob) FROM tagsb_fx t JOIN rest r ON r.id = t.track_id WHERE t.blob IS NOT NULL""",
+)
+def k1bin(spark, d):
+    """Empty payloads go, and ordinals run over all binary tags of a track."""
+    out = forced(spark, d, file_binary_tags=1).catalogue
+    rows = C.binary_tags(out["tags"]).join(out["tracks"].select(F.col("id").alias("track_id"), F.col("backing_path").alias("path")), "track_id")
+    return rows.select("path", "key", "ordinal", F.sha2("value_blob", 256).alias("sha256"))
+
+
+BLOCK_ROWS = "SELECT path, CASE p WHEN 0 THEN 'STREAMINFO' ELSE 'SEEKTABLE' END AS kind, CAST(0 AS BIGINT) AS ordinal, sha256(concat('body', size + p)) AS sha256"
+
+
+@query(
+    "k1_scan_blocks",
+    f"""WITH {BROUGHT} {BLOCK_ROWS} FROM ing, (VALUES (0), (1)) v(p)
+    UNION ALL SELECT r.path, b.kind, b.ordinal, sha256(b.body) FROM blocks_fx b JOIN rest r ON r.id = b.track_id""",
+)
+def k1blocks(spark, d):
+    """Blocks of a kind that is not kept do not come in."""
+    out = forced(spark, d, file_blocks=1).catalogue
+    rows = out["structural_blocks"].join(out["tracks"].select(F.col("id").alias("track_id"), F.col("backing_path").alias("path")), "track_id")
+    return rows.select("path", "kind", "ordinal", F.sha2("body", 256).alias("sha256"))
+
+
+@query(
+    "k1_scan_rejects",
+    f"""WITH {BROUGHT} SELECT path, 'structural_blocks' AS "table", CAST(2 AS BIGINT) AS pos, 'kind' AS reason FROM ing""",
+)
+def k1rej(spark, d):
+    return forced(spark, d, file_blocks=1).rejects
+
+
+@query(
+    "k2_structural_rows",
+    f"""WITH {REVAL} SELECT * FROM ({BLOCK_ROWS} FROM st, (VALUES (0), (1)) v(p) WHERE state = 'changed'
+    UNION ALL SELECT t.backing_path, b.kind, b.ordinal, sha256(b.body) FROM blocks_fx b JOIN tracks_fx t ON t.id = b.track_id WHERE t.id NOT IN (SELECT id FROM st WHERE state = 'changed') AND t.id NOT IN (SELECT id FROM gone)) x""",
+)
+def k2blocks(spark, d):
+    fx = Fixtures(spark, d)
+    out = SC.revalidate(fx.files(), fx.catalogue(), NOW, "/lib", "full", prune=True, file_blocks=brought(fx.files())[2]).catalogue
+    rows = out["structural_blocks"].join(out["tracks"].select(F.col("id").alias("track_id"), F.col("backing_path").alias("path")), "track_id")
+    return rows.select("path", "kind", "ordinal", F.sha2("body", 256).alias("sha256"))
+
+
+# How reading went: every 19th size could not be looked at, every 23rd failed, every 29th changed meanwhile.
+PROBED = "CASE WHEN size % 19 = 0 THEN 'unknown' ELSE 'present' END AS presence, CASE WHEN size % 23 = 0 THEN 'failed' WHEN size % 29 = 0 THEN 'raced' END AS probe"
+
+
+def probed(files):
+    unseen = F.when(F.col("size") % 19 == 0, "unknown").otherwise("present")
+    return files.withColumn("presence", unseen).withColumn("probe", F.when(F.col("size") % 23 == 0, "failed").when(F.col("size") % 29 == 0, "raced"))
+
+
+@query(
+    "d07_failed_raced",
+    f"""WITH f AS (SELECT *, {PROBED}, path IN (SELECT backing_path FROM tracks_fx) AS known FROM files_fx),
+    s AS (SELECT *, CASE WHEN presence = 'unknown' THEN 'failed' WHEN NOT ({SUP}) THEN 'skipped' WHEN known THEN 'already_present' WHEN probe IS NOT NULL THEN probe ELSE 'todo' END AS state FROM f),
+    gone AS (SELECT * FROM tracks_fx t WHERE NOT EXISTS (SELECT 1 FROM files_fx f WHERE f.path = t.backing_path)),
+    one AS (SELECT fingerprint, min(id) AS cid, min(content_hash) AS ch FROM gone GROUP BY fingerprint HAVING count(*) = 1),
+    m AS (SELECT count(DISTINCT one.cid) AS n FROM s JOIN one ON one.fingerprint = s.fingerprint WHERE s.state = 'todo' AND (one.ch IS NULL OR one.ch = s.content_hash))
+    SELECT count_if(state = 'todo')::BIGINT AS scanned, count_if(state = 'todo')::BIGINT - (SELECT n FROM m) AS inserted, (SELECT n FROM m) AS retargeted, CAST(0 AS BIGINT) AS updated, count_if(state = 'skipped')::BIGINT AS skipped,
+      count_if(state = 'already_present')::BIGINT AS already_present, count_if(state = 'failed')::BIGINT AS failed, count_if(state = 'raced')::BIGINT AS raced FROM s""",
+)
+def d07f(spark, d):
+    fx = Fixtures(spark, d)
+    return SC.scan(probed(fx.files()), {"tracks": fx.tracks()}, NOW, roots=["/"]).stats
+
+
+@query(
+    "d08_failed_raced",
+    f"""WITH f AS (SELECT *, {PROBED} FROM files_fx WHERE starts_with(path, '/lib/')), j AS (SELECT f.*, t.id, f.size = t.backing_size AND f.mtime_ns = t.backing_mtime_ns AND f.ctime_ns = t.backing_ctime_ns
+      AND NOT (t.format = 'flac' AND t.id NOT IN (SELECT track_id FROM blocks_fx)) AND t.content_hash IS NOT NULL AS calm FROM f LEFT JOIN tracks_fx t ON t.backing_path = f.path),
+    s AS (SELECT CASE WHEN presence = 'unknown' THEN 'failed' WHEN id IS NULL OR NOT ({SUP}) THEN 'none' WHEN calm THEN 'unchanged' WHEN probe IS NOT NULL THEN probe ELSE 'changed' END AS state FROM j)
+    SELECT count_if(state = 'changed')::BIGINT AS updated, count_if(state = 'unchanged')::BIGINT AS unchanged, (SELECT count(*) FROM tracks_fx t WHERE starts_with(backing_path, '/lib/') AND NOT EXISTS (SELECT 1 FROM files_fx f WHERE f.path = t.backing_path)) AS pruned,
+      count_if(state = 'failed')::BIGINT AS failed, count_if(state = 'raced')::BIGINT AS raced FROM s""",
+)
+def d08f(spark, d):
+    fx = Fixtures(spark, d)
+    return SC.revalidate(probed(fx.files()), fx.catalogue(), NOW, "/lib", "full", prune=True).stats
+
+
 # K3. One template without contested names, one with: titles such as `Take 7 (2)`.
 PLAIN = "$album/$artist"
 RANKED = f"""WITH {FIELDS}, p AS (SELECT id, COALESCE(al, '') AS dir, COALESCE(ar, '') AS stem, format FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY dir, stem, format ORDER BY id) AS k FROM p)

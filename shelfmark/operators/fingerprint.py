@@ -21,14 +21,12 @@ def _fold(rows: DataFrame, by: list, order: list) -> DataFrame:
     return rows.groupBy(*by).agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["digest"]), ","), 256).alias("digest"))
 
 
-def _children(catalogue: dict) -> DataFrame:
-    """track_id, kind, key, ordinal, digest of every row that makes up a track."""
-    tags, links, blocks = catalogue["tags"], catalogue["track_art"], catalogue["structural_blocks"]
-    art = catalogue["art"].select(F.col("id").alias("art_id"), "sha256", "mime", "width", "height")
+def _children(tags: DataFrame, pictures: DataFrame, blocks: DataFrame) -> DataFrame:
+    """track_id, kind, key, ordinal, digest of every row that makes up a track; pictures stand with their metadata."""
     blob = F.sha2("value_blob", 256).alias("value_blob") if "value_blob" in tags.columns else F.lit(None).cast("string").alias("value_blob")
     some = [
         tags.select("track_id", F.lit("tag").alias("kind"), "key", "ordinal", "value", blob).select("track_id", "kind", "key", "ordinal", record_fingerprint("value", "value_blob").alias("digest")),
-        links.join(art, "art_id", "left").select(
+        pictures.select(
             "track_id", F.lit("picture").alias("kind"), F.lit("").alias("key"), "ordinal", record_fingerprint("sha256", "mime", "width", "height", "picture_type", "description").alias("digest")
         ),
         blocks.select("track_id", F.lit("block").alias("kind"), F.lit("").alias("key"), "ordinal", F.col("kind").alias("what"), F.sha2("body", 256).alias("body")).select(
@@ -38,13 +36,33 @@ def _children(catalogue: dict) -> DataFrame:
     return reduce(DataFrame.unionByName, some)
 
 
-def catalogue_fingerprints(catalogue: dict, tracks: DataFrame = None) -> DataFrame:
-    """id, fingerprint of every track (or of the given ones) from its columns and child rows."""
-    tracks = catalogue["tracks"] if tracks is None else tracks
-    rows = _children(catalogue).withColumn("run", F.floor(F.col("ordinal") / RUN))
+def _fingerprints(tracks: DataFrame, rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("run", F.floor(F.col("ordinal") / RUN))
     runs = _fold(rows, ["track_id", "kind", "key", "run"], ["ordinal"])
     runs = _fold(runs.withColumn("span", F.floor(F.col("run") / RUN)), ["track_id", "kind", "key", "span"], ["run"])
     parts = _fold(runs.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(RUN))), ["track_id", "kind", "part"], ["key", "span"])
     content = _fold(parts, ["track_id"], ["kind", "part"]).withColumnRenamed("track_id", "id")
     own = tracks.select("id", "format", "audio_offset", "audio_length").join(content, "id", "left")
     return own.select("id", record_fingerprint("format", "audio_offset", "audio_length", "digest").alias("fingerprint"))
+
+
+def catalogue_fingerprints(catalogue: dict, tracks: DataFrame = None) -> DataFrame:
+    """id, fingerprint of every track (or of the given ones) from its columns and child rows."""
+    tracks = catalogue["tracks"] if tracks is None else tracks
+    art = catalogue["art"].select(F.col("id").alias("art_id"), "sha256", "mime", "width", "height")
+    pictures = catalogue["track_art"].join(art, "art_id", "left")
+    return _fingerprints(tracks, _children(catalogue["tags"], pictures, catalogue["structural_blocks"]))
+
+
+def file_fingerprints(files: DataFrame, tags: DataFrame = None, binary_tags: DataFrame = None, pictures: DataFrame = None, blocks: DataFrame = None) -> DataFrame:
+    """path, fingerprint of the given files from their bounds and the rows read from them: all rows, also those
+    that the catalogue would not store, at their positions."""
+    kind = lambda df, schema: files.sparkSession.createDataFrame([], schema) if df is None else df.join(files.select("path"), "path", "left_semi")
+    at = [F.col("path").alias("track_id"), F.col("pos").alias("ordinal")]
+    text = kind(tags, "path string, pos bigint, key string, value string").select(*at, "key", "value", F.lit(None).cast("binary").alias("value_blob"))
+    blob = kind(binary_tags, "path string, pos bigint, key string, payload binary").select(*at, "key", F.lit("").alias("value"), F.col("payload").alias("value_blob"))
+    art = kind(pictures, "path string, pos bigint, mime string, width int, height int, picture_type int, description string, data binary")
+    art = art.select(*at, F.sha2("data", 256).alias("sha256"), "mime", "width", "height", "picture_type", "description")
+    body = kind(blocks, "path string, pos bigint, kind string, body binary").select(*at, "kind", "body")
+    own = files.select(F.col("path").alias("id"), "format", "audio_offset", "audio_length")
+    return _fingerprints(own, _children(text.unionByName(blob), art, body)).withColumnRenamed("id", "path")

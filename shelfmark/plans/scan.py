@@ -1,13 +1,21 @@
-"""Scan and revalidate: inventory against catalogue, written as new catalogue tables."""
+"""Scan and revalidate: inventory against catalogue, written as new catalogue tables.
+
+Besides the listing, an inventory may say how its files fared: `presence` (`present`, `absent`, or `unknown` after an
+error) and `probe` (`ok`, `failed`, or `raced` for a file that changed while it was read). Such files are not ingested,
+their tracks stay as they are, and the statistics get the columns `failed` and `raced`. Null means `present` and `ok`.
+"""
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths as P
+from shelfmark.functions import values as V
 from shelfmark.operators import catalog as C
+from shelfmark.operators import children as CH
 from shelfmark.operators import ingest as I
+from shelfmark.operators.fingerprint import file_fingerprints
 from shelfmark.operators.sync import bump_versions, version_steps
 from shelfmark.sources.shared import materialize
 
@@ -20,6 +28,7 @@ class Outcome:
     catalogue: dict
     actions: DataFrame
     stats: DataFrame
+    rejects: DataFrame = None  # child rows of files that were not stored: path, table, pos, reason
 
 
 def file_rows(files: DataFrame) -> DataFrame:
@@ -48,25 +57,69 @@ def _by_tier(rows: DataFrame, tier: str) -> DataFrame:
     return rows if tier == "full" else rows.withColumn("content_hash", none)
 
 
-def scan(files: DataFrame, catalogue: dict, now: int, tier: str = "full", strictness: str = "auto", force: bool = False, identity=(), file_tags: DataFrame = None, roots=()) -> Outcome:
+def read_result(files: DataFrame) -> Column:
+    """How reading a file went: ok, failed, raced or absent."""
+    have = set(files.columns)
+    presence = F.coalesce("presence", F.lit("present")) if "presence" in have else F.lit("present")
+    probe = F.col("probe") if "probe" in have else F.lit("ok")
+    return F.when(presence == "absent", "absent").when(presence != "present", "failed").when(probe.isin("failed", "raced"), probe).otherwise("ok")
+
+
+def _reports(files: DataFrame) -> bool:
+    return bool({"presence", "probe"} & set(files.columns))
+
+
+def scan_states(files: DataFrame, tracks: DataFrame, force: bool = False, identity=()) -> DataFrame:
+    """Inventory rows with `state`: todo, already_present, skipped, failed or raced. Absent files fall out.
+
+    A known file is not read unless forced, so it cannot fail or race; an entry that could not be
+    looked at fails whatever its name. Paths that name one physical file count once."""
+    listed = files.withColumn("_read", read_result(files)).where("_read <> 'absent'")
+    unseen = F.lit(False) if "presence" not in files.columns else F.coalesce(F.col("presence"), F.lit("present")) != "present"
+    listed = listed.withColumn("_kind", F.when(unseen, "failed").when(~P.extension_of("path").isin(*I.EXTENSIONS), "skipped").otherwise("file"))
+    if identity:
+        listed = I.distinct_physical_files(listed.where("_kind = 'file'"), identity).unionByName(listed.where("_kind <> 'file'"))
+    known = tracks.select(F.col("backing_path").alias("path"), F.lit(True).alias("_known"))
+    state = (
+        F.when(F.col("_kind") != "file", F.col("_kind"))
+        .when(F.col("_known") & F.lit(not force), "already_present")
+        .when(F.col("_read") != "ok", F.col("_read"))
+        .otherwise("todo")
+    )
+    return listed.join(known, "path", "left").withColumn("state", state).select(*files.columns, "state")
+
+
+def scan(
+    files: DataFrame, catalogue: dict, now: int, tier: str = "full", strictness: str = "auto", force: bool = False, identity=(), file_tags: DataFrame = None, roots=(),
+    file_pictures: DataFrame = None, file_binary_tags: DataFrame = None, file_blocks: DataFrame = None, content_fingerprints: bool = False,
+) -> Outcome:
     """Add what is new: unknown files are inserted, or taken over by the one missing
     track with their fingerprint; known files are only touched with `force`.
 
     roots: the folders that `files` lists in full. A track is missing if its path lies
     below one of them and is not listed, or is listed as absent; no other track moves.
-    file_tags: path, pos, key, value as read from the files; they replace the text
-    tags of inserted and upserted tracks, whose binary tags stay; a retargeted track
-    keeps all its own.
+
+    What was read from the files, by path and position; each replaces the rows of its
+    kind on inserted and upserted tracks, and what is not given stays. A retargeted
+    track keeps all its own. Rows that may not be stored are in `rejects`.
+    file_tags: path, pos, key, value. file_binary_tags: path, pos, key, payload.
+    file_pictures: path, pos, mime, width, height, picture_type, description, data.
+    file_blocks: path, pos, kind, body.
+    content_fingerprints: files that bring no fingerprint get one from these rows.
     """
     if tier not in I.TIERS:
         raise ValueError(f"tier is one of {I.TIERS}")
     tracks = catalogue["tracks"]
-    supported = I.supported_files(files)
-    unique = I.distinct_physical_files(supported, identity) if identity else supported
-    todo = unique if force else I.unknown_files(unique, tracks)
-    rows = file_rows(todo)
+    # One join of the inventory with the catalogue; only files to read are written with their columns.
+    states = scan_states(files, tracks, force, identity)
+    todo_only = lambda c: F.when(F.col("state") == "todo", F.col(c)).alias(c)
+    states = materialize(states.select(*[todo_only(c) for c in files.columns], "state"), "scan-states")
+    rows = file_rows(states.where("state = 'todo'").drop("state"))
+    if content_fingerprints and tier != "none":
+        made = file_fingerprints(rows.where("fingerprint IS NULL"), file_tags, file_binary_tags, file_pictures, file_blocks)
+        rows = rows.join(made.withColumnRenamed("fingerprint", "_made"), "path", "left").withColumn("fingerprint", F.coalesce("fingerprint", "_made")).drop("_made")
     # A full hash is still at hand for confirming a move when the tier does not store it.
-    # The decisions feed tracks, tags and statistics: work them out once.
+    # The decisions feed tracks, child rows and statistics: work them out once.
     acts = materialize(I.match_moves(rows, tracks, files, strictness, roots), "scan-actions")
     stored_sums = lambda df: df.withColumn("content_hash", F.when((F.col("action") == "retarget") | F.lit(tier == "full"), F.col("content_hash"))).withColumn(
         "fingerprint", F.col("fingerprint") if tier != "none" else F.lit(None).cast("string")
@@ -79,31 +132,21 @@ def scan(files: DataFrame, catalogue: dict, now: int, tier: str = "full", strict
     moved = C.retarget_tracks(tracks, moves, now)
     rest = acts_stored.where("action <> 'retarget'").withColumnRenamed("path", "backing_path")
     new_tracks = C.upsert_tracks(moved, rest, now)
-    if file_tags is not None:
+    given = {"tags": file_tags, "binary_tags": file_binary_tags, "pictures": file_pictures, "blocks": file_blocks}
+    out, rejects = {**catalogue, "tracks": new_tracks}, None
+    if any(df is not None for df in given.values()):
         new_tracks = materialize(new_tracks, "scan-tracks")
-    out = {**catalogue, "tracks": new_tracks}
-    if file_tags is not None:
-        ids = new_tracks.select(F.col("id").alias("track_id"), F.col("backing_path").alias("path"))
-        pairs = file_tags.join(acts.where("action <> 'retarget'").select("path"), "path", "left_semi").join(ids, "path")
-        rescanned = acts.where("action = 'upsert'").select("track_id")
-        texts = catalogue["tags"].where("value_blob IS NULL")
-        kept = texts.join(rescanned, "track_id", "left_anti").unionByName(catalogue["tags"].where("value_blob IS NOT NULL"))
-        added = I.accepted_tags(pairs.select("track_id", "pos", "key", "value")).withColumn("value_blob", F.lit(None).cast("binary"))
-        out["tags"] = kept.select(*catalogue["tags"].columns).unionByName(added.select(*catalogue["tags"].columns))
-        dropped = texts.join(rescanned, "track_id", "left_semi")
-        out["tracks"] = bump_versions(new_tracks, version_steps((dropped, 1), (added, 1)))
-    stats = scan_stats(files, unique, todo, acts)
-    return Outcome(out, acts, stats)
-
-
-def scan_stats(files: DataFrame, unique: DataFrame, todo: DataFrame, acts: DataFrame) -> DataFrame:
-    """scanned, inserted, retargeted, updated, skipped, already_present: one union, one aggregation."""
-    marks = (
-        acts.select(F.col("action").alias("s"))
-        .unionByName(files.where(~P.extension_of("path").isin(*I.EXTENSIONS)).select(F.lit("skipped").alias("s")))
-        .unionByName(unique.select(F.lit("seen").alias("s")))
-        .unionByName(todo.select(F.lit("todo").alias("s")))
-    )
+        ids = new_tracks.select(F.col("backing_path").alias("path"), F.col("id").alias("track_id"))
+        ids = ids.join(acts.where("action <> 'retarget'").select("path", (F.col("action") == "upsert").alias("known")), "path")
+        out, steps, rejects = CH.replace_children({**catalogue, "tracks": new_tracks}, ids, **given)
+        out["tracks"] = bump_versions(new_tracks, version_steps(*steps))
+    return Outcome(out, acts, scan_stats(states, acts, _reports(files)), rejects)
+
+
+def scan_stats(states: DataFrame, acts: DataFrame, reports: bool = False) -> DataFrame:
+    """scanned, inserted, retargeted, updated, skipped, already_present, and with `reports` failed and raced:
+    one aggregation over the two written columns `state` and `action`."""
+    marks = states.select(F.col("state").alias("s")).unionByName(acts.select(F.col("action").alias("s")))
     n = lambda *names: F.count_if(F.col("s").isin(*names))
     return marks.agg(
         n("insert", "retarget", "upsert").alias("scanned"),
@@ -111,34 +154,74 @@ def scan_stats(files: DataFrame, unique: DataFrame, todo: DataFrame, acts: DataF
         n("retarget").alias("retargeted"),
         n("upsert").alias("updated"),
         n("skipped").alias("skipped"),
-        (n("seen") - n("todo")).alias("already_present"),
+        n("already_present").alias("already_present"),
+        *([n("failed").alias("failed"), n("raced").alias("raced")] if reports else []),
     )
 
 
-def revalidate(files: DataFrame, catalogue: dict, now: int, root=None, tier: str = "none", prune: bool = False) -> Outcome:
-    """Refresh stamps, bounds and checksums of known files that changed; with `prune`,
-    delete tracks below the root whose file is absent and the art nobody uses then.
-    No track is added and tags and links of the remaining tracks stay."""
+def known_states(files: DataFrame, tracks: DataFrame, blocks: DataFrame, tier: str = "none", root=None, prune: bool = False) -> DataFrame:
+    """Inventory rows with `id` and `state`: changed, unchanged, failed or raced, and with `prune` a row with
+    id and `pruned` for each track below the root without a file. One join by path; other files fall out."""
+    if tier not in I.TIERS:
+        raise ValueError(f"tier is one of {I.TIERS}")
+    scoped = files if root is None else files.where(P.under_root("path", root))
+    tracks = tracks if root is None else tracks.where(P.under_root("backing_path", root))
+    listed = scoped.withColumn("_read", read_result(files)).where("_read <> 'absent'")
+    unseen = F.lit(False) if "presence" not in files.columns else F.coalesce(F.col("presence"), F.lit("present")) != "present"
+    listed = listed.withColumn("_kind", F.when(unseen, "failed").when(P.extension_of("path").isin(*I.EXTENSIONS), "file").otherwise("other"))
+    have = blocks.select(F.col("track_id").alias("id")).distinct().withColumn("_blocks", F.lit(True))
+    lacking = {
+        "none": F.lit(False),
+        "fingerprint": F.col("fingerprint").isNull(),
+        "full": F.col("fingerprint").isNull() | F.col("content_hash").isNull(),
+    }[tier]
+    side = tracks.join(have, "id", "left").select(
+        "id",
+        F.col("backing_path").alias("path"),
+        V.stamp("backing_size", "backing_mtime_ns", "backing_ctime_ns").alias("_stamp"),
+        (lacking | ((F.col("format") == "flac") & F.col("_blocks").isNull())).alias("_lacks"),
+    )
+    j = listed.join(side, "path", "full" if prune else "left")
+    same = V.stamp("size", "mtime_ns", "ctime_ns").eqNullSafe(F.col("_stamp")) & ~F.col("_lacks")
+    state = (
+        F.when(F.col("_kind").isNull(), "pruned")
+        .when(F.col("_kind") == "failed", "failed")
+        .when((F.col("_kind") == "other") | F.col("id").isNull(), None)
+        .when(same, "unchanged")
+        .when(F.col("_read") != "ok", F.col("_read"))
+        .otherwise("changed")
+    )
+    return j.withColumn("state", state).where("state IS NOT NULL").select(*files.columns, "id", "state")
+
+
+def revalidate(files: DataFrame, catalogue: dict, now: int, root=None, tier: str = "none", prune: bool = False, file_blocks: DataFrame = None) -> Outcome:
+    """Refresh stamps, bounds and checksums of known files that changed, and with
+    `file_blocks` (path, pos, kind, body) their structural rows; with `prune`, delete
+    tracks below the root whose file is absent and the art nobody uses then. No track
+    is added and tags and links of the remaining tracks stay."""
     if prune and root is None:
         raise ValueError("pruning needs the root that the files were listed from")
     tracks = catalogue["tracks"]
-    scoped = files if root is None else files.where(P.under_root("path", root))
-    seen = scoped if "presence" not in files.columns else scoped.where(F.coalesce(F.col("presence"), F.lit("present")) == "present")
-    states = I.classify_known(I.supported_files(seen), tracks, catalogue["structural_blocks"], tier)
-    changed = _by_tier(file_rows(states.where("state = 'changed'")), tier)
-    touched = C.upsert_tracks(tracks, changed.withColumnRenamed("path", "backing_path"), now)
-    out = {**catalogue, "tracks": touched}
-    gone = I.missing_tracks(tracks, files, root) if prune else tracks.where(F.lit(False))
+    # The decisions feed tracks, blocks, pruning and statistics: work them out once.
+    states = materialize(known_states(files, tracks, catalogue["structural_blocks"], tier, root, prune), "known-states")
+    changed = states.where("state = 'changed'")
+    rows = _by_tier(file_rows(changed), tier)
+    out, rejects = {**catalogue, "tracks": C.upsert_tracks(tracks, rows.withColumnRenamed("path", "backing_path"), now)}, None
+    if file_blocks is not None:
+        ids = changed.select("path", F.col("id").alias("track_id"), F.lit(True).alias("known"))
+        out, steps, rejects = CH.replace_children(out, ids, blocks=file_blocks)
+        out["tracks"] = bump_versions(out["tracks"], version_steps(*steps))
     if prune:
-        out = C.cascade_delete(out, gone)
+        out = C.cascade_delete(out, states.where("state = 'pruned'").select("id"))
         out["art"] = C.live_art(out["art"], out["track_art"])
-    marks = states.select(F.col("state").alias("s")).unionByName(gone.select(F.lit("pruned").alias("s")))
-    stats = marks.agg(
-        F.count_if(F.col("s") == "changed").alias("updated"),
-        F.count_if(F.col("s") == "unchanged").alias("unchanged"),
-        F.count_if(F.col("s") == "pruned").alias("pruned"),
+    n = lambda name: F.count_if(F.col("state") == name)
+    stats = states.agg(
+        n("changed").alias("updated"),
+        n("unchanged").alias("unchanged"),
+        n("pruned").alias("pruned"),
+        *([n("failed").alias("failed"), n("raced").alias("raced")] if _reports(files) else []),
     )
-    return Outcome(out, states, stats)
+    return Outcome(out, states.where("state <> 'pruned'"), stats, rejects)
 
 
 def check_catalogue(catalogue: dict) -> DataFrame:
