@@ -176,6 +176,75 @@ def i10(spark, d):
     return spark.read.schema(flat.schema).parquet(out)
 
 
+# The run's own library: four tracks a user, at the paths that the events name.
+RUN = f"""{RAW}, tr AS (SELECT id, id // 4 AS u, id % 4 AS v, concat('/', substr('nmro', CAST(id % 4 + 1 AS INT), 1), '/', id // 4) AS path FROM tracks_fx),
+    ok AS (SELECT tr.*, c.c_name AS name FROM tr JOIN customer c ON c.c_custkey = tr.u WHERE v < 3 AND id % 11 <> 0),
+    sync AS (SELECT event_id, user_id AS u, event_id % 8 AS k FROM raw WHERE event_id % 8 IN (1, 2, 7) AND (artist_id IS NOT NULL OR album_id IS NOT NULL)),
+    first AS (SELECT ok.id, ok.name, min(sync.event_id) AS s FROM ok JOIN sync ON sync.u = ok.u AND (sync.k = 1) = (ok.v < 2) GROUP BY ok.id, ok.name),
+    gone AS (SELECT id FROM tr WHERE id % 3 = 0 AND EXISTS (SELECT 1 FROM raw e WHERE e.event_id % 8 = 5 AND e.user_id = tr.u AND e.album_mbid IS NOT NULL)
+      UNION SELECT f.id FROM first f JOIN tr ON tr.id = f.id WHERE EXISTS (SELECT 1 FROM raw e WHERE e.event_id % 8 = 4 AND e.user_id = tr.u AND e.artist_mbid IS NOT NULL AND e.event_id > f.s)
+      UNION SELECT id FROM tr WHERE v = 3 AND id % 8 <> 3 AND EXISTS (SELECT 1 FROM sync e WHERE e.k = 2 AND e.u = tr.u)),
+    live AS (SELECT tr.id, tr.u, first.s, first.name FROM tr LEFT JOIN first ON first.id = tr.id WHERE tr.id NOT IN (SELECT id FROM gone))"""
+
+
+def run_library(fx):
+    """catalogue, collection and inventory of the run."""
+    n = fx.tracks().select("id", F.floor(F.col("id") / 4).alias("u"), (F.col("id") % 4).cast("int").alias("v"))
+    path = F.concat(F.lit("/"), F.substring(F.lit("nmro"), F.col("v") + 1, F.lit(1)), F.lit("/"), F.col("u").cast("string"))
+    n = n.withColumn("path", path)
+    text = lambda rows, key, value: rows.select(F.col("id").alias("track_id"), F.lit(key).alias("key"), value.alias("value"), F.lit(0).cast("bigint").alias("ordinal"), F.lit(None).cast("binary").alias("value_blob"))
+    owned = n.where("id % 3 = 0")
+    tags = text(n, "title", F.lit("old")).unionByName(text(owned, "musicbrainz_albumid", F.concat(F.lit("al"), F.col("u").cast("string")))).unionByName(text(owned, EV.OWNER_KEY, F.lit("1")))
+    cat = fx.catalogue()
+    tracks = fx.tracks().join(n.select("id", "path"), "id").withColumn("backing_path", F.col("path")).select(*cat["tracks"].columns)
+    none, genres = F.lit(None).cast("string"), F.array().cast("array<string>")
+    collection = {
+        "files": n.where("v < 3").select("id", F.col("u").cast("string").alias("artistId"), F.lit("1").alias("albumId"), "path"),
+        "tracks": n.where("v < 3 AND id % 11 <> 0").select(
+            "id", none.alias("artistId"), none.alias("albumId"), F.col("id").alias("trackFileId"), *[none.alias(c) for c in ("foreignTrackId", "foreignRecordingId", "trackNumber", "absoluteTrackNumber", "mediumNumber")],
+            F.concat(F.lit("T"), F.col("id").cast("string")).alias("title"),
+        ),
+        "albums": fx.table("nation").where("n_nationkey = 1").select(F.lit("1").alias("id"), F.lit("Album").alias("title"), none.alias("foreignAlbumId"), none.alias("releaseDate"), genres.alias("genres")),
+        "artists": fx.table("customer").select(
+            F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("artistName"), none.alias("name"), F.concat(F.lit("ar"), F.col("c_custkey").cast("string")).alias("foreignArtistId"), none.alias("mbId"), genres.alias("genres")
+        ),
+    }
+    return {**cat, "tracks": tracks, "tags": tags}, collection, n.where("id % 8 = 3 OR v < 3").select("path")
+
+
+def event_run(spark, d):
+    catalogue, collection, inventory = run_library(Fixtures(spark, d))
+    run = EV.EventRun(spark, fresh_path(spark, "event-run"), lambda: catalogue, lambda: collection, lambda: inventory)
+    EV.run_events(raw_events(event_stream(spark, d)), run, fresh_path(spark, "event-run-checkpoint"))
+    return run
+
+
+@query(
+    "i10_run",
+    f"""WITH {RUN} SELECT id, key, value FROM (
+      SELECT id, 'title' AS key, CASE WHEN s IS NULL THEN 'old' ELSE concat('T', id) END AS value FROM live
+      UNION ALL SELECT id, 'musicbrainz_albumid', concat('al', u) FROM live WHERE id % 3 = 0
+      UNION ALL SELECT id, 'collection_managed', '1' FROM live WHERE id % 3 = 0 OR s IS NOT NULL
+      UNION ALL SELECT id, k, name FROM live, (VALUES ('artist'), ('albumartist')) v(k) WHERE s IS NOT NULL
+      UNION ALL SELECT id, 'album', 'Album' FROM live WHERE s IS NOT NULL
+      UNION ALL SELECT id, 'musicbrainz_artistid', concat('ar', u) FROM live WHERE s IS NOT NULL) x""",
+)
+def i10run(spark, d):
+    """All event types through the run: syncs, prunes and deletes carried out on the catalogue."""
+    return event_run(spark, d).current()["tags"].select(F.col("track_id").alias("id"), "key", "value")
+
+
+@query(
+    "i10_run_rejects",
+    f"""WITH {RUN}, paths AS (SELECT event_id, unnest(CASE WHEN k = 1 THEN [concat('/n/', u), concat('/m/', u)] ELSE [concat('/r/', u)] END) AS path FROM sync)
+    SELECT event_id, CAST(NULL AS VARCHAR) AS path, 'no artist or album id' AS reason FROM raw WHERE event_id % 8 IN (1, 2, 7) AND artist_id IS NULL AND album_id IS NULL
+    UNION ALL SELECT p.event_id, p.path, CASE WHEN tr.id IS NULL THEN 'no matching track file' WHEN tr.id % 11 = 0 THEN 'multi-track metadata unavailable' ELSE 'album or artist metadata unavailable' END
+      FROM paths p LEFT JOIN tr ON tr.path = p.path WHERE p.path NOT IN (SELECT path FROM ok)""",
+)
+def i10rej(spark, d):
+    return event_run(spark, d).rejects().drop("batch")
+
+
 @query("i11_notify_set", f"WITH {VIEWS} {INVALID}")
 def i11(spark, d):
     """Nodes to invalidate per refresh, written to a sink table."""
