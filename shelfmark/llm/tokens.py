@@ -170,7 +170,7 @@ def encoder(path: str, words: int | None = None) -> WordEncoder:
     return _encoders[path]
 
 
-def _groups(lengths: np.ndarray, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _groups(lengths: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `size` bytes of text."""
     begin = total = 0
     for i, n in enumerate(lengths.tolist()):
@@ -197,10 +197,11 @@ def _codec(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", cache_words: int | None = None) -> None:
+def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", cache_words: int | None = None, group_bytes: int = 1 << 22) -> None:
     """Encode `text` of every row, append end_id, and write the folder described above in ascending order of `key`.
 
     cache_words: words a Python worker keeps, some 150 bytes each; fewer cost time, not results.
+    group_bytes: bytes of text encoded at once; the working arrays of a group take some ten times as much.
     """
     spark = df.sparkSession
     bound_batches(spark)
@@ -227,7 +228,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str =
             keys, bodies = b.column(0), b.column(1)
             order = keys.fill_null(LOWEST).to_numpy(zero_copy_only=False)
             first, last = np.searchsorted(bounds, order, "left"), np.searchsorted(bounds, order, "right")
-            for i, j in _groups(pc.binary_length(bodies).fill_null(0).to_numpy(zero_copy_only=False)):
+            for i, j in _groups(pc.binary_length(bodies).fill_null(0).to_numpy(zero_copy_only=False), group_bytes):
                 ids, stops = known.encode_column(bodies.slice(i, j - i))
                 whole = np.insert(ids, stops, end[0])
                 stops = stops + np.arange(1, len(stops) + 1)
