@@ -1,8 +1,8 @@
 """A track's content fingerprint from its rows in the catalogue: bounds, tags, pictures and blocks, and no file stamp.
 
-Ordered rows are digested in runs, runs in runs of runs, keys in parts, and the parts of a track last. So equal content
-in equal order gives an equal digest, wherever its rows are stored, and no track is one array: each step holds RUN
-digests of 64 characters at a time (on average, for parts).
+Rows are digested with their kind and key, in groups of one part of the keys and one run of ordinals, and the groups of a track
+last: two shuffles of 32-byte digests. So equal content in equal order gives an equal digest, wherever its rows are
+stored, and no track is one array: of n rows a group holds about RUN or n / RUN, and a track up to RUN + n / RUN groups.
 """
 
 from functools import reduce
@@ -13,37 +13,33 @@ from pyspark.sql import functions as F
 from shelfmark.functions.values import record_fingerprint
 
 RUN = 1024
+KINDS = ("tag", "picture", "block")
 
 
 def _fold(rows: DataFrame, by: list, order: list) -> DataFrame:
-    """One digest of the ordered digests of each group."""
+    """One digest of the ordered digests of each group; digests travel as 32 bytes."""
     parts = F.sort_array(F.collect_list(F.struct(*order, "digest")))
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["digest"]), ","), 256).alias("digest"))
+    return rows.groupBy(*by).agg(F.unhex(F.sha2(F.array_join(F.transform(parts, lambda p: F.hex(p["digest"])), ","), 256)).alias("digest"))
 
 
 def _children(tags: DataFrame, pictures: DataFrame, blocks: DataFrame) -> DataFrame:
     """track_id, kind, key, ordinal, digest of every row that makes up a track; pictures stand with their metadata."""
     blob = F.sha2("value_blob", 256).alias("value_blob") if "value_blob" in tags.columns else F.lit(None).cast("string").alias("value_blob")
+    row = lambda kind, key, *of: ("track_id", F.lit(KINDS.index(kind)).cast("tinyint").alias("kind"), key, "ordinal", F.unhex(record_fingerprint(F.lit(kind), *of)).alias("digest"))
     some = [
-        tags.select("track_id", F.lit("tag").alias("kind"), "key", "ordinal", "value", blob).select("track_id", "kind", "key", "ordinal", record_fingerprint("value", "value_blob").alias("digest")),
-        pictures.select(
-            "track_id", F.lit("picture").alias("kind"), F.lit("").alias("key"), "ordinal", record_fingerprint("sha256", "mime", "width", "height", "picture_type", "description").alias("digest")
-        ),
-        blocks.select("track_id", F.lit("block").alias("kind"), F.lit("").alias("key"), "ordinal", F.col("kind").alias("what"), F.sha2("body", 256).alias("body")).select(
-            "track_id", "kind", "key", "ordinal", record_fingerprint("what", "body").alias("digest")
-        ),
+        tags.select("track_id", "key", "ordinal", "value", blob).select(*row("tag", "key", "key", "value", "value_blob")),
+        pictures.select(*row("picture", F.lit("").alias("key"), "sha256", "mime", "width", "height", "picture_type", "description")),
+        blocks.select("track_id", "ordinal", F.col("kind").alias("what"), F.sha2("body", 256).alias("body")).select(*row("block", F.lit("").alias("key"), "what", "body")),
     ]
     return reduce(DataFrame.unionByName, some)
 
 
 def _fingerprints(tracks: DataFrame, rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("run", F.floor(F.col("ordinal") / RUN))
-    runs = _fold(rows, ["track_id", "kind", "key", "run"], ["ordinal"])
-    runs = _fold(runs.withColumn("span", F.floor(F.col("run") / RUN)), ["track_id", "kind", "key", "span"], ["run"])
-    parts = _fold(runs.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(RUN))), ["track_id", "kind", "part"], ["key", "span"])
-    content = _fold(parts, ["track_id"], ["kind", "part"]).withColumnRenamed("track_id", "id")
+    rows = rows.withColumn("run", F.floor(F.col("ordinal") / RUN)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(RUN)).cast("int"))
+    parts = _fold(rows, ["track_id", "kind", "part", "run"], ["key", "ordinal"])
+    content = _fold(parts, ["track_id"], ["kind", "part", "run"]).withColumnRenamed("track_id", "id")
     own = tracks.select("id", "format", "audio_offset", "audio_length").join(content, "id", "left")
-    return own.select("id", record_fingerprint("format", "audio_offset", "audio_length", "digest").alias("fingerprint"))
+    return own.select("id", record_fingerprint("format", "audio_offset", "audio_length", F.hex("digest")).alias("fingerprint"))
 
 
 def catalogue_fingerprints(catalogue: dict, tracks: DataFrame = None) -> DataFrame:

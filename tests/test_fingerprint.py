@@ -37,3 +37,12 @@ def test_a_track_of_many_rows_is_digested_in_runs(spark, monkeypatch):
     assert got[1] != got[2]
     got = prints(spark, [(1, *t) for t in rows] + [(2, *t) for t in rows[::-1]])
     assert got[1] == got[2]
+
+
+def test_a_key_is_content_and_digests_are_shuffled_twice(spark):
+    got = prints(spark, [(1, "title", "x", 0, None), (2, "album", "x", 0, None)])
+    assert got[1] != got[2]
+    rows = spark.range(4).selectExpr("id AS track_id", "CAST(0 AS tinyint) AS kind", "'k' AS key", "0L AS ordinal", "CAST('d' AS binary) AS digest")
+    tracks = spark.range(4).selectExpr("id", "'mp3' AS format", "0L AS audio_offset", "1L AS audio_length")
+    plan = FP._fingerprints(tracks, rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ObjectHashAggregate") + plan.count("SortAggregate") == 4 and plan.count("hashpartitioning(track_id") <= 2
