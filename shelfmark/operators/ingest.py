@@ -120,14 +120,14 @@ def gone_tracks(tracks: DataFrame, inventory: DataFrame, roots=()) -> DataFrame:
 def match_moves(new_files: DataFrame, tracks: DataFrame, inventory: DataFrame, strictness: str = "auto", roots=()) -> DataFrame:
     """Action per file: `upsert` for a known path, `retarget` to a missing track with
     the same fingerprint, else `insert`. `roots` are the folders that the inventory lists in full.
+    Files that bring a column `known_id` (the track at their path, or null) are not looked up again.
 
     Candidates are counted with a combining aggregation, not a window, so one
     fingerprint shared by a third of the rows costs nothing extra; the join sees
-    one row per fingerprint on the candidate side.
+    one row per fingerprint on the candidate side. Checksums travel once, to that join.
     """
     if strictness not in STRICTNESS:
         raise ValueError(f"strictness is one of {STRICTNESS}")
-    known = tracks.select(F.col("backing_path").alias("path"), F.col("id").alias("known_id"))
     alone = (
         gone_tracks(tracks.where(F.col("fingerprint").isNotNull()), inventory, roots)
         .groupBy("fingerprint")
@@ -136,23 +136,25 @@ def match_moves(new_files: DataFrame, tracks: DataFrame, inventory: DataFrame, s
     # Files without a fingerprint match nothing; their own path spreads them over the join.
     wanted = F.coalesce(F.col("fingerprint"), F.concat(F.lit("none:"), F.col("path")))
     alone = alone.withColumnRenamed("fingerprint", "_wanted")
-    j = new_files.join(known, "path", "left").withColumn("_wanted", wanted).join(alone, "_wanted", "left").drop("_wanted")
     agrees = F.coalesce(F.col("content_hash") == F.col("cand_hash"), F.lit(False))
     confirmed = {
         "fast": F.lit(True),
         "auto": F.col("cand_hash").isNull() | agrees,
         "strict": agrees,
     }[strictness]
-    claims = j.withColumn(
-        "claims", F.col("known_id").isNull() & (F.coalesce(F.col("candidates"), F.lit(0)) == 1) & F.coalesce(confirmed, F.lit(False))
-    )
-    # One track can move once: the smallest path wins, the others are inserted.
-    winners = claims.where("claims").groupBy("cand_id").agg(F.min("path").alias("path")).select("path", F.lit(True).alias("wins"))
+    single = (F.coalesce(F.col("candidates"), F.lit(0)) == 1) & F.coalesce(confirmed, F.lit(False))
+    j = new_files.withColumn("_wanted", wanted).join(alone, "_wanted", "left").withColumn("_single", single).drop("_wanted", "cand_hash")
+    if "known_id" not in new_files.columns:
+        j = j.join(tracks.select(F.col("backing_path").alias("path"), F.col("id").alias("known_id")), "path", "left")
+    claims = j.withColumn("claims", F.col("known_id").isNull() & F.col("_single"))
+    # One track can move once: the smallest path wins, the others are inserted. All that claim nothing are one more group
+    # without a path: a filter instead would be pushed below the joins and have them done twice.
+    winners = claims.groupBy(F.when(F.col("claims"), F.col("cand_id"))).agg(F.min(F.when(F.col("claims"), F.col("path"))).alias("path")).select("path", F.lit(True).alias("wins"))
     action = F.when(F.col("known_id").isNotNull(), "upsert").when(F.col("claims") & F.col("wins"), "retarget").otherwise("insert")
     out = claims.join(winners, "path", "left").withColumn("action", action)
     track = F.when(F.col("action") == "upsert", F.col("known_id")).when(F.col("action") == "retarget", F.col("cand_id"))
     return out.select(
-        *new_files.columns, "action", track.alias("track_id"), F.coalesce(F.col("candidates"), F.lit(0)).alias("candidates")
+        *[c for c in new_files.columns if c != "known_id"], "action", track.alias("track_id"), F.coalesce(F.col("candidates"), F.lit(0)).alias("candidates")
     )
 
 
