@@ -93,6 +93,49 @@ def upsert_tracks(stored: DataFrame, new: DataFrame, now) -> DataFrame:
     return kept.unionByName(with_next_ids(fresh, stored, "backing_path").select(*kept.columns))
 
 
+#: Ids of changed tracks that go to every task; above that, tracks are shuffled whole.
+FEW_IDS = 4_000_000
+
+
+def apply_actions(stored: DataFrame, acts: DataFrame, now) -> DataFrame:
+    """Tracks after the written actions of a scan: `retarget` and `upsert` rows change the track of their `track_id`,
+    `insert` rows get the next ids. Both kinds of change are one join by id. If few tracks change, the others stay
+    where they are: the numbers of the changed ones go to every task and only those tracks are shuffled."""
+    changes = acts.where(F.col("track_id").isNotNull())
+    few = changes.count() <= FEW_IDS
+    rest, same = stored, None
+    if few:
+        ids = F.broadcast(changes.select(F.col("track_id").alias("id")).distinct())
+        rest, same = stored.join(ids, "id", "left_semi"), stored.join(ids, "id", "left_anti")
+    bounds = ("audio_offset", "audio_length", "backing_size", "backing_mtime_ns", "backing_ctime_ns")
+    n = changes.select(F.col("track_id").alias("id"), "path", "action", *[F.col(c).alias(f"n_{c}") for c in ("format", *bounds, "fingerprint", "content_hash")])
+    j = rest.join(n, "id", "left")
+    hit, over = F.col("action").isNotNull(), F.coalesce(F.col("action") == "upsert", F.lit(False))
+    # A moved track keeps its format, and its change time is no reason for a new version.
+    was = ("audio_offset", "audio_length", "backing_size", "backing_mtime_ns")
+    differs = lambda cs: ~F.struct(*[F.col(c) for c in cs]).eqNullSafe(F.struct(*[F.col(f"n_{c}").alias(c) for c in cs]))
+    moved = F.lit(False)
+    for c in was:
+        moved = moved | F.coalesce(F.col(f"n_{c}") != F.col(c), F.lit(False))
+    step = F.when(over & F.col("n_format").isNotNull() & differs(("format", *was)), 1).when(hit & ~over & moved, 1).otherwise(0)
+    kept = j.select(
+        "id",
+        F.coalesce("path", "backing_path").alias("backing_path"),
+        F.when(over, F.coalesce("n_format", "format")).otherwise(F.col("format")).alias("format"),
+        *[F.coalesce(F.col(f"n_{c}"), F.col(c)).alias(c) for c in bounds],
+        (F.col("content_version") + step).alias("content_version"),
+        F.when(over & F.col("n_format").isNotNull() | hit & ~over, F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.coalesce("n_fingerprint", "fingerprint").alias("fingerprint"),
+        F.coalesce("n_content_hash", "content_hash").alias("content_hash"),
+    )
+    if same is not None:
+        kept = kept.unionByName(same.select(*kept.columns))
+    fresh = acts.where("action = 'insert'").select(
+        F.col("path").alias("backing_path"), "format", *bounds, F.lit(0).cast("bigint").alias("content_version"), F.lit(now).cast("bigint").alias("updated_at"), "fingerprint", "content_hash"
+    )
+    return kept.unionByName(with_next_ids(fresh, stored, "backing_path").select(*kept.columns))
+
+
 def with_next_ids(fresh: DataFrame, stored: DataFrame, order: str) -> DataFrame:
     """Give `fresh` the ids after the largest stored one, in the hash order of a unique text column.
 

@@ -47,6 +47,7 @@ def file_rows(files: DataFrame) -> DataFrame:
         pick("ctime_ns", F.col("mtime_ns")).alias("backing_ctime_ns"),
         pick("fingerprint", F.lit(None).cast("string")).alias("fingerprint"),
         pick("content_hash", F.lit(None).cast("string")).alias("content_hash"),
+        *(["known_id"] if "known_id" in have else []),
     )
 
 
@@ -70,7 +71,8 @@ def _reports(files: DataFrame) -> bool:
 
 
 def scan_states(files: DataFrame, tracks: DataFrame, force: bool = False, identity=()) -> DataFrame:
-    """Inventory rows with `state`: todo, already_present, skipped, failed or raced. Absent files fall out.
+    """Inventory rows with `state` (todo, already_present, skipped, failed or raced) and `known_id`, the track at their path.
+    Absent files fall out.
 
     A known file is not read unless forced, so it cannot fail or race; an entry that could not be
     looked at fails whatever its name. Paths that name one physical file count once."""
@@ -79,14 +81,14 @@ def scan_states(files: DataFrame, tracks: DataFrame, force: bool = False, identi
     listed = listed.withColumn("_kind", F.when(unseen, "failed").when(~P.extension_of("path").isin(*I.EXTENSIONS), "skipped").otherwise("file"))
     if identity:
         listed = I.distinct_physical_files(listed.where("_kind = 'file'"), identity).unionByName(listed.where("_kind <> 'file'"))
-    known = tracks.select(F.col("backing_path").alias("path"), F.lit(True).alias("_known"))
+    known = tracks.select(F.col("backing_path").alias("path"), F.col("id").alias("known_id"))
     state = (
         F.when(F.col("_kind") != "file", F.col("_kind"))
-        .when(F.col("_known") & F.lit(not force), "already_present")
+        .when(F.col("known_id").isNotNull() & F.lit(not force), "already_present")
         .when(F.col("_read") != "ok", F.col("_read"))
         .otherwise("todo")
     )
-    return listed.join(known, "path", "left").withColumn("state", state).select(*files.columns, "state")
+    return listed.join(known, "path", "left").withColumn("state", state).select(*files.columns, "known_id", "state")
 
 
 def scan(
@@ -113,7 +115,7 @@ def scan(
     # One join of the inventory with the catalogue; only files to read are written with their columns.
     states = scan_states(files, tracks, force, identity)
     todo_only = lambda c: F.when(F.col("state") == "todo", F.col(c)).alias(c)
-    states = materialize(states.select(*[todo_only(c) for c in files.columns], "state"), "scan-states")
+    states = materialize(states.select(*[todo_only(c) for c in (*files.columns, "known_id")], "state"), "scan-states")
     rows = file_rows(states.where("state = 'todo'").drop("state"))
     if content_fingerprints and tier != "none":
         made = file_fingerprints(rows.where("fingerprint IS NULL"), file_tags, file_binary_tags, file_pictures, file_blocks)
@@ -125,13 +127,7 @@ def scan(
         "fingerprint", F.col("fingerprint") if tier != "none" else F.lit(None).cast("string")
     )
     acts_stored = stored_sums(acts)
-    moves = acts_stored.where("action = 'retarget'").select(
-        F.col("track_id").alias("id"), F.col("path").alias("new_path"), "audio_offset", "audio_length", "backing_size",
-        "backing_mtime_ns", "backing_ctime_ns", "fingerprint", "content_hash",
-    )
-    moved = C.retarget_tracks(tracks, moves, now)
-    rest = acts_stored.where("action <> 'retarget'").withColumnRenamed("path", "backing_path")
-    new_tracks = C.upsert_tracks(moved, rest, now)
+    new_tracks = C.apply_actions(tracks, acts_stored, now)
     given = {"tags": file_tags, "binary_tags": file_binary_tags, "pictures": file_pictures, "blocks": file_blocks}
     out, rejects = {**catalogue, "tracks": new_tracks}, None
     if any(df is not None for df in given.values()):
