@@ -65,7 +65,7 @@ def layout_starts(layout: DataFrame, hot_rows=None) -> DataFrame:
     extra = {} if hot_rows is None else {"hot_rows": hot_rows}
     # Hot files are cut by part and, inside a part, by ordinal ranges of one key order.
     coarse = F.col("part").cast("bigint")
-    summed = running_sums(layout, ["file_id"], list(LAYOUT_ORDER), coarse, {"seg_end": F.col("len")}, **extra)
+    summed = running_sums(layout, ["file_id"], list(LAYOUT_ORDER), coarse, {"seg_end": F.col("len")}, wide=True, **extra)
     return summed.withColumn("seg_start", F.col("seg_end") - F.col("len"))
 
 

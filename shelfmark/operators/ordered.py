@@ -69,13 +69,15 @@ def _add_offsets(local: DataFrame, offsets: DataFrame, keys) -> DataFrame:
     return local.join(right, same, "left")
 
 
-def running_sums(df: DataFrame, keys, order, coarse: Column, sums: dict, hot_rows: int = HOT_ROWS) -> DataFrame:
+def running_sums(df: DataFrame, keys, order, coarse: Column, sums: dict, hot_rows: int = HOT_ROWS, wide: bool = False) -> DataFrame:
     """Add inclusive running sums of `sums` per `keys` along `order`.
 
     hot_rows None: the caller has counted and no group is hot; one plain window does.
+    wide: rows that take far more memory than bytes in a shuffle; their partitions are not merged before the sort.
     """
     keys = list(keys)
     if hot_rows is None or keys and not _any_hot(df, keys, hot_rows):
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if wide else df
         plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(*[c for c in df.columns if c not in sums], *[F.sum(e).over(plain).alias(n) for n, e in sums.items()])
     marked = _mark(df, keys, coarse, hot_rows)
