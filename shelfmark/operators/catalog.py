@@ -280,13 +280,17 @@ def cascade_delete(catalogue: dict, deleted: DataFrame) -> dict:
 
 
 def dangling_references(catalogue: dict, art_key="id", link_key="art_id") -> DataFrame:
-    """(child table, child row, missing parent) over all foreign keys."""
+    """(child table, child row, missing parent) over all foreign keys.
+
+    Child rows stream past the hashed ids of tracks and are not sorted: a task holds one partition of the ids,
+    each of them once, however many rows a track has."""
     edges = [(t, "track_id", "tracks", "id") for t in ("tags", "track_art", "structural_blocks") if t in catalogue]
     if "track_art" in catalogue and "art" in catalogue:
         edges.append(("track_art", link_key, "art", art_key))
     found = []
     for child, fk, parent, pk in edges:
-        lost = catalogue[child].join(catalogue[parent].select(F.col(pk).alias(fk)), fk, "left_anti")
+        ids = catalogue[parent].select(F.col(pk).alias(fk))
+        lost = catalogue[child].join(ids.hint("shuffle_hash") if parent == "tracks" else ids, fk, "left_anti")
         found.append(
             lost.select(
                 F.lit(child).alias("child"),
