@@ -9,7 +9,7 @@ from shelfmark.llm.decontam import decontaminate
 from shelfmark.llm.langid import keep_identified
 from shelfmark.llm.mixing import apply_mix
 from shelfmark.llm.queries import tokenizer_path
-from shelfmark.llm.similar import deduplicate_similar
+from shelfmark.llm.similar import deduplicate_near
 from shelfmark.llm.tokens import read_ids, write_ids
 
 
@@ -19,8 +19,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a Jaccard similarity of 0.8 or more stays, that of the smallest id."""
-    return deduplicate_similar(docs)
+    """One document of each group stays, that of the smallest id. Links are SimHash fingerprints at 3 or fewer differing bits,
+    found by anchor points as in op4, and beside them five-word shingles at a Jaccard similarity of 0.8 or more."""
+    return deduplicate_near(docs, bits=3)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

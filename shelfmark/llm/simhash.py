@@ -192,15 +192,17 @@ def compare(anchor: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndar
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def links(distinct: DataFrame, threshold: int = 3) -> DataFrame:
-    """(u, v), u > v: links between the distinct values of `fp` that connect all at `threshold` or fewer bits."""
+def links(distinct: DataFrame, threshold: int = 3, at_once: int = 4096) -> DataFrame:
+    """(u, v), u > v: links between the distinct values of `fp` that connect all at `threshold` or fewer bits.
+
+    at_once: fingerprints whose replicas a task makes together; fewer take less memory."""
     slack = math.ceil(threshold / 2)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             points = b.column(0).to_numpy().astype(np.uint64)
-            for i in range(0, len(points), 4096):
-                part = points[i : i + 4096]
+            for i in range(0, len(points), at_once):
+                part = points[i : i + at_once]
                 anchor, at = anchors(part, slack)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(part[at].astype(np.int64))], ["anchor", "fp"])
 

@@ -1,12 +1,16 @@
-"""Near-duplicates by Jaccard similarity: texts whose sets of word shingles agree in SIMILAR or more of their union.
+"""Near-duplicates by SimHash and by Jaccard similarity.
+
+The pipeline's stage links texts by the rule of `simhash.py` (fingerprints at BITS_APART or fewer differing bits, found by
+anchor points) and, beside it, texts whose sets of word shingles agree in SIMILAR or more of their union. Either link is
+enough; components are taken once, over both. Without `bits` only the second rule holds. The rest is about that one.
 
 Candidates are texts that meet in one of BANDS buckets, a bucket being ROWS MinHash values in a row; each is then
 verified exactly on the whole sets, in integers. A pair of similarity 0.8 meets in no bucket with a probability of
 (1 - 0.8^5)^32 = 3 in a million, of 0.85 in 2 in a hundred million; what meets nowhere escapes, unless other links
 connect it. Equal sets always link: they are one node.
 
-The pipeline calls its stage SimHash near-dedup, but this rule is not that of anchor points: a pair of similarity 0.8
-differs in some ten of 64 bits, which would take too many anchors. Pairs within 3 bits that are similar meet here too.
+Why both: a pair of similarity 0.8 differs in some ten of 64 bits, which would take too many anchors, while texts within
+three bits need not be similar as sets (a repeated shingle counts each time in a fingerprint, once in a set).
 
 No rule caps a bucket. In one of up to SMALL_BUCKET nodes all pairs are verified. A larger one is first verified
 against one node of it, then what is not in its main component against GUIDES nodes of that component. What is still
@@ -15,7 +19,7 @@ task holds two chunks and counts the common shingles of all their pairs as a pro
 links leave it, at most one a node, so no row stands for a pair that is not similar. A group of near copies costs
 little more than its size; members that link with nothing are compared with all, CHUNK squared at a time.
 
-Cases: null or wordless texts have an empty set and link with each other only; texts shorter than SHINGLE words are
+Cases: null or wordless texts have an empty set (and fingerprint 0) and link with each other only; texts shorter than SHINGLE words are
 one shingle; case is ignored in ASCII; a null key shares its component but never names it; repeated rows stay; an
 empty table gives an empty result; texts of any length are taken whole; other columns are ignored.
 """
@@ -33,11 +37,14 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import Scratch, as_bytes, bound_batches, small, tidy
 from shelfmark.llm.components import components
-from shelfmark.llm.simhash import deduplicate, labelled
+from shelfmark.llm.simhash import deduplicate, fingerprint, labelled
+from shelfmark.llm.simhash import links as anchor_links
 
 #: Words in a shingle, and the least similarity as a fraction (0.8).
 SHINGLE, SIMILAR = 5, (4, 5)
 BANDS, ROWS, SEED = 32, 5, 43
+#: Differing bits of two SimHash fingerprints that the pipeline's stage links.
+BITS_APART = 3
 SMALL_BUCKET, GUIDES = 32, 8
 #: Nodes and bytes of sets in a chunk (on average), and columns of an incidence matrix.
 CHUNK, CHUNK_BYTES, COLUMNS = 512, 16 << 20, 4096
@@ -84,15 +91,30 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def sketches(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fp, bands): fp stands for the whole set."""
+    """(key, fp, mark, bands): fp stands for the whole set, mark is the SimHash fingerprint. One pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            found = [shingles(t) for t in texts]
             bands = pa.array([buckets(x) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed([set_hash(x) for x in found]), bands], [key, "fp", "bands"])
+            columns = [b.column(0), _signed([set_hash(x) for x in found]), _signed([fingerprint(t) for t in texts]), bands]
+            yield pa.RecordBatch.from_arrays(columns, [key, "fp", "mark", "bands"])
+
+    return df.select(F.col(key), as_bytes(text).alias("body")).mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, fp long, mark long, bands array<long>")
+
 
-    return df.select(F.col(key), as_bytes(text).alias("body")).mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, fp long, bands array<long>")
+def marked_links(docs: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
+    """(u, v), u > v: links between sets (fp) whose texts have SimHash fingerprints (mark) at `bits` or fewer differing bits."""
+    marks = scratch.write(docs.select("mark", "fp").distinct(), "marks")
+    lows = scratch.write(marks.groupBy("mark").agg(F.min("fp").alias("low")), "lows")
+    # A fingerprint becomes some 150 replicas: spread the few bytes of all fingerprints first.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = anchor_links(lows.select(F.col("mark").alias("fp")).repartition(parts, "fp"), bits, at_once=256)
+    end = lambda x: lows.select(F.col("mark").alias(x), F.col("low").alias(f"low_{x}"))
+    across = near.join(end("u"), "u").join(end("v"), "v").select(F.col("low_u").alias("a"), F.col("low_v").alias("b"))
+    within = marks.join(lows, "mark").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    return across.unionByName(within).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -149,8 +171,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("v"), "v").join(side("u"), "u").where(sizes).where(d * common >= n * (F.col("size_u") + F.col("size_v") - common)).select("u", "v")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fp and component_id (the smallest key that is reachable through links, itself included) of every row."""
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
+    """key, fp and component_id (the smallest key that is reachable through links, itself included) of every row.
+
+    With `bits`, SimHash fingerprints at that many or fewer differing bits link as well."""
     bound_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession, "similar")
     docs = scratch.write(sketches(df, key, text), "sketches")
@@ -164,7 +188,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     nodes = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     wanted = scratch.write(distinct.join(nodes, "fp", "left_semi"), "wanted")
     sets = scratch.write(whole_sets(df, wanted, key, text), "sets")
-    labels = components(verified(pairs, sets), scratch)
+    found = verified(pairs, sets)
+    if bits is not None:
+        found = found.unionByName(marked_links(docs, bits, scratch))
+    labels = components(found, scratch)
     if not large.isEmpty():
         for find in (_guided, _outside):
             links = scratch.write(find(large, labels, sets, scratch), "links")
@@ -281,3 +308,9 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def deduplicate_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, all columns, chosen as `simhash.deduplicate` does."""
     return deduplicate(df, key=key, text=text, find=near_duplicates, mark=lambda body: set_hash(shingles(body)))
+
+
+def deduplicate_near(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS_APART) -> DataFrame:
+    """One row of each component that SimHash at `bits` and Jaccard similarity link, all columns, chosen as `simhash.deduplicate` does."""
+    find = lambda rows, name, body: near_duplicates(rows, name, body, bits)
+    return deduplicate(df, key=key, text=text, find=find, mark=lambda body: set_hash(shingles(body)))

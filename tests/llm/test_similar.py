@@ -103,6 +103,21 @@ def test_pipeline_stage_finds_near_copies(spark):
     assert sorted(r["doc_id"] for r in drop_near_duplicates(spark, documents(spark, docs), "").collect()) == [*range(20), *range(200, 220)]
 
 
+def test_pipeline_stage_links_by_simhash(spark):
+    """A line repeated over most of two texts: fingerprints 0 bits apart, sets far from similar. Both rules link, also across each other."""
+    from corpus_pipeline import drop_near_duplicates
+
+    from shelfmark.llm.simhash import fingerprint
+
+    rng = random.Random(5)
+    alone = lambda i: " ".join(f"q{i}w{rng.randrange(9000)}" for _ in range(40))
+    ads = [("buy this now " * 60) + alone(i) for i in range(2)]
+    assert fingerprint(ads[0].encode()) == fingerprint(ads[1].encode()) and plain_components(ads) == [0, 1]
+    base = " ".join(f"b{rng.randrange(9000)}" for _ in range(100))
+    docs = [(1, ads[0]), (2, alone(2)), (3, ads[1]), (4, base), (5, edited(base, 1, rng)), (6, ads[1] + " end"), (None, ads[0])]
+    assert sorted(r["doc_id"] for r in drop_near_duplicates(spark, documents(spark, docs), "").collect()) == [1, 2, 4]
+
+
 def test_awkward(spark):
     docs = documents(spark, [*AWKWARD, (5, "another text under a used id"), (8, None)])
     out = deduplicate_similar(docs)
