@@ -29,15 +29,18 @@ class ChangeLog:
         return at.get("min_seq", 0), at.get("max_seq", 0)
 
     def append(self, rows: DataFrame) -> None:
-        """Add changes, then move the head and drop what is behind it. Rows that are appended again are counted once."""
+        """Add changes, then move the head and drop what is behind it. Rows that are appended again are counted once.
+
+        Rows that would be dropped at once are not written, so a batch of any length makes as many segments as the log keeps."""
         low, high = log_bounds(rows).head()
         if not high:
             return
         kept_from, last = self.head()
-        segment = F.floor(F.col("seq") / self.span)
-        rows.select("seq", "track_id").withColumn("segment", segment).write.mode("append").partitionBy("segment").parquet(self.path)
         last = max(last, high)
         first = max(min(kept_from or low, low), last - self.ring + 1)
+        segment = F.floor(F.col("seq") / self.span)
+        kept = rows.select("seq", "track_id").where(F.col("seq") >= first)
+        kept.withColumn("segment", segment).write.mode("append").partitionBy("segment").parquet(self.path)
         self._head.write({"min_seq": first, "max_seq": last, "first_segment": first // self.span})
         self._drop_before(first // self.span)
 
