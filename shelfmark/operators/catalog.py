@@ -99,8 +99,13 @@ FEW_IDS = 4_000_000
 
 def apply_actions(stored: DataFrame, acts: DataFrame, now) -> DataFrame:
     """Tracks after the written actions of a scan: `retarget` and `upsert` rows change the track of their `track_id`,
-    `insert` rows get the next ids. Both kinds of change are one join by id. If few tracks change, the others stay
-    where they are: the numbers of the changed ones go to every task and only those tracks are shuffled."""
+    `insert` rows get the next ids."""
+    return changed_tracks(stored, acts, now).unionByName(inserted_tracks(stored, acts, now))
+
+
+def changed_tracks(stored: DataFrame, acts: DataFrame, now) -> DataFrame:
+    """The stored tracks after the `retarget` and `upsert` rows of a scan's actions, one join by id. If few tracks change, the others
+    stay where they are: the numbers of the changed ones go to every task and only those tracks are shuffled."""
     changes = acts.where(F.col("track_id").isNotNull())
     few = changes.count() <= FEW_IDS
     rest, same = stored, None
@@ -130,10 +135,16 @@ def apply_actions(stored: DataFrame, acts: DataFrame, now) -> DataFrame:
     )
     if same is not None:
         kept = kept.unionByName(same.select(*kept.columns))
+    return kept
+
+
+def inserted_tracks(stored: DataFrame, acts: DataFrame, now) -> DataFrame:
+    """The new tracks of a scan's `insert` actions, with the next ids."""
+    bounds = ("audio_offset", "audio_length", "backing_size", "backing_mtime_ns", "backing_ctime_ns")
     fresh = acts.where("action = 'insert'").select(
         F.col("path").alias("backing_path"), "format", *bounds, F.lit(0).cast("bigint").alias("content_version"), F.lit(now).cast("bigint").alias("updated_at"), "fingerprint", "content_hash"
     )
-    return kept.unionByName(with_next_ids(fresh, stored, "backing_path").select(*kept.columns))
+    return with_next_ids(fresh, stored, "backing_path").select("id", "backing_path", "format", *bounds, "content_version", "updated_at", "fingerprint", "content_hash")
 
 
 def with_next_ids(fresh: DataFrame, stored: DataFrame, order: str) -> DataFrame:

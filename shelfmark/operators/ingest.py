@@ -95,11 +95,12 @@ def missing_tracks(tracks: DataFrame, inventory: DataFrame, root=None) -> DataFr
     seen = inventory
     if "presence" in inventory.columns:
         seen = inventory.where(F.coalesce(F.col("presence"), F.lit("present")) != "absent")
-    scoped = tracks if root is None else tracks.where(_below("backing_path", [root] if isinstance(root, str) else root))
+    scoped = tracks if root is None else tracks.where(below("backing_path", [root] if isinstance(root, str) else root))
     return scoped.join(seen.select(F.col("path").alias("backing_path")), "backing_path", "left_anti")
 
 
-def _below(path: str, roots) -> Column:
+def below(path: str, roots) -> Column:
+    """Whether a path lies below one of the roots."""
     out = F.lit(False)
     for root in roots:
         out = out | P.under_root(path, root)
@@ -113,14 +114,16 @@ def gone_tracks(tracks: DataFrame, inventory: DataFrame, roots=()) -> DataFrame:
     if "presence" not in inventory.columns:
         return gone
     absent = inventory.where(F.col("presence") == "absent").select(F.col("path").alias("backing_path")).distinct()
-    named = tracks.where(~_below("backing_path", roots)).join(absent, "backing_path", "left_semi")
+    named = tracks.where(~below("backing_path", roots)).join(absent, "backing_path", "left_semi")
     return gone.unionByName(named.select(*gone.columns))
 
 
-def match_moves(new_files: DataFrame, tracks: DataFrame, inventory: DataFrame, strictness: str = "auto", roots=()) -> DataFrame:
+def match_moves(new_files: DataFrame, tracks: DataFrame, inventory: DataFrame, strictness: str = "auto", roots=(), gone: DataFrame = None) -> DataFrame:
     """Action per file: `upsert` for a known path, `retarget` to a missing track with
     the same fingerprint, else `insert`. `roots` are the folders that the inventory lists in full.
-    Files that bring a column `known_id` (the track at their path, or null) are not looked up again.
+    Files that bring a column `known_id` (the track at their path, or null) are not looked up again: those with a track
+    are upserts, for which no candidates are looked for or counted. `gone` (id, fingerprint, content_hash), the tracks that
+    are known to be gone and have a fingerprint, spares looking for them.
 
     Candidates are counted with a combining aggregation, not a window, so one
     fingerprint shared by a third of the rows costs nothing extra; the join sees
@@ -128,9 +131,12 @@ def match_moves(new_files: DataFrame, tracks: DataFrame, inventory: DataFrame, s
     """
     if strictness not in STRICTNESS:
         raise ValueError(f"strictness is one of {STRICTNESS}")
+    known = None
+    if "known_id" in new_files.columns:
+        known, new_files = new_files.where("known_id IS NOT NULL"), new_files.where("known_id IS NULL")
+    gone = gone if gone is not None else gone_tracks(tracks.where(F.col("fingerprint").isNotNull()), inventory, roots)
     alone = (
-        gone_tracks(tracks.where(F.col("fingerprint").isNotNull()), inventory, roots)
-        .groupBy("fingerprint")
+        gone.groupBy("fingerprint")
         .agg(F.count("*").alias("candidates"), F.min("id").alias("cand_id"), F.min("content_hash").alias("cand_hash"))
     )
     # Files without a fingerprint match nothing; their own path spreads them over the join.
@@ -153,9 +159,11 @@ def match_moves(new_files: DataFrame, tracks: DataFrame, inventory: DataFrame, s
     action = F.when(F.col("known_id").isNotNull(), "upsert").when(F.col("claims") & F.col("wins"), "retarget").otherwise("insert")
     out = claims.join(winners, "path", "left").withColumn("action", action)
     track = F.when(F.col("action") == "upsert", F.col("known_id")).when(F.col("action") == "retarget", F.col("cand_id"))
-    return out.select(
-        *[c for c in new_files.columns if c != "known_id"], "action", track.alias("track_id"), F.coalesce(F.col("candidates"), F.lit(0)).alias("candidates")
-    )
+    theirs = [c for c in new_files.columns if c != "known_id"]
+    out = out.select(*theirs, "action", track.alias("track_id"), F.coalesce(F.col("candidates"), F.lit(0)).alias("candidates"))
+    if known is None:
+        return out
+    return out.unionByName(known.select(*theirs, F.lit("upsert").alias("action"), F.col("known_id").alias("track_id"), F.lit(0).cast("bigint").alias("candidates")))
 
 
 def accepted_tags(pairs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _bucket_of(value: Column, bounds: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.try_element_at(bounds, at + step) <= value, step).otherwise(0)).cast("bigint")
 
 
-def _any_hot(df: DataFrame, keys, hot_rows: int) -> bool:
+def any_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> bool:
     """Whether a group has more than hot_rows rows; groups that share a hash count as one."""
     return not df.groupBy(F.xxhash64(*keys) if keys else F.lit(0)).count().where(F.col("count") > hot_rows).isEmpty()
 
@@ -76,7 +76,7 @@ def running_sums(df: DataFrame, keys, order, coarse: Column, sums: dict, hot_row
     wide: rows that take far more memory than bytes in a shuffle; their partitions are not merged before the sort.
     """
     keys = list(keys)
-    if hot_rows is None or keys and not _any_hot(df, keys, hot_rows):
+    if hot_rows is None or keys and not any_hot(df, keys, hot_rows):
         df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if wide else df
         plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(*[c for c in df.columns if c not in sums], *[F.sum(e).over(plain).alias(n) for n, e in sums.items()])
@@ -100,7 +100,7 @@ def ranked(df: DataFrame, keys, order, coarse: Column, name: str = "rank", hot_r
 def with_previous(df: DataFrame, keys, order, coarse: Column, value: Column, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the value of the row before in the group, null for the first row."""
     keys = list(keys)
-    if keys and not _any_hot(df, keys, hot_rows):
+    if keys and not any_hot(df, keys, hot_rows):
         return df.select("*", F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)).alias(name))
     marked = _mark(df, keys, coarse, hot_rows)
     step = Window.partitionBy(*keys, "_bucket").orderBy(*order)

@@ -23,6 +23,10 @@ from shelfmark.sources.shared import materialize
 EXTENSION_FORMAT = {"flac": "flac", "mp3": "mp3", "m4a": "m4a", "m4b": "m4a", "ogg": "vorbis", "oga": "vorbis", "opus": "opus", "wav": "wav"}
 
 
+#: Columns of the written states that tell which tracks are gone.
+GONE = ("gone_id", "gone_fingerprint", "gone_hash")
+
+
 @dataclass
 class Outcome:
     catalogue: dict
@@ -70,25 +74,41 @@ def _reports(files: DataFrame) -> bool:
     return bool({"presence", "probe"} & set(files.columns))
 
 
-def scan_states(files: DataFrame, tracks: DataFrame, force: bool = False, identity=()) -> DataFrame:
+def scan_states(files: DataFrame, tracks: DataFrame, force: bool = False, identity=(), roots=()) -> DataFrame:
     """Inventory rows with `state` (todo, already_present, skipped, failed or raced) and `known_id`, the track at their path.
     Absent files fall out.
 
+    The same join tells which tracks are gone (as `ingest.gone_tracks` does): their `gone_id`, `gone_fingerprint` and `gone_hash`
+    stand on a row of state `gone`, or beside a file that is listed both as absent and as present.
+
     A known file is not read unless forced, so it cannot fail or race; an entry that could not be
     looked at fails whatever its name. Paths that name one physical file count once."""
     listed = files.withColumn("_read", read_result(files)).where("_read <> 'absent'")
     unseen = F.lit(False) if "presence" not in files.columns else F.coalesce(F.col("presence"), F.lit("present")) != "present"
     listed = listed.withColumn("_kind", F.when(unseen, "failed").when(~P.extension_of("path").isin(*I.EXTENSIONS), "skipped").otherwise("file"))
     if identity:
-        listed = I.distinct_physical_files(listed.where("_kind = 'file'"), identity).unionByName(listed.where("_kind <> 'file'"))
-    known = tracks.select(F.col("backing_path").alias("path"), F.col("id").alias("known_id"))
+        # Further paths of a physical file are listed, but no files of their own.
+        once = I.distinct_physical_files(listed.where("_kind = 'file'"), identity).unionByName(listed.where("_kind <> 'file'"))
+        others = listed.join(once.select("path"), "path", "left_anti").withColumn("_kind", F.lit("other path"))
+        listed = once.unionByName(others.select(*once.columns))
+    known = tracks.select(
+        F.col("backing_path").alias("path"), F.col("id").alias("known_id"), F.col("fingerprint").alias("_fingerprint"), F.col("content_hash").alias("_hash"), I.below("backing_path", roots).alias("_below")
+    )
+    named = F.lit(False)
+    if "presence" in files.columns:
+        absent = files.where("presence = 'absent'").select("path").distinct().withColumn("_named", F.lit(True))
+        known, named = known.join(absent, "path", "left"), F.coalesce("_named", F.lit(False))
+    gone = F.col("_fingerprint").isNotNull() & F.when(F.col("_below"), F.col("_kind").isNull()).otherwise(named)
     state = (
-        F.when(F.col("_kind") != "file", F.col("_kind"))
+        F.when(F.col("_kind").isNull(), F.when(gone, "gone"))
+        .when(F.col("_kind") == "other path", F.when(gone, "gone"))
+        .when(F.col("_kind") != "file", F.col("_kind"))
         .when(F.col("known_id").isNotNull() & F.lit(not force), "already_present")
         .when(F.col("_read") != "ok", F.col("_read"))
         .otherwise("todo")
     )
-    return listed.join(known, "path", "left").withColumn("state", state).select(*files.columns, "known_id", "state")
+    lost = [F.when(gone, F.col(c)).alias(n) for c, n in (("known_id", "gone_id"), ("_fingerprint", "gone_fingerprint"), ("_hash", "gone_hash"))]
+    return listed.join(known, "path", "full").withColumn("state", state).where("state IS NOT NULL").select(*files.columns, "known_id", "state", *lost)
 
 
 def scan(
@@ -112,28 +132,33 @@ def scan(
     if tier not in I.TIERS:
         raise ValueError(f"tier is one of {I.TIERS}")
     tracks = catalogue["tracks"]
-    # One join of the inventory with the catalogue; only files to read are written with their columns.
-    states = scan_states(files, tracks, force, identity)
+    # One join of the inventory with the catalogue, for what is known and what is gone; only files to read are written with their columns.
+    states = scan_states(files, tracks, force, identity, roots)
     todo_only = lambda c: F.when(F.col("state") == "todo", F.col(c)).alias(c)
-    states = materialize(states.select(*[todo_only(c) for c in (*files.columns, "known_id")], "state"), "scan-states")
-    rows = file_rows(states.where("state = 'todo'").drop("state"))
+    states = materialize(states.select(*[todo_only(c) for c in (*files.columns, "known_id")], "state", *GONE), "scan-states")
+    # A path that is listed twice may name its track twice.
+    gone = states.where("gone_id IS NOT NULL").select(*[F.col(c).alias(n) for c, n in zip(GONE, ("id", "fingerprint", "content_hash"))]).dropDuplicates(["id"])
+    rows = file_rows(states.where("state = 'todo'").drop("state", *GONE))
     if content_fingerprints and tier != "none":
-        made = file_fingerprints(rows.where("fingerprint IS NULL"), file_tags, file_binary_tags, file_pictures, file_blocks)
+        made = materialize(file_fingerprints(rows.where("fingerprint IS NULL"), file_tags, file_binary_tags, file_pictures, file_blocks), "scan-fingerprints")
         rows = rows.join(made.withColumnRenamed("fingerprint", "_made"), "path", "left").withColumn("fingerprint", F.coalesce("fingerprint", "_made")).drop("_made")
     # A full hash is still at hand for confirming a move when the tier does not store it.
     # The decisions feed tracks, child rows and statistics: work them out once.
-    acts = materialize(I.match_moves(rows, tracks, files, strictness, roots), "scan-actions")
+    acts = materialize(I.match_moves(rows, tracks, files, strictness, roots, gone), "scan-actions")
     stored_sums = lambda df: df.withColumn("content_hash", F.when((F.col("action") == "retarget") | F.lit(tier == "full"), F.col("content_hash"))).withColumn(
         "fingerprint", F.col("fingerprint") if tier != "none" else F.lit(None).cast("string")
     )
     acts_stored = stored_sums(acts)
-    new_tracks = C.apply_actions(tracks, acts_stored, now)
     given = {"tags": file_tags, "binary_tags": file_binary_tags, "pictures": file_pictures, "blocks": file_blocks}
+    reads = any(df is not None for df in given.values())
+    # Child rows need the ids of inserted tracks; those of all others stand in the actions.
+    fresh = C.inserted_tracks(tracks, acts_stored, now)
+    fresh = materialize(fresh, "scan-inserted") if reads else fresh
+    new_tracks = C.changed_tracks(tracks, acts_stored, now).unionByName(fresh)
     out, rejects = {**catalogue, "tracks": new_tracks}, None
-    if any(df is not None for df in given.values()):
-        new_tracks = materialize(new_tracks, "scan-tracks")
-        ids = new_tracks.select(F.col("backing_path").alias("path"), F.col("id").alias("track_id"))
-        ids = ids.join(acts.where("action <> 'retarget'").select("path", (F.col("action") == "upsert").alias("known")), "path")
+    if reads:
+        ids = acts.where("action = 'upsert'").select("path", "track_id", F.lit(True).alias("known"))
+        ids = ids.unionByName(fresh.select(F.col("backing_path").alias("path"), F.col("id").alias("track_id"), F.lit(False).alias("known")))
         out, steps, rejects = CH.replace_children({**catalogue, "tracks": new_tracks}, ids, **given)
         out["tracks"] = bump_versions(new_tracks, version_steps(*steps))
     return Outcome(out, acts, scan_stats(states, acts, _reports(files)), rejects)
