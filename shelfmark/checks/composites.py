@@ -572,7 +572,7 @@ def k14(spark, d):
 )
 def k14r(spark, d):
     fx = Fixtures(spark, d)
-    got = L.resolve_ranges(L.layout_starts(layout(fx)), requests(fx))
+    got = L.resolve_layout(layout(fx), requests(fx))
     return got.select("request_id", "kind", "sub", "ordinal", "within", "n")
 
 

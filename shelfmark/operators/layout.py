@@ -1,9 +1,10 @@
 """Composed files as ordered segments, and byte ranges resolved against them."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.ordered import HOT_ROWS, id_bucket, running_sums
+from shelfmark.operators.ordered import HOT_ROWS, any_hot, fullest_cell, id_bucket, running_sums
+from shelfmark.schemas import MAX_ROWS_PER_TRACK
 
 # Order of the parts of a composed file: metadata first, audio last.
 PARTS = {"block": 0, "tag": 1, "binary_tag": 2, "picture": 3, "audio": 4}
@@ -84,6 +85,38 @@ def layout_errors(layout: DataFrame) -> DataFrame:
     return layout.withColumn("error", bad).where("error is not null")
 
 
+def _overlap(pieces: DataFrame) -> DataFrame:
+    """Pairs of segment and request that share bytes, with `within` and `n`."""
+    begin, stop = F.greatest("seg_start", "req_offset"), F.least(F.col("seg_end") - 1, _request_end())
+    return pieces.where(begin <= stop).withColumn("within", begin - F.col("seg_start")).withColumn("n", stop - begin + 1)
+
+
+def _request_end() -> Column:
+    """The last byte asked for."""
+    return F.coalesce(F.try_add("req_offset", "req_len"), F.lit(9223372036854775807)) - 1
+
+
+def resolve_layout(layout: DataFrame, requests: DataFrame, group="file_id", hot_rows: int = HOT_ROWS, few: int = MAX_ROWS_PER_TRACK) -> DataFrame:
+    """`resolve_ranges` of a layout: its parts are shuffled once, and requests meet them where the running sums are made.
+
+    A request is compared with the first `few` segments of its file; what lies behind them goes through the sweep of
+    `resolve_ranges`, as do all segments if a file has more than `hot_rows` segments and requests.
+    """
+    asked = requests.where("req_len > 0")
+    rows = layout.select(group).unionByName(asked.select(group))
+    fullest = fullest_cell(rows, [group])
+    if fullest > hot_rows and any_hot(rows, [group], hot_rows):
+        return resolve_ranges(layout_starts(layout, hot_rows), requests, group, hot_rows)
+    sums = {"seg_end": F.col("len"), "_place": F.lit(1).cast("bigint")}
+    starts = running_sums(layout, [group], list(LAYOUT_ORDER), F.col("part").cast("bigint"), sums, None, wide=True)
+    starts = starts.withColumn("seg_start", F.col("seg_end") - F.col("len"))
+    first = starts.where(F.col("_place") <= few).drop("_place").join(asked, group)
+    pieces = _overlap(first.where(F.col("seg_end") > F.col("seg_start")))
+    if fullest > few:
+        pieces = pieces.unionByName(resolve_ranges(starts.where(F.col("_place") > few).drop("_place"), requests, group, None))
+    return pieces
+
+
 def resolve_ranges(starts: DataFrame, requests: DataFrame, group="file_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pieces of each request: the segments it overlaps, where in them, and how many bytes.
 
@@ -98,7 +131,7 @@ def resolve_ranges(starts: DataFrame, requests: DataFrame, group="file_id", hot_
     theirs = [c for c in asked.columns if c != group]
     none = lambda df, columns: F.lit(None).cast(df.select(F.struct(*columns).alias("s")).schema["s"].dataType)
     begins = segments.select(group, F.col("seg_start").alias("_at"), F.lit(1).cast("bigint").alias("_one"), F.struct("seg_start", *own).alias("_s"), none(asked, theirs).alias("_r"), F.lit(0).alias("_end"))
-    end = F.coalesce(F.try_add("req_offset", "req_len"), F.lit(9223372036854775807)) - 1
+    end = _request_end()
     edges = F.inline(F.array(F.struct(F.greatest("req_offset", F.lit(0)).alias("_at"), F.lit(1).alias("_end")), F.struct(end.alias("_at"), F.lit(2).alias("_end"))))
     ends = asked.select(group, F.struct(*theirs).alias("_r"), edges)
     swept = begins.unionByName(ends.select(group, "_at", F.lit(0).cast("bigint").alias("_one"), none(segments, ["seg_start", *own]).alias("_s"), "_r", "_end"))
@@ -111,6 +144,5 @@ def resolve_ranges(starts: DataFrame, requests: DataFrame, group="file_id", hot_
     # Equal requests were one group; each gets its pieces.
     met = met.where("_high >= _low").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")))
     pieces = met.select(group, "_r.*", F.explode(F.sequence("_low", "_high")).alias("_n")).join(numbered, [group, "_n"])
-    begin, stop = F.greatest("seg_start", "req_offset"), F.least(F.col("seg_end") - 1, end)
     # Only a request that begins in a gap, or beyond the last segment, has a first segment it does not touch.
-    return pieces.where(begin <= stop).withColumn("within", begin - F.col("seg_start")).withColumn("n", stop - begin + 1).drop("_n")
+    return _overlap(pieces).drop("_n")

@@ -6,7 +6,7 @@ column that never decreases along the order (`coarse`, such as an id). The cuts
 quantiles of that column over the hot rows, so that a bucket's size follows the rows,
 dense ids or not. Each bucket is one window partition; the totals of the buckets before it are
 added afterwards. All other groups use the plain window in a single shuffle. Whether any group is hot is counted
-first, by one narrow aggregation; if none is, the plain window is all that runs.
+first, by one aggregation of bounded size; if none is, the plain window is all that runs.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 #: Buckets that the hot rows are cut into; a power of two.
 BUCKETS = 1024
+#: Cells that groups are counted in before any is counted by itself: what a task holds and sends does not grow with the groups.
+CELLS = 1 << 16
 
 
 def id_bucket(c: str) -> Column:
@@ -28,9 +30,28 @@ def _bucket_of(value: Column, bounds: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.try_element_at(bounds, at + step) <= value, step).otherwise(0)).cast("bigint")
 
 
+def _cells(df: DataFrame, keys) -> DataFrame:
+    """cell, count: rows of the groups that share a cell; at most CELLS rows."""
+    return df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(CELLS)).alias("cell")).count()
+
+
+def fullest_cell(df: DataFrame, keys) -> int:
+    """Rows of the fullest cell: no group has more."""
+    return _cells(df, keys).agg(F.coalesce(F.max("count"), F.lit(0))).head()[0]
+
+
 def any_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> bool:
-    """Whether a group has more than hot_rows rows; groups that share a hash count as one."""
-    return not df.groupBy(F.xxhash64(*keys) if keys else F.lit(0)).count().where(F.col("count") > hot_rows).isEmpty()
+    """Whether a group has more than hot_rows rows; groups that share a hash count as one.
+
+    Groups are counted in cells first, and one by one only where a cell has more than hot_rows rows."""
+    if not keys:
+        return df.count() > hot_rows
+    full = [r["cell"] for r in _cells(df, keys).where(F.col("count") > hot_rows).select("cell").collect()]
+    if not full:
+        return False
+    group = F.xxhash64(*keys)
+    rows = df.where(F.pmod(group, F.lit(CELLS)).isin(full)) if len(full) < CELLS // 8 else df
+    return not rows.groupBy(group).count().where(F.col("count") > hot_rows).isEmpty()
 
 
 def _bounds(hot: DataFrame, coarse: Column) -> Column:

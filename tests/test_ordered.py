@@ -87,3 +87,46 @@ def test_range_join_against_brute_force(spark, hot_rows):
             if g == f and lo < hi:
                 want.append((q, s, lo - at[(g, s)], hi - lo))
     assert found == sorted(want)
+
+
+def test_groups_are_counted_in_a_bounded_number_of_cells(spark):
+    """Many groups: what the count holds does not grow with them, and a hot one is still found."""
+    many = spark.range(200_000).select((F.col("id") % 150_000).alias("g"))
+    assert O._cells(many, ["g"]).count() <= O.CELLS
+    assert O.fullest_cell(many, ["g"]) >= 2 and O.fullest_cell(many.limit(0), ["g"]) == 0
+    assert not O.any_hot(many, ["g"], 2) and O.any_hot(many, ["g"], 1)
+    hot = many.unionByName(spark.range(50).select(F.lit(7).cast("bigint").alias("g")))
+    assert O.any_hot(hot, ["g"], 40) and not O.any_hot(hot, ["g"], 60)
+
+
+@pytest.mark.parametrize(("hot_rows", "few"), [(1_000_000, 4096), (1_000_000, 4), (5, 4)])
+def test_ranges_of_layouts_against_brute_force(spark, hot_rows, few):
+    rng = random.Random(3)
+    lay = [(f, "tag", p, "k", o, rng.randint(0, 9)) for f in range(4) for p in range(2) for o in range(12)]
+    reqs = [(n, rng.randrange(5), rng.randint(-3, 120), rng.randint(0, 40)) for n in range(150)] + [(7, 0, 5, 30), (7, 0, 5, 30), (900, 1, 3, 2**63 - 1)]
+    layout = spark.createDataFrame(lay, "file_id bigint, kind string, part int, sub string, ordinal bigint, len bigint")
+    got = L.resolve_layout(layout, spark.createDataFrame(reqs, "request_id int, file_id bigint, req_offset bigint, req_len bigint"), hot_rows=hot_rows, few=few)
+    found = sorted((r.request_id, r.part, r.ordinal, r.within, r.n) for r in got.collect())
+    want = []
+    for q, f, o, n in reqs:
+        at = 0
+        for g, _, p, _, k, ln in lay:
+            if g == f:
+                lo, hi = max(o, at), min(o + n, at + ln)
+                if lo < hi:
+                    want.append((q, p, k, lo - at, hi - lo))
+                at += ln
+    assert found == sorted(want)
+
+
+def test_a_layout_is_shuffled_once_to_resolve_ranges(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lay = spark.range(40).select((F.col("id") % 8).alias("file_id"), F.lit("tag").alias("kind"), F.lit(1).alias("part"), F.lit("k").alias("sub"), F.floor(F.col("id") / 8).alias("ordinal"), F.lit(2).cast("bigint").alias("len"))
+        reqs = spark.range(8).select(F.col("id").alias("request_id"), F.col("id").alias("file_id"), F.lit(1).cast("bigint").alias("req_offset"), F.lit(2).cast("bigint").alias("req_len"))
+        got = L.resolve_layout(lay, reqs)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # parts and requests
+        assert got.agg(F.sum("n")).head()[0] == 16
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
