@@ -104,11 +104,11 @@ def resolve_layout(layout: DataFrame, requests: DataFrame, group="file_id", hot_
     """
     asked = requests.where("req_len > 0")
     rows = layout.select(group).unionByName(asked.select(group))
-    fullest = fullest_cell(rows, [group])
+    fullest, n = fullest_cell(rows, [group])
     if fullest > hot_rows and any_hot(rows, [group], hot_rows):
         return resolve_ranges(layout_starts(layout, hot_rows), requests, group, hot_rows)
     sums = {"seg_end": F.col("len"), "_place": F.lit(1).cast("bigint")}
-    starts = running_sums(layout, [group], list(LAYOUT_ORDER), F.col("part").cast("bigint"), sums, None, wide=True)
+    starts = running_sums(layout, [group], list(LAYOUT_ORDER), F.col("part").cast("bigint"), sums, None, wide=True, rows=n)
     starts = starts.withColumn("seg_start", F.col("seg_end") - F.col("len"))
     first = starts.where(F.col("_place") <= few).drop("_place").join(asked, group)
     pieces = _overlap(first.where(F.col("seg_end") > F.col("seg_start")))

@@ -17,6 +17,8 @@ HOT_ROWS = 1_000_000
 BUCKETS = 1024
 #: Cells that groups are counted in before any is counted by itself: what a task holds and sends does not grow with the groups.
 CELLS = 1 << 16
+#: Rows that one task sorts: beyond this many in each shuffle partition, there are more partitions.
+TASK_ROWS = 500_000
 
 
 def id_bucket(c: str) -> Column:
@@ -30,28 +32,46 @@ def _bucket_of(value: Column, bounds: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.try_element_at(bounds, at + step) <= value, step).otherwise(0)).cast("bigint")
 
 
+def partitions_for(spark, rows: int) -> int | None:
+    """Partitions that hold TASK_ROWS rows each, or None if those of the session do."""
+    needed = -(-rows // TASK_ROWS)
+    return needed if needed > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(df: DataFrame, rows: int, *keys) -> DataFrame:
+    """df as it is, or by `keys` in as many partitions as its rows need, so that the memory of a task does not grow with them."""
+    parts = partitions_for(df.sparkSession, rows)
+    return df.repartition(parts, *keys) if parts else df
+
+
 def _cells(df: DataFrame, keys) -> DataFrame:
     """cell, count: rows of the groups that share a cell; at most CELLS rows."""
     return df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(CELLS)).alias("cell")).count()
 
 
-def fullest_cell(df: DataFrame, keys) -> int:
-    """Rows of the fullest cell: no group has more."""
-    return _cells(df, keys).agg(F.coalesce(F.max("count"), F.lit(0))).head()[0]
+def fullest_cell(df: DataFrame, keys) -> tuple[int, int]:
+    """Rows of the fullest cell (no group has more), and of all."""
+    return tuple(_cells(df, keys).agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).head())
 
 
 def any_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> bool:
-    """Whether a group has more than hot_rows rows; groups that share a hash count as one.
+    """Whether a group has more than hot_rows rows; groups that share a hash count as one."""
+    return hot_and_rows(df, keys, hot_rows)[0]
+
+
+def hot_and_rows(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> tuple[bool, int]:
+    """What `any_hot` says, and the number of rows.
 
     Groups are counted in cells first, and one by one only where a cell has more than hot_rows rows."""
     if not keys:
-        return df.count() > hot_rows
-    full = [r["cell"] for r in _cells(df, keys).where(F.col("count") > hot_rows).select("cell").collect()]
-    if not full:
-        return False
-    group = F.xxhash64(*keys)
-    rows = df.where(F.pmod(group, F.lit(CELLS)).isin(full)) if len(full) < CELLS // 8 else df
-    return not rows.groupBy(group).count().where(F.col("count") > hot_rows).isEmpty()
+        rows = df.count()
+        return rows > hot_rows, rows
+    fullest, rows = fullest_cell(df, keys)
+    if fullest <= hot_rows:
+        return False, rows
+    full, group = _cells(df, keys).where(F.col("count") > hot_rows), F.xxhash64(*keys)
+    some = df.select(group.alias("group")).withColumn("cell", F.pmod("group", F.lit(CELLS))).join(F.broadcast(full.select("cell")), "cell", "left_semi")
+    return not some.groupBy("group").count().where(F.col("count") > hot_rows).isEmpty(), rows
 
 
 def _bounds(hot: DataFrame, coarse: Column) -> Column:
@@ -90,15 +110,20 @@ def _add_offsets(local: DataFrame, offsets: DataFrame, keys) -> DataFrame:
     return local.join(right, same, "left")
 
 
-def running_sums(df: DataFrame, keys, order, coarse: Column, sums: dict, hot_rows: int = HOT_ROWS, wide: bool = False) -> DataFrame:
+def running_sums(df: DataFrame, keys, order, coarse: Column, sums: dict, hot_rows: int = HOT_ROWS, wide: bool = False, rows: int = 0) -> DataFrame:
     """Add inclusive running sums of `sums` per `keys` along `order`.
 
-    hot_rows None: the caller has counted and no group is hot; one plain window does.
+    hot_rows None: the caller has counted and no group is hot; one plain window does. rows: how many it has counted.
     wide: rows that take far more memory than bytes in a shuffle; their partitions are not merged before the sort.
     """
     keys = list(keys)
-    if hot_rows is None or keys and not any_hot(df, keys, hot_rows):
-        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if wide else df
+    hot, rows = hot_and_rows(df, keys, hot_rows) if hot_rows is not None and keys else (hot_rows is not None, rows)
+    if not hot:
+        if wide:
+            spark = df.sparkSession
+            df = df.repartition(partitions_for(spark, rows) or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+        else:
+            df = spread(df, rows, *keys)
         plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(*[c for c in df.columns if c not in sums], *[F.sum(e).over(plain).alias(n) for n, e in sums.items()])
     marked = _mark(df, keys, coarse, hot_rows)
@@ -121,8 +146,9 @@ def ranked(df: DataFrame, keys, order, coarse: Column, name: str = "rank", hot_r
 def with_previous(df: DataFrame, keys, order, coarse: Column, value: Column, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the value of the row before in the group, null for the first row."""
     keys = list(keys)
-    if keys and not any_hot(df, keys, hot_rows):
-        return df.select("*", F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)).alias(name))
+    hot, rows = hot_and_rows(df, keys, hot_rows) if keys else (True, 0)
+    if not hot:
+        return spread(df, rows, *keys).select("*", F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)).alias(name))
     marked = _mark(df, keys, coarse, hot_rows)
     step = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     local = marked.select("*", F.lag(F.struct(value.alias("v"))).over(step).alias("_prev"))

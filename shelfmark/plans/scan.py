@@ -16,6 +16,7 @@ from shelfmark.operators import catalog as C
 from shelfmark.operators import children as CH
 from shelfmark.operators import ingest as I
 from shelfmark.operators.fingerprint import file_fingerprints
+from shelfmark.operators.ordered import spread
 from shelfmark.operators.sync import bump_versions, version_steps
 from shelfmark.sources.shared import materialize
 
@@ -202,7 +203,9 @@ def known_states(files: DataFrame, tracks: DataFrame, blocks: DataFrame, tier: s
         V.stamp("backing_size", "backing_mtime_ns", "backing_ctime_ns").alias("_stamp"),
         (lacking | ((F.col("format") == "flac") & F.col("_blocks").isNull())).alias("_lacks"),
     )
-    j = listed.join(side, "path", "full" if prune else "left")
+    # The narrow side is held as a hash table, in as many partitions as it needs; the wide rows of files are not sorted.
+    n = tracks.count()
+    j = spread(listed, n, "path").join(spread(side, n, "path").hint("shuffle_hash"), "path", "full" if prune else "left")
     same = V.stamp("size", "mtime_ns", "ctime_ns").eqNullSafe(F.col("_stamp")) & ~F.col("_lacks")
     state = (
         F.when(F.col("_kind").isNull(), "pruned")

@@ -2,6 +2,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import catalog as C
 from shelfmark.operators import layout as L
+from shelfmark.operators import ordered as O
+from shelfmark.plans import scan as SC
 
 
 def plan_of(df):
@@ -25,3 +27,21 @@ def test_layouts_are_summed_in_all_shuffle_partitions(spark):
     got = L.layout_starts(lay)
     assert "REPARTITION_BY_NUM" in plan_of(got)
     assert {(r.ordinal, r.seg_start) for r in got.collect()} == {(i, 2 * i) for i in range(5)}
+
+
+def test_files_are_not_sorted_to_meet_their_tracks(spark, fx):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        states = SC.known_states(fx.files(), fx.tracks(), fx.blocks(), "full", "/lib", True)
+        plan = plan_of(states)
+        assert "ShuffledHashJoin [path" in plan and "SortMergeJoin [path" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_partitions_follow_the_rows_that_are_sorted(spark, monkeypatch):
+    monkeypatch.setattr(O, "TASK_ROWS", 10)
+    df = spark.range(95).select((F.col("id") % 19).alias("g"), "id")
+    for out in (O.ranked(df, ["g"], ["id"], F.col("id")), O.with_previous(df, ["g"], ["id"], F.col("id"), F.col("id"), "p")):
+        assert "hashpartitioning(g" in plan_of(out) and ", 10), REPARTITION_BY_NUM" in plan_of(out) and out.count() == 95
+    assert O.partitions_for(spark, 40) is None and O.partitions_for(spark, 41) == 5
