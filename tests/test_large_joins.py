@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import catalog as C
 from shelfmark.operators import layout as L
 from shelfmark.operators import ordered as O
+from shelfmark.operators import rules as RU
 from shelfmark.plans import scan as SC
 
 
@@ -45,3 +46,12 @@ def test_partitions_follow_the_rows_that_are_sorted(spark, monkeypatch):
     for out in (O.ranked(df, ["g"], ["id"], F.col("id")), O.with_previous(df, ["g"], ["id"], F.col("id"), F.col("id"), "p")):
         assert "hashpartitioning(g" in plan_of(out) and ", 10), REPARTITION_BY_NUM" in plan_of(out) and out.count() == 95
     assert O.partitions_for(spark, 40) is None and O.partitions_for(spark, 41) == 5
+
+
+def test_tracks_over_the_cap_are_counted_after_the_shuffle(spark):
+    rows = spark.range(60).select((F.col("id") % 20).alias("track_id"), F.when(F.col("id") >= 40, F.lit(b"x")).alias("value_blob"))
+    rows = rows.unionByName(spark.range(3).select(F.lit(7).cast("bigint").alias("track_id"), F.lit(None).cast("binary").alias("value_blob")))
+    over = RU.tracks_over_cap(rows, 4)
+    plan = plan_of(over)
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
+    assert [tuple(r) for r in over.collect()] == [(7, 5)]
