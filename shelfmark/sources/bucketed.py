@@ -46,14 +46,18 @@ class BucketedTable:
     def replace(self, rows: DataFrame, only: list[int] = None) -> None:
         """Make `rows` the content of the buckets `only`, of all without it. `rows` may be read from this table."""
         columns = self.spark.createDataFrame([], self.schema).columns
-        staged = materialize(rows.select(*columns), "bucketed")
-        dealt = staged.withColumn(BUCKET, self.bucket())
+        rows = rows.select(*columns)
+        # Only rows that may come from this table are written aside first.
+        staged = materialize(rows, "bucketed") if exists(self.spark, self.path) else None
+        dealt = (rows if staged is None else staged).withColumn(BUCKET, self.bucket())
+        # Keys may fall into few buckets: a large one is cut, so that it is not the work of one task.
         if only is None:
-            dealt.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(self.path)
+            dealt.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(self.path)
         elif only:
             marks = self.spark.createDataFrame([(b,) for b in only], f"{BUCKET} int")
-            _overwrite(dealt.unionByName(marks, allowMissingColumns=True).repartition(BUCKET), self.path, BUCKET)
-        remove(self.spark, staged.written_at)
+            _overwrite(dealt.unionByName(marks, allowMissingColumns=True).hint("rebalance", BUCKET), self.path, BUCKET)
+        if staged is not None:
+            remove(self.spark, staged.written_at)
 
 
 class Marks:

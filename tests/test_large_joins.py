@@ -5,6 +5,8 @@ from shelfmark.operators import layout as L
 from shelfmark.operators import ordered as O
 from shelfmark.operators import rules as RU
 from shelfmark.plans import scan as SC
+from shelfmark.sources import bucketed as B
+from shelfmark.sources.shared import materialize
 
 
 def plan_of(df):
@@ -55,3 +57,20 @@ def test_tracks_over_the_cap_are_counted_after_the_shuffle(spark):
     plan = plan_of(over)
     assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
     assert [tuple(r) for r in over.collect()] == [(7, 5)]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """All rows under one key: a first write puts nothing aside, and one task does not write it all."""
+    aside = []
+    monkeypatch.setattr(B, "materialize", lambda df, name: aside.append(name) or materialize(df, name))
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
+    try:
+        table = B.BucketedTable(spark, str(tmp_path / "t"), "family string, id bigint", "family", 8)
+        rows = spark.range(0, 40_000, 1, 8).select(F.lit("a").alias("family"), "id")
+        table.replace(rows)
+        assert aside == [] and len(list((tmp_path / "t").glob("bucket=*/*.parquet"))) > 1
+        table.replace(table.read().where("id < 9"), table.buckets_of(rows))
+        assert aside == ["bucketed"] and sorted(r.id for r in table.read().collect()) == list(range(9))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
