@@ -4,13 +4,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import ascii_lower
-from shelfmark.operators.catalog import dedup_art, text_tags, tracks_with_tag, with_next_ids, with_ordinals
+from shelfmark.operators.catalog import text_tags, tracks_with_tag, with_next_ids, with_ordinals
 from shelfmark.operators.ingest import missing_tracks
+from shelfmark.operators.ordered import spread
 from shelfmark.operators.rules import LINK_RULES, TAG_RULES, violations
 from shelfmark.sources.shared import materialize
 from shelfmark.schemas import MAX_BLOB_BYTES, MAX_MIME_CHARS
 
 MODES = ("replace", "merge")
+#: Rows of the narrow side of a join that go to every task; above that, both sides are shuffled.
+FEW_ROWS = 500_000
+
+
+def _meet(rows: DataFrame, narrow: DataFrame, n: int, on, how: str) -> DataFrame:
+    """rows joined with a narrow side of at most n rows, which is held as a hash table: whole by every task if it is small,
+    else in as many partitions as it needs. The rows themselves, many and wide, stream past it and are not sorted."""
+    if n <= FEW_ROWS:
+        return rows.join(F.broadcast(narrow), on, how)
+    return spread(rows, n, *on).join(spread(narrow, n, *on).hint("shuffle_hash"), on, how)
 
 
 def match_records(keys: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -23,25 +34,32 @@ def match_records(keys: DataFrame, tracks: DataFrame) -> DataFrame:
 
 def kept_tags(tags: DataFrame, matched: DataFrame, pairs: DataFrame, deletes: DataFrame, mode: str) -> DataFrame:
     """Stored tag rows that a sync leaves in place; binary rows always stay."""
-    text = F.col("value_blob").isNull()
-    ids = matched.select("track_id").distinct()
-    if mode == "replace":
-        gone = text_tags(tags).join(ids, "track_id", "left_anti")
-    else:
-        named = pairs.select("record_key", "key").unionByName(deletes.select("record_key", "key"))
-        named = named.join(matched.select("record_key", "track_id"), "record_key").select("track_id", ascii_lower("key").alias("_k")).distinct()
-        gone = text_tags(tags).withColumn("_k", ascii_lower("key")).join(named, ["track_id", "_k"], "left_anti").drop("_k")
-    return gone.select(*tags.columns).unionByName(tags.where(~text))
+    named = pairs.select("record_key", "key").unionByName(deletes.select("record_key", "key"))
+    named = named.join(matched.select("record_key", "track_id"), "record_key")
+    ids = matched if mode == "replace" else named
+    text = _replaceable(tags, mode).join(_replaced(ids, mode), _replace_on(mode), "left_anti")
+    return text.select(*tags.columns).unionByName(tags.where(F.col("value_blob").isNotNull()))
+
+
+def _replace_on(mode: str) -> list[str]:
+    return ["track_id"] if mode == "replace" else ["track_id", "_k"]
+
 
+def _replaceable(tags: DataFrame, mode: str) -> DataFrame:
+    """Stored text rows, in mode `merge` with the key that names are compared by."""
+    text = text_tags(tags)
+    return text if mode == "replace" else text.withColumn("_k", ascii_lower("key"))
 
-def record_problems(pairs: DataFrame, art: DataFrame) -> DataFrame:
-    """(record_key, problem) for every broken rule; one bad row rejects its whole record."""
-    tag_rows = pairs.select("record_key", "key", "value", F.lit(0).alias("ordinal"), F.lit(None).cast("binary").alias("value_blob"))
-    bad_tags = tag_rows.select("record_key", F.explode(violations(TAG_RULES)).alias("problem"))
-    rules = {n: c for n, c in LINK_RULES.items() if n != "ordinal"} | {"mime": lambda: F.length("mime") <= MAX_MIME_CHARS}
-    small = art.where(F.octet_length("data") <= MAX_BLOB_BYTES)
-    bad_art = small.select("record_key", F.explode(violations(rules)).alias("problem"))
-    return bad_tags.unionByName(bad_art).distinct()
+
+def _replaced(named: DataFrame, mode: str) -> DataFrame:
+    """What a sync replaces: tracks, or keys of tracks (`named` then has track_id and key)."""
+    return (named.select("track_id") if mode == "replace" else named.select("track_id", ascii_lower("key").alias("_k"))).distinct()
+
+
+def _problems(rows: DataFrame, rules: dict) -> DataFrame:
+    """rows with `problems`, the names of broken rules, null if there are none."""
+    found = violations(rules)
+    return rows.withColumn("problems", F.when(F.size(found) > 0, found))
 
 
 def sync_records(catalogue: dict, pairs: DataFrame, art: DataFrame = None, deletes: DataFrame = None, records: DataFrame = None, mode: str = "replace", dry_run: bool = False):
@@ -49,7 +67,11 @@ def sync_records(catalogue: dict, pairs: DataFrame, art: DataFrame = None, delet
 
     pairs: record_key, pos, key, value. art: record_key, pos, data, mime, picture_type,
     description. deletes: record_key, key. records: all record keys (defaults to those
-    with pairs, art or deletes). Returns (catalogue, stats, problems, new_versions).
+    with pairs, art or deletes). One bad row rejects its whole record.
+    Returns (catalogue, stats, problems, new_versions).
+
+    Incoming rows meet their tracks once and are written with track ids, pictures by their digests. All results are
+    derived from that when they are read, so none pays for another; bytes are read again only for the new pictures of `art`.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
@@ -61,54 +83,79 @@ def sync_records(catalogue: dict, pairs: DataFrame, art: DataFrame = None, delet
     tags, links, blobs = catalogue["tags"], catalogue["track_art"], catalogue["art"]
 
     matched = materialize(match_records(records, catalogue["tracks"]), "sync-matches")
-    problems = record_problems(pairs, art).join(matched.where("status = 'matched'").select("record_key"), "record_key", "left_semi")
-    if dry_run:
-        problems = problems.where(F.lit(False))
-    problems = materialize(problems, "sync-problems")
-    good = matched.where("status = 'matched'").join(problems.select("record_key").distinct(), "record_key", "left_anti")
+    n = matched.count()
+    hits = matched.where("status = 'matched'").select("record_key", "track_id")
+    at_tracks = lambda rows: _meet(rows, hits, n, ["record_key"], "inner").drop("record_key")
+
     size = F.octet_length("data")
-    per_record = art.groupBy("record_key").agg(F.count_if(size <= MAX_BLOB_BYTES).alias("fit"), F.count_if(size > MAX_BLOB_BYTES).alias("over"))
-    flags = matched.join(per_record, "record_key", "left").join(
-        problems.select("record_key").distinct().withColumn("bad", F.lit(True)), "record_key", "left"
+    fits = F.col("byte_len") <= MAX_BLOB_BYTES
+    digested = art.select(
+        "record_key", "pos", F.when(size <= MAX_BLOB_BYTES, F.sha2("data", 256)).alias("sha256"), size.cast("bigint").alias("byte_len"), "mime", "picture_type", "description"
     )
+    pictures = at_tracks(digested)
+    if dry_run:
+        nothing = spark.createDataFrame([], "record_key string, track_id bigint, problem string")
+        return catalogue, _sync_stats(matched, pictures, nothing), nothing.select("record_key", "problem"), None
+    rules = {rule: ok for rule, ok in LINK_RULES.items() if rule != "ordinal"} | {"mime": lambda: F.length("mime") <= MAX_MIME_CHARS}
+    pictures = materialize(_problems(pictures, rules), "sync-pictures")
+    checked = at_tracks(pairs.select("record_key", "pos", "key", "value")).withColumns({"ordinal": F.lit(0), "value_blob": F.lit(None).cast("binary")})
+    given = materialize(_problems(checked, TAG_RULES).drop("ordinal", "value_blob"), "sync-pairs")
+
+    broken = given.select("track_id", F.explode("problems").alias("problem")).unionByName(pictures.where(fits).select("track_id", F.explode("problems").alias("problem")))
+    faults = materialize(hits.join(broken.distinct(), "track_id"), "sync-problems")
+    bad, n_bad = faults.select("track_id").distinct(), faults.count()
+    of_good = lambda rows: _meet(rows, bad, n_bad, ["track_id"], "left_anti")
+    stats = _sync_stats(matched, pictures, faults)
+
+    added, good_art = of_good(given), of_good(pictures.where(fits))
+    if mode == "replace":
+        named, n_named = hits, n
+    else:
+        doomed = materialize(at_tracks(deletes.select("record_key", "key")), "sync-deletes")
+        named, n_named = given.select("track_id", "key").unionByName(doomed), given.count() + doomed.count()
+    meet_tags = lambda how: _meet(_replaceable(tags, mode), _replaced(of_good(named), mode), n_named, _replace_on(mode), how)
+    kept = meet_tags("left_anti").select(*tags.columns).unionByName(tags.where(F.col("value_blob").isNotNull()))
+    new_tags = with_ordinals(added.select("track_id", "pos", "key", "value")).withColumn("value_blob", F.lit(None).cast("binary"))
+
+    first = good_art.join(blobs.select("sha256"), "sha256", "left_anti").groupBy("sha256").agg(
+        F.min_by("mime", F.struct("track_id", "pos")).alias("mime"), F.first("byte_len").alias("byte_len")
+    )
+    first = materialize(first.select("sha256", "mime", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), "byte_len"), "sync-art")
+    fresh = with_next_ids(first, blobs, "sha256")
+    small = art.where(size <= MAX_BLOB_BYTES).select(F.sha2("data", 256).alias("sha256"), "data")
+    bytes_ = small.join(first.select("sha256"), "sha256", "left_semi").groupBy("sha256").agg(F.first("data").alias("data"))
+    ids = blobs.select(F.col("id").alias("art_id"), "sha256").unionByName(fresh.select(F.col("id").alias("art_id"), "sha256"))
+    linked = with_ordinals(good_art.select("track_id", "pos", "sha256", F.col("picture_type").cast("int").alias("picture_type"), "description"), ("track_id",))
+    relinked, n_pictures = good_art.select("track_id").distinct(), pictures.count()
+    meet_links = lambda how: _meet(links, relinked, n_pictures, ["track_id"], how)
+
+    out = {
+        **catalogue,
+        "tags": kept.unionByName(new_tags.select(*tags.columns)),
+        "art": blobs.unionByName(fresh.join(bytes_, "sha256").select(*blobs.columns)),
+        "track_art": meet_links("left_anti").select(*links.columns).unionByName(linked.join(ids, "sha256").select(*links.columns)),
+    }
+    bumps = version_steps((meet_tags("left_semi"), 1), (added, 1), (meet_links("left_semi"), 1), (good_art, 1))
+    out["tracks"] = bump_versions(catalogue["tracks"], bumps)
+    return out, stats, faults.select("record_key", "problem").distinct(), bumps
+
+
+def _sync_stats(matched: DataFrame, pictures: DataFrame, faults: DataFrame) -> DataFrame:
+    """One row of counts. Skipped records have no track to be joined by and are laid beside the others."""
+    n_bytes = F.col("byte_len")
+    per_track = pictures.groupBy("track_id").agg(F.count_if(n_bytes <= MAX_BLOB_BYTES).alias("fit"), F.count_if(n_bytes > MAX_BLOB_BYTES).alias("over"))
+    flags = matched.where("status = 'matched'").select("track_id", "status").join(per_track, "track_id", "left").join(
+        faults.select("track_id").distinct().withColumn("bad", F.lit(True)), "track_id", "left"
+    )
+    flags = flags.unionByName(matched.where("status <> 'matched'").select("status"), allowMissingColumns=True)
     hit, bad = F.col("status") == "matched", F.coalesce(F.col("bad"), F.lit(False))
-    stats = flags.agg(
+    return flags.agg(
         F.count_if(hit & ~bad).alias("synced"),
         F.count_if(~hit).alias("skipped"),
         F.count_if(hit & ~bad & (F.col("fit") > 0)).alias("art_linked"),
         F.coalesce(F.sum(F.when(hit, F.col("over"))), F.lit(0)).cast("bigint").alias("skipped_art"),
         F.count_if(hit & bad).alias("skipped_invalid"),
     )
-    if dry_run:
-        return catalogue, stats, problems, None
-
-    good_pairs = pairs.join(good.select("record_key", "track_id"), "record_key")
-    kept = kept_tags(tags, good, good_pairs.select("record_key", "key"), deletes, mode)
-    added = with_ordinals(good_pairs.select("track_id", "pos", "key", "value")).select(
-        "track_id", "key", "value", "ordinal", F.lit(None).cast("binary").alias("value_blob")
-    )
-    added = materialize(added, "sync-tags")
-    new_tags = kept.unionByName(added.select(*tags.columns))
-
-    good_art = art.where(size <= MAX_BLOB_BYTES).join(good.select("record_key", "track_id"), "record_key")
-    fresh = dedup_art(good_art.select("data", "mime", F.struct("track_id", "pos").alias("pos")), blobs)
-    fresh = with_next_ids(fresh.withColumn("width", F.lit(None).cast("int")).withColumn("height", F.lit(None).cast("int")), blobs, "sha256")
-    fresh = materialize(fresh.select(*blobs.columns), "sync-art")
-    new_blobs = blobs.unionByName(fresh)
-    ids = new_blobs.select(F.col("id").alias("art_id"), "sha256")
-    linked = good_art.withColumn("sha256", F.sha2("data", 256)).drop("data").join(ids, "sha256")
-    linked = with_ordinals(linked, ("track_id",)).select("track_id", "art_id", F.col("picture_type").cast("int").alias("picture_type"), "description", "ordinal")
-    linked = materialize(linked, "sync-links")
-    relinked = linked.select("track_id").distinct()
-    new_links = links.join(relinked, "track_id", "left_anti").select(*links.columns).unionByName(linked.select(*links.columns))
-
-    out = {**catalogue, "tags": new_tags, "art": new_blobs, "track_art": new_links}
-    touched = lambda df, ids: df.join(ids.select("track_id").distinct(), "track_id", "left_semi")
-    bumps = version_steps(
-        (touched(tags, good), 1), (touched(kept, good), -1), (added, 1), (touched(links, relinked), 1), (linked, 1)
-    )
-    out["tracks"] = bump_versions(catalogue["tracks"], bumps)
-    return out, stats, problems, bumps
 
 
 def version_steps(*parts) -> DataFrame:

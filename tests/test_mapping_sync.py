@@ -1,6 +1,10 @@
 
+import hashlib
+import re
+
 from shelfmark.operators import catalog as C
 from shelfmark.operators import mapping as M
+from shelfmark.operators import ordered as O
 from shelfmark.operators import sync as S
 from shelfmark.schemas import ART, TAGS, TRACK_ART, TRACKS
 
@@ -99,3 +103,53 @@ def test_ambiguous_file_is_an_error(spark):
 
     with pytest.raises(M.AmbiguousFile):
         M.require_unambiguous(spark.createDataFrame([("/p", "ambiguous")], "path string, status string"))
+
+
+def sync_case(spark):
+    """A good record with replaced, new and deleted keys and pictures old and new, one with a bad row, one without a track."""
+    cat = catalogue(spark)
+    stored = bytearray(b"stored")
+    cat["art"] = spark.createDataFrame([(7, hashlib.sha256(stored).hexdigest(), "image/png", None, None, 6, stored)], ART)
+    cat["track_art"] = spark.createDataFrame([(1, 7, 3, "a", 0), (1, 7, 4, "b", 1), (2, 7, 3, "", 0)], TRACK_ART)
+    pairs = spark.createDataFrame([("/a", 0, "Label", "l1"), ("/a", 1, "label", "l0"), ("/a", 2, "label", "l2"), ("/b", 0, "", "bad"), ("/lost", 0, "title", "x")], PAIRS)
+    art = spark.createDataFrame(
+        [("/a", 1, bytearray(b"new"), "image/gif", 3, "n"), ("/a", 0, stored, "image/png", 5, "s"), ("/a", 2, bytearray(b"new"), "image/png", 3, "again"), ("/b", 0, bytearray(b"other"), "image/png", 3, "")], IMAGES
+    )
+    deletes = spark.createDataFrame([("/a", "TITLE"), ("/b", "title")], "record_key string, key string")
+    return cat, pairs, art, deletes
+
+
+def rows_of(out, stats, problems, bumps):
+    frames = {**{t: out[t] for t in ("tracks", "tags", "art", "track_art")}, "stats": stats, "problems": problems, "bumps": bumps}
+    return {name: sorted(map(str, df.collect())) for name, df in frames.items()}
+
+
+def test_large_and_small_sides_of_a_sync_give_the_same(spark, monkeypatch):
+    for mode in S.MODES:
+        few = rows_of(*S.sync_records(*sync_case(spark), mode=mode))
+        with monkeypatch.context() as m:
+            m.setattr(S, "FEW_ROWS", 0)
+            m.setattr(O, "TASK_ROWS", 1)
+            assert rows_of(*S.sync_records(*sync_case(spark), mode=mode)) == few
+    out, stats, problems, bumps = S.sync_records(*sync_case(spark), mode="merge")
+    assert tags_of(out) == [(1, "Label", "l1", 0), (1, "bin", "", 0), (1, "label", "l0", 0), (1, "label", "l2", 1), (2, "title", "keep", 0)]
+    assert sorted((r.id, r.mime, r.byte_len, bytes(r.data)) for r in out["art"].collect()) == [(7, "image/png", 6, b"stored"), (8, "image/gif", 3, b"new")]
+    assert sorted(map(tuple, out["track_art"].collect())) == [(1, 7, 5, "s", 0), (1, 8, 3, "again", 2), (1, 8, 3, "n", 1), (2, 7, 3, "", 0)]
+    # Two tags and two links go, three tags and three links come.
+    assert [tuple(r) for r in bumps.collect()] == [(1, 10)] and tuple(stats.head()) == (1, 1, 1, 0, 1)
+    assert [tuple(r) for r in problems.collect()] == [("/b", "key_length")]
+
+
+def test_versions_pass_stored_tags_once_and_do_not_sort_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "FEW_ROWS", 0)
+    cat, pairs, art, deletes = sync_case(spark)
+    cat["tags"].write.parquet(str(tmp_path / "tags"))
+    cat["tags"] = spark.read.parquet(str(tmp_path / "tags"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = S.sync_records(cat, pairs, art, deletes, mode="merge")[0]
+        run = out["tracks"].select("id", "content_version")._jdf.queryExecution()
+        assert len(re.findall(r"Relation \[[^\]]*value_blob", run.optimizedPlan().toString())) == 1
+        assert "ShuffledHashJoin [track_id" in run.executedPlan().toString() and "SortMergeJoin [track_id" not in run.executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
