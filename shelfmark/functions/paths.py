@@ -88,16 +88,23 @@ def truncate_leaf(name) -> Column:
     )
 
 
+def _cut_for_suffix(stem_, ext, k) -> Column:
+    room = F.lit(NAME_BYTES - 3) - F.length(col(k).cast("string")) - F.octet_length(ext)
+    return truncate_bytes(stem_, F.greatest(room, F.lit(0)))
+
+
 def suffix_stem(name, k) -> Column:
     """The stem as it appears in front of ` (k)`."""
-    room = F.lit(NAME_BYTES - 3) - F.length(col(k).cast("string")) - F.octet_length(dotted_extension(name))
-    return truncate_bytes(stem(name), F.greatest(room, F.lit(0)))
+    return _cut_for_suffix(stem(name), dotted_extension(name), k)
+
+
+def suffixed(stem_, ext, k) -> Column:
+    """The candidate ` (k)` of a name whose parts are known."""
+    return F.concat(_cut_for_suffix(stem_, ext, k), F.lit(" ("), col(k).cast("string"), F.lit(")"), ext)
 
 
 def suffix_candidate(name, k) -> Column:
-    return F.concat(
-        suffix_stem(name, k), F.lit(" ("), col(k).cast("string"), F.lit(")"), dotted_extension(name)
-    )
+    return suffixed(stem(name), dotted_extension(name), k)
 
 
 def is_suffix_shaped(name) -> Column:
