@@ -5,7 +5,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators.ordered import ranked
+from shelfmark.operators.ordered import HOT_ROWS, hot_and_rows, running_sums
 
 REGISTRY = {}
 
@@ -97,12 +97,16 @@ class Fixtures:
 
     def track_art(self) -> DataFrame:
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_shipdate"]
-        j = self.table("lineitem").join(self.table("part").where(~F.col("p_name").like("red%")), F.col("l_partkey") == F.col("p_partkey"))
-        j = j.select("l_orderkey", *order, "l_returnflag", "p_name")
+        lines = self.table("lineitem").select((F.col("l_orderkey") + 1).alias("track_id"), *order, "l_returnflag")
+        # The join only drops lines, so they are counted before it.
+        hot, rows = hot_and_rows(lines, ["track_id"])
+        j = lines.join(self.table("part").where(~F.col("p_name").like("red%")), F.col("l_partkey") == F.col("p_partkey"))
+        j = j.select("track_id", *order, "l_returnflag", "p_name")
         # Line number above part key never decreases along the order, so a hot order can be cut there.
-        j = ranked(j, ["l_orderkey"], order, F.col("l_linenumber") * F.lit(1 << 40) + F.col("l_partkey"), "rn")
+        coarse = F.col("l_linenumber") * F.lit(1 << 40) + F.col("l_partkey")
+        j = running_sums(j, ["track_id"], order, coarse, {"rn": F.lit(1).cast("bigint")}, HOT_ROWS if hot else None, rows=rows)
         return j.select(
-            (F.col("l_orderkey") + 1).alias("track_id"),
+            "track_id",
             F.when(F.col("l_partkey") % 101 == 0, F.sha2(F.lit("gone"), 256)).otherwise(F.sha2("p_name", 256)).alias("art_sha256"),
             (F.col("l_partkey") % 22).cast("int").alias("picture_type"),
             F.col("l_returnflag").alias("description"),
